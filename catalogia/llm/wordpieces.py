@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 48
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -26,32 +27,44 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterable[bytes]:
         """The ids of each text. White space in unusual places makes a text take the longer way, with the same ids."""
-        parts = [t.split(" ") for t in texts]
         known = self.after_space
-        new = set().union(*(p[1:] for p in parts)).difference(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) > CACHE_ENTRIES:
             known.clear()
-            new = set().union(*(p[1:] for p in parts))
-        odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        plain = [c for c in new if c not in odd]
-        own: dict[str, bytes | None] = dict.fromkeys(odd)
+        get, new, looked = known.get, set(), []
+        for t in texts:
+            first, *rest = t.split(" ")
+            ids = list(map(get, rest))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            new.update(map(rest.__getitem__, gaps))
+            looked.append((first, rest, ids, gaps))
+        fresh: dict[str, bytes | None] = {}
+        plain = []
+        for c in new:
+            if not c or c[0].isspace() or c[-1].isspace():
+                fresh[c] = None
+            else:
+                plain.append(c)
         for c, ids in zip(plain, self.encode_many([" " + c for c in plain])):
-            (known if len(c) <= CACHE_CHARS else own)[c] = ids
-        firsts = self.encode_many([p[0] for p in parts])
-        look = known.__getitem__ if not own else lambda c: known[c] if c in known else own[c]
-        for text, p, first in zip(texts, parts, firsts):
-            rest = p[1:]
+            fresh[c] = ids
+            if len(c) <= CACHE_CHARS:
+                known[c] = ids
+        for text, (first, rest, ids, gaps), head in zip(texts, looked, self.encode_many([x[0] for x in looked])):
+            for i in gaps:
+                ids[i] = fresh[rest[i]]
             if not rest:
-                yield first
-                continue
-            if p[0] and not p[0][-1].isspace():
-                try:
-                    yield first + b"".join(map(look, rest))
-                    continue
-                except TypeError:  # None: white space beside a space
-                    pass
-            pieces = _CUT.split(text)
-            yield b"".join(self.encode_many([pieces[0], *(" " + c for c in pieces[1:])]))
+                yield head
+            elif first and not first[-1].isspace() and not any(ids[i] is None for i in gaps):
+                yield head + b"".join(ids)
+            else:  # white space beside a space
+                pieces = _CUT.split(text)
+                yield b"".join(self.encode_many([pieces[0], *(" " + c for c in pieces[1:])]))
+
+
+def byte_characters() -> dict[int, int]:
+    """The characters that byte-level vocabularies print bytes as: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(others)}
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -61,13 +74,28 @@ def library_encoder(path: str) -> ChunkEncoder:
     """Of a tokenizer file, by the tokenizers library; one for each worker process."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model, find = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
+        printed = byte_characters()
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         def many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            """Short chunks of Latin letters go to the library's merges directly; all others through its whole encoder, at several times the cost."""
+            out: list[bytes] = [b""] * len(texts)
+            whole = []
+            for k, t in enumerate(texts):
+                if len(t) <= 64 and max(t, default="") < "\u0250" and not any(a in t for a in added):
+                    ids = [x.id for w in find(t) for x in model.tokenize(w.encode().decode("latin-1").translate(printed))]
+                    out[k] = array("I", ids).tobytes()
+                else:
+                    whole.append(k)
+            for k, e in zip(whole, tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+            return out
 
         _ENCODERS[path] = ChunkEncoder(many)
     return _ENCODERS[path]
