@@ -72,3 +72,11 @@ def sampled(df: DataFrame, key: str, bound: int, rows: int) -> DataFrame:
         return df
     cut = int(bound / rows * (1 << 30))
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < F.lit(cut))
+
+
+def new_name(df: DataFrame, base: str) -> str:
+    """base, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalogia.llm import common
 
@@ -70,7 +71,7 @@ def ranked(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
     return values[np.argsort(-counts, kind="stable")]
 
 
-def train_profiles(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[int]]]:
+def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[int]]]:
     """Profiles of each non-null language of docs. Counts are summed in the tasks before they are exchanged; the driver gets PROFILE rows a language.
 
     At most about TRAIN_DOCS documents a language are counted.
@@ -128,39 +129,34 @@ class Judge:
 _JUDGES: dict[str, Judge] = {}
 
 
-def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], keep: list[str], text_col: str = "text") -> DataFrame:
-    """docs' columns `keep` with lang_pred and score. A row for each row; whole texts. No exchange.
+def language_of(text: Column, profiles: list[tuple[str, list[int]]]) -> Column:
+    """A struct of lang_pred and score for each text; whole texts.
 
     The profiles are PROFILE numbers a language, so they go with the task.
     """
-    common.small_batches(docs.sparkSession, 1000)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_judged"))
-    schema = src.drop("_judged").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     key = repr(profiles)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def judged(texts: pd.Series) -> pd.DataFrame:
         if key not in _JUDGES:
             _JUDGES[key] = Judge(profiles)
-        judge = _JUDGES[key]
-        for b in batches:
-            got = [judge.predict(t) for t in b.column("_judged").to_pylist()]
-            cols = [b.column(c) for c in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+        return pd.DataFrame([_JUDGES[key].predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return judged(text.cast("string"))
 
 
 def predict_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """Learns from the documents outside the held-out fold and predicts all: doc_id, held_out, lang_pred, score."""
+    """Learns from the documents outside the held-out fold and predicts all: doc_id, held_out, lang_pred, score. A row for each row."""
     fold = common.fold_of("doc_id", folds)
     profiles = train_profiles(docs.filter(fold != held))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), "text")
-    return identify(src, profiles, ["doc_id", "held_out"])
+    common.small_batches(docs.sparkSession, 1000)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), language_of(F.col("text"), profiles).alias("said"))
+    return src.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
 def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """docs without those whose text is in none of the learned languages: null, no letter, or no n-gram of any profile."""
     profiles = train_profiles(docs.filter(common.fold_of("doc_id", folds) != held))
-    names = docs.columns
-    judged = identify(docs, profiles, names)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*names)
+    common.small_batches(docs.sparkSession, 1000)
+    said = common.new_name(docs, "said")
+    return docs.withColumn(said, language_of(F.col("text"), profiles)).filter((F.col(said)["lang_pred"] != UNKNOWN) & (F.col(said)["score"] > 0)).drop(said)

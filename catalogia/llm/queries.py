@@ -5,29 +5,82 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from catalogia.llm import ann, bpe, chat, langid, packing, simhash, telephony, token_files, toxicity, warc
 from catalogia.llm.common import table
 
 BYTE_BPE, BYTE_BPE_IDS = "byte_bpe_50k.json", 50_257
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from catalogia.llm.token_files import token_index
+    return token_files.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_BPE_IDS)
+
+
+def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.stored_and_read(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
 
-    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_BPE_IDS)
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from catalogia.llm.bpe import encode_documents
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from catalogia.llm.packing import pack_documents
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_telephony, op4_nearest_neighbours, op5_simhash, op6_language_id, op7_byte_bpe, op8_warc, op9_tool_calls, op10_best_fit_packing)}
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_byte_bpe, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(d, (1 + 10 * (i // 8))::INT, 10))::BIGINT) >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to
+FROM f""",
+    "op9_tool_calls": """
+WITH RECURSIVE src AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id FROM conversations),
+calls AS (SELECT id AS call_id, conv_id, turn, text, CASE WHEN role = 'system' THEN 'configure' ELSE 'respond' END AS name,
+    CASE WHEN turn = 1 THEN conv_id || ':0' WHEN turn > 1 THEN conv_id || ':' || (turn - 2) END AS parent_id
+  FROM src WHERE role IS DISTINCT FROM 'assistant'),
+results AS (SELECT conv_id || ':' || (turn - 1) AS rid, id AS result_id, text AS content FROM src WHERE role = 'assistant'),
+place AS (SELECT call_id, 0::BIGINT AS depth FROM calls WHERE parent_id IS NULL OR parent_id NOT IN (SELECT call_id FROM calls)
+  UNION ALL SELECT c.call_id, p.depth + 1 FROM calls c JOIN place p ON c.parent_id = p.call_id),
+said AS (SELECT call_id, array_to_string(list_filter([
+    CASE WHEN text IS NULL THEN 'missing:prompt' WHEN length(text) < 1 OR (name = 'configure' AND length(text) > 2000) THEN 'range:prompt' END,
+    CASE WHEN turn < 0 OR (name = 'configure' AND turn > 0) THEN 'range:turn' END], lambda x: x IS NOT NULL), ',') AS errors FROM calls)
+SELECT CASE WHEN c.call_id IS NULL THEN 'orphan_result' ELSE 'call' END AS kind, c.conv_id, coalesce(c.call_id, r.rid) AS call_id, p.depth, c.name,
+  CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_calls, CASE WHEN r.rid IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, r.result_id,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.rid IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN c.call_id IS NOT NULL THEN s.errors = '' END AS valid, s.errors,
+  '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{"prompt":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn || '}' END
+    || ',"id":' || to_json(coalesce(c.call_id, r.rid))::VARCHAR || ',"name":' || coalesce(to_json(c.name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS message
+FROM calls c FULL OUTER JOIN results r ON c.call_id = r.rid LEFT JOIN place p ON p.call_id = c.call_id LEFT JOIN said s ON s.call_id = c.call_id""",
+}

@@ -11,8 +11,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogia.llm import common
 
@@ -20,6 +21,8 @@ from catalogia.llm import common
 TRAIN_DOCS = 12_000
 WORDS = 1_000
 LEAST_DOCS = 5
+#: Words whose share among the confirmed documents is within so many standard deviations of that among all aren't used: they are noise.
+LEAST_Z = 4.0
 THRESHOLD = 0.7
 #: Bytes that separate words: ASCII that is not a letter or digit.
 _SPLIT = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -93,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     # How far a word's count among the confirmed documents lies from its share of all, in standard deviations.
     share = F.lit(n_pos / n_all)
     z = (F.col("pos") - F.col("all") * share) / F.sqrt(F.col("all") * share * (1 - share) + 1)
-    top = count.filter(F.col("all") >= LEAST_DOCS).withColumn("z", z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS)
+    top = count.filter(F.col("all") >= LEAST_DOCS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS)
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(top.select("word").collect())}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,34 +110,32 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"words": vocabulary, "weights": w, "bias": bias, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
-    """docs' columns `keep` with score (0 to 1) of the whole text; null and empty texts get the score of no word. No exchange."""
-    common.small_batches(docs.sparkSession)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_scored"))
-    schema = src.drop("_scored").withColumn("score", F.lit(0.0)).schema
+def toxicity_of(text: Column, model: dict) -> Column:
+    """The score (0 to 1) of each whole text; null and empty texts get the score of no word."""
     weights, bias = {k: float(model["weights"][i]) for k, i in model["words"].items()}, float(model["bias"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
         known = frozenset(weights)
-        for b in batches:
-            f = np.array([bias + sum(map(weights.__getitem__, sorted(known & words(t)))) for t in b.column("_scored").to_pylist()], np.float64)
-            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)), pa.array(s)], [*b.schema.names[:-1], "score"])
+        f = np.array([bias + sum(map(weights.__getitem__, sorted(known & words(t)))) for t in texts], np.float64)
+        return pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
-    return src.mapInArrow(run, schema)
+    return scored(text.cast("string"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """Learns from labels outside the held-out fold and scores all documents: doc_id, held_out, score, predicted."""
+    """Learns from labels outside the held-out fold and scores all documents: doc_id, held_out, score, predicted. A row for each row."""
     fold = common.fold_of("doc_id", folds)
     model = train(docs.filter(fold != held), labels.filter(fold != held))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), "text")
-    return score(src, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    common.small_batches(docs.sparkSession)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), toxicity_of(F.col("text"), model).alias("score"))
+    return src.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the model, learned outside the held-out fold, scores at the threshold or above."""
     fold = common.fold_of("doc_id", folds)
     model = train(docs.filter(fold != held), labels.filter(fold != held))
-    names = docs.columns
-    return score(docs.withColumnRenamed("score", "_own_score") if "score" in names else docs, model, [("_own_score" if c == "score" else c) for c in names]).filter(F.col("score") < threshold).drop("score").toDF(*names)
+    common.small_batches(docs.sparkSession)
+    mine = common.new_name(docs, "toxicity")
+    return docs.withColumn(mine, toxicity_of(F.col("text"), model)).filter(F.col(mine) < threshold).drop(mine)
