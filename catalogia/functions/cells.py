@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogia.functions.text import trimmed
+from catalogia.functions.text import let, trimmed
 
 #: Cells that mean nothing (fixed values).
 EMPTY_MARKERS = ["", "-", "--", "n/a", "n.a.", "na", "n/d", "nd", "null", "none", "#n/d", "#n/a"]
@@ -31,21 +31,27 @@ def parse_decimal(c: Column, sep: str | Column = ".", is_numeric: Column | None
     """struct(value decimal(38,4), code). Thousands only in groups of three; a leading group is never 0."""
 
     def of(dec: str) -> Column:
-        other = "." if dec == "," else ","
-        o = "\\" + other
-        s = F.regexp_replace(trimmed(c), " ", " ")
-        s = trimmed(F.regexp_replace(F.regexp_replace(s, rf"(?i)^{CURRENCY_MARK}\s*", ""), rf"(?i)\s*{CURRENCY_MARK}$", ""))
+        o = r"\." if dec == "," else r"\,"
         form = rf"^(-)?([1-9][0-9]{{0,2}}(?:[{o} ][0-9]{{3}})+|[0-9]+)(?:\{dec}([0-9]+))?$"
-        whole, part = F.regexp_replace(F.regexp_extract(s, form, 2), "[., ]", ""), F.regexp_extract(s, form, 3)
-        number = F.concat(F.regexp_extract(s, form, 1), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")))
-        value = number.try_cast("decimal(38,4)")
-        code = (
-            F.when(is_empty_cell(c), F.lit(None))
-            .when(~s.rlike(form), F.when(s.rlike(rf"^-?[0-9]+{o}[0-9]{{1,2}}$|^-?0{o}[0-9]+$"), "decimal_separator_mismatch").otherwise("invalid_number"))
-            .when(value.isNull(), "invalid_number")
-            .when(F.length(part) > 4, "too_many_decimals")
-        )
-        return _result(F.when(~is_empty_cell(c), value), code, "decimal(38,4)")
+        s = F.translate(trimmed(c), "\u00a0", " ")
+        s = trimmed(F.regexp_replace(F.regexp_replace(s, rf"(?i)^{CURRENCY_MARK}\s*", ""), rf"(?i)\s*{CURRENCY_MARK}$", ""))
+
+        def parsed(p: Column) -> Column:
+            t, value, part = p["t"], p["value"], p["part"]
+            code = (
+                F.when(p["empty"], F.lit(None))
+                .when(~t.rlike(form), F.when(t.rlike(rf"^-?[0-9]+{o}[0-9]{{1,2}}$|^-?0{o}[0-9]+$"), "decimal_separator_mismatch").otherwise("invalid_number"))
+                .when(value.isNull(), "invalid_number")
+                .when(F.length(part) > 4, "too_many_decimals")
+            )
+            return let(F.struct(code.alias("code"), F.when(~p["empty"], value).alias("value")), lambda r: _result(r["value"], r["code"], "decimal(38,4)"))
+
+        def split(t: Column) -> Column:
+            part = F.regexp_extract(t, form, 3)
+            number = F.concat(F.regexp_extract(t, form, 1), F.regexp_replace(F.regexp_extract(t, form, 2), "[., ]", ""), F.lit("."), part, F.lit("0"))
+            return F.struct(t.alias("t"), part.alias("part"), number.try_cast("decimal(38,4)").alias("value"), is_empty_cell(c).alias("empty"))
+
+        return let(let(s, split), parsed)
 
     text = _chosen(sep, of)
     if is_numeric is None:
@@ -56,10 +62,13 @@ def parse_decimal(c: Column, sep: str | Column = ".", is_numeric: Column | None
 
 
 def parse_non_negative_int(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
-    d = parse_decimal(c, sep, is_numeric)
-    v = d["value"]
-    code = F.when(d["code"].isNotNull(), d["code"]).when(v != F.floor(v), "not_integer").when(v < 0, "negative").when(v > MAX_INT, "out_of_range")
-    return _result(F.when(v.isNotNull() & code.isNull(), v), code, "int")
+
+    def of(d: Column) -> Column:
+        v = d["value"]
+        code = F.when(d["code"].isNotNull(), d["code"]).when(v != F.floor(v), "not_integer").when(v < 0, "negative").when(v > MAX_INT, "out_of_range")
+        return let(F.struct(v.alias("v"), code.alias("code")), lambda r: _result(F.when(r["code"].isNull(), r["v"]), r["code"], "int"))
+
+    return let(parse_decimal(c, sep, is_numeric), of)
 
 
 def parse_currency(c: Column) -> Column:
@@ -71,10 +80,13 @@ def parse_currency(c: Column) -> Column:
 def parse_vat_rate(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
     """A numeric cell between 0 and 1 is a fraction; typed text between 0 and 1 is an error, never multiplied."""
     cleaned = trimmed(F.regexp_replace(trimmed(c), "%$", ""))
-    d = parse_decimal(F.when(is_empty_cell(c), F.lit(None)).otherwise(cleaned), sep, is_numeric)
-    v = d["value"]
-    code = F.when(d["code"].isNotNull(), d["code"]).when((v < 0) | (v >= 100), "invalid_vat_rate").when((v > 0) & (v < 1), "vat_rate_fraction")
-    typed = _result(v, code, "decimal(38,4)")
+
+    def of(d: Column) -> Column:
+        v = d["value"]
+        code = F.when(d["code"].isNotNull(), d["code"]).when((v < 0) | (v >= 100), "invalid_vat_rate").when((v > 0) & (v < 1), "vat_rate_fraction")
+        return _result(v, code, "decimal(38,4)")
+
+    typed = let(parse_decimal(F.when(is_empty_cell(c), F.lit(None)).otherwise(cleaned), sep, is_numeric), of)
     if is_numeric is None:
         return typed
     n = trimmed(c).try_cast("double")
@@ -84,14 +96,19 @@ def parse_vat_rate(c: Column, sep: str | Column = ".", is_numeric: Column | None
 
 def parse_http_url(c: Column) -> Column:
     """Absolute http or https only; scheme and host in lower case, an empty path as /, spaces escaped."""
-    s = trimmed(c)
     form = r"^(?i)(https?)://([^/?#\\\s@]+)([/?#].*)?$"
-    host = F.lower(F.regexp_extract(s, form, 2))
-    rest = F.regexp_replace(F.regexp_extract(s, form, 3), " ", "%20")
-    url = F.concat(F.lower(F.regexp_extract(s, form, 1)), F.lit("://"), host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
-    good = s.rlike(form) & F.try_parse_url(url, F.lit("HOST")).isNotNull()
-    code = F.when(is_empty_cell(c), F.lit(None)).when(F.length(s) > MAX_URL, "url_too_long").when(~F.coalesce(good, F.lit(False)), "invalid_url")
-    return _result(F.when(~is_empty_cell(c), url), code, "string")
+
+    def of(s: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(s, form, 3), " ", "%20")
+        url = F.concat(F.lower(F.regexp_extract(s, form, 1)), F.lit("://"), F.lower(F.regexp_extract(s, form, 2)), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+        return F.struct(s.alias("s"), s.rlike(form).alias("right"), url.alias("url"), is_empty_cell(s).alias("empty"))
+
+    def judged(p: Column) -> Column:
+        good = p["right"] & F.try_parse_url(p["url"], F.lit("HOST")).isNotNull()
+        code = F.when(p["empty"], F.lit(None)).when(F.length(p["s"]) > MAX_URL, "url_too_long").when(~F.coalesce(good, F.lit(False)), "invalid_url")
+        return _result(F.when(~p["empty"], p["url"]), code, "string")
+
+    return let(let(trimmed(c), of), judged)
 
 
 def split_urls(c: Column) -> Column:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogia.functions.text import trimmed
+from catalogia.functions.text import let, trimmed
 
 
 def gs1_check_digit(body: Column) -> Column:
     """Weights 3, 1, 3, ... from the right."""
     digits = F.transform(F.reverse(F.split(body, "(?<=.)(?=.)")), lambda d: d.try_cast("int"))
-    total = F.aggregate(F.transform(digits, lambda d, i: d * F.when(i % 2 == 0, 3).otherwise(1)), F.lit(0), lambda a, x: a + x)
-    return (10 - total % 10) % 10
+    return F.aggregate(F.transform(digits, lambda d, i: d * F.when(i % 2 == 0, 3).otherwise(1)), F.lit(0), lambda a, x: a + x, lambda total: (10 - total % 10) % 10)
 
 
-def is_valid_check_digit(digits: Column) -> Column:
+def is_valid_check_digit(code: Column) -> Column:
+    return let(code, _checked)
+
+
+def _checked(digits: Column) -> Column:
     n = F.length(digits)
     return gs1_check_digit(digits.substr(F.lit(1), n - 1)) == digits.substr(n, F.lit(1)).try_cast("int")
 
@@ -31,28 +34,39 @@ def is_restricted_circulation(digits: Column) -> Column:
 
 def parse_barcode(c: Column) -> Column:
     """struct(status, raw, gtin14, format, issue, formatting_removed)."""
-    t = F.coalesce(trimmed(c), F.lit(""))
-    grouped = t.rlike("^[0-9]+([ -][0-9]+)+$")
-    digits = F.when(grouped, F.regexp_replace(t, "[ -]", "")).otherwise(t)
-    form = F.when(F.length(digits) == 8, "EAN-8").when(F.length(digits) == 12, "UPC-A").when(F.length(digits) == 13, "EAN-13").when(F.length(digits) == 14, "GTIN-14")
-    issue = (
-        F.when(t == "", F.lit(None))
-        .when(t.rlike("^[0-9]+([.,][0-9]+)?[eE][+-]?[0-9]+$"), "scientific_notation")
-        .when(~digits.rlike("^[0-9]+$"), "not_digits")
-        .when(form.isNull(), "unsupported_length")
-        .when(digits.rlike("^0+$"), "all_zeros")
-        .when(~F.coalesce(is_valid_check_digit(digits), F.lit(False)), "bad_check_digit")
-    )
-    good = (t != "") & issue.isNull()
-    status = F.when(t == "", "missing").when(issue.isNotNull(), "invalid").when(is_restricted_circulation(digits), "restricted").otherwise("valid")
-    return F.struct(
-        status.alias("status"),
-        c.alias("raw"),
-        F.when(good, F.lpad(digits, 14, "0")).alias("gtin14"),
-        F.when((t != "") & digits.rlike("^[0-9]+$"), form).alias("format"),
-        issue.alias("issue"),
-        (grouped & (t != "")).alias("formatting_removed"),
-    )
+
+    def digits_of(t: Column) -> Column:
+        grouped = t.rlike("^[0-9]+([ -][0-9]+)+$")
+        return F.struct(t.alias("t"), grouped.alias("grouped"), F.when(grouped, F.regexp_replace(t, "[ -]", "")).otherwise(t).alias("digits"))
+
+    def issue_of(p: Column) -> Column:
+        t, digits = p["t"], p["digits"]
+        n = F.length(digits)
+        form = F.when(n == 8, "EAN-8").when(n == 12, "UPC-A").when(n == 13, "EAN-13").when(n == 14, "GTIN-14")
+        issue = (
+            F.when(t == "", F.lit(None))
+            .when(t.rlike("^[0-9]+([.,][0-9]+)?[eE][+-]?[0-9]+$"), "scientific_notation")
+            .when(~digits.rlike("^[0-9]+$"), "not_digits")
+            .when(form.isNull(), "unsupported_length")
+            .when(digits.rlike("^0+$"), "all_zeros")
+            .when(~F.coalesce(is_valid_check_digit(digits), F.lit(False)), "bad_check_digit")
+        )
+        return F.struct(p["t"].alias("t"), p["grouped"].alias("grouped"), digits.alias("digits"), form.alias("form"), issue.alias("issue"))
+
+    def result(p: Column) -> Column:
+        t, digits, issue = p["t"], p["digits"], p["issue"]
+        good = (t != "") & issue.isNull()
+        status = F.when(t == "", "missing").when(issue.isNotNull(), "invalid").when(is_restricted_circulation(digits), "restricted").otherwise("valid")
+        return F.struct(
+            status.alias("status"),
+            c.alias("raw"),
+            F.when(good, F.lpad(digits, 14, "0")).alias("gtin14"),
+            F.when((t != "") & digits.rlike("^[0-9]+$"), p["form"]).alias("format"),
+            issue.alias("issue"),
+            (p["grouped"] & (t != "")).alias("formatting_removed"),
+        )
+
+    return let(let(let(F.coalesce(trimmed(c), F.lit("")), digits_of), issue_of), result)
 
 
 def display_gtin(g: Column) -> Column:
@@ -70,5 +84,4 @@ def expand_upc_e(c: Column) -> Column:
         .when(last == "4", F.concat(d[1], d[2], d[3], d[4], zeros(5), d[5]))
         .otherwise(F.concat(d[1], d[2], d[3], d[4], d[5], zeros(4), last))
     )
-    full = F.concat(d[0], body, d[7])
-    return F.when(c.rlike("^[01][0-9]{7}$") & F.coalesce(is_valid_check_digit(full), F.lit(False)), full)
+    return let(F.concat(d[0], body, d[7]), lambda full: F.when(c.rlike("^[01][0-9]{7}$") & F.coalesce(is_valid_check_digit(full), F.lit(False)), full))

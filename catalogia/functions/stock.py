@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from catalogia.functions.cells import MAX_INT, is_empty_cell
-from catalogia.functions.text import trimmed
+from catalogia.functions.text import let, trimmed
 
 #: What suppliers write, in the order in which it is looked up (fixed values).
 AVAILABILITY_WORDS = [
@@ -20,8 +20,11 @@ MAX_LEAD_DAYS = 3650
 
 
 def availability_from_text(c: Column) -> Column:
-    t = F.regexp_replace(trimmed(c), r"(?U)\s+", " ")
-    out = F.when(F.coalesce(c, F.lit("")) == "", "unknown")
+    return let(F.coalesce(F.regexp_replace(trimmed(c), r"(?U)\s+", " "), F.lit("")), _availability)
+
+
+def _availability(t: Column) -> Column:
+    out = F.when(t == "", "unknown")
     out = out.when(t.rlike(r"^[<>]=?\s*[0-9]+$|^[0-9]+\+$"), F.when(t.rlike(r"^<=?\s*0$"), "out_of_stock").otherwise("in_stock"))
     for status, words in AVAILABILITY_WORDS:
         out = out.when(t.rlike(rf"(?iu)^({words})$"), status)
@@ -30,24 +33,30 @@ def availability_from_text(c: Column) -> Column:
 
 def split_quantity_cell(c: Column, is_numeric: Column | None = None) -> Column:
     """struct(quantity int, text, negative, out_of_range)."""
-    s = trimmed(c)
-    whole = s.rlike("^[0-9]+([.,]0+)?$")
-    digits = F.regexp_extract(s, "^([0-9]+)", 1)
-    n = F.when(whole, F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(MAX_INT + 1)))
-    minus = s.rlike("^-[0-9]+([.,]0+)?$")
-    some = ~is_empty_cell(c)
-    no = F.lit(False)
-    return F.struct(
-        F.when(some & (n <= MAX_INT), n).cast("int").alias("quantity"),
-        F.when(some & ~whole & ~minus, s).alias("text"),
-        F.coalesce(some & minus, no).alias("negative"),
-        F.coalesce(some & (n > MAX_INT), no).alias("out_of_range"),
-    )
+
+    def of(s: Column) -> Column:
+        whole = s.rlike("^[0-9]+([.,]0+)?$")
+        n = F.when(whole, F.coalesce(F.regexp_extract(s, "^([0-9]+)", 1).try_cast("decimal(38,0)"), F.lit(MAX_INT + 1)))
+        return F.struct(s.alias("s"), whole.alias("whole"), s.rlike("^-[0-9]+([.,]0+)?$").alias("minus"), n.alias("n"), (~is_empty_cell(s)).alias("some"))
+
+    def result(p: Column) -> Column:
+        some, n, no = p["some"], p["n"], F.lit(False)
+        return F.struct(
+            F.when(some & (n <= MAX_INT), n).cast("int").alias("quantity"),
+            F.when(some & ~p["whole"] & ~p["minus"], p["s"]).alias("text"),
+            F.coalesce(some & p["minus"], no).alias("negative"),
+            F.coalesce(some & (n > MAX_INT), no).alias("out_of_range"),
+        )
+
+    return let(let(trimmed(c), of), result)
 
 
 def resolve_stock(quantity: Column, text: Column) -> Column:
     """The status: the text's where the quantity is unknown; else the quantity's, which on_order and low_stock refine."""
-    said = availability_from_text(text)
+    return let(availability_from_text(text), lambda said: _resolved(quantity, said))
+
+
+def _resolved(quantity: Column, said: Column) -> Column:
     return F.when(quantity.isNull(), said).when(quantity == 0, F.when(said == "on_order", "on_order").otherwise("out_of_stock")).otherwise(F.when(said == "low_stock", "low_stock").otherwise("in_stock"))
 
 
@@ -57,9 +66,12 @@ def is_available(status: Column) -> Column:
 
 def parse_lead_time_days(c: Column) -> Column:
     """The upper end of a range, in days; null beyond ten years or where it isn't understood."""
-    s = trimmed(F.lower(c))
     form = rf"^([0-9]+)(?:\s*[-–a/]\s*([0-9]+))?\s*({DAYS}|{WEEKS})?\.?\s*(lavorativi)?$"
-    high = F.regexp_extract(s, form, 2)
-    n = F.when(high != "", high).otherwise(F.regexp_extract(s, form, 1)).try_cast("decimal(38,0)")
-    days = F.when(F.regexp_extract(s, form, 3).rlike(f"^({WEEKS})$"), n * 7).otherwise(n)
-    return F.when(~is_empty_cell(c) & s.rlike(form) & (days <= MAX_LEAD_DAYS), days).cast("int")
+
+    def of(s: Column) -> Column:
+        high = F.regexp_extract(s, form, 2)
+        n = F.when(high != "", high).otherwise(F.regexp_extract(s, form, 1)).try_cast("decimal(38,0)")
+        days = n * F.when(F.regexp_extract(s, form, 3).rlike(f"^({WEEKS})$"), 7).otherwise(1)
+        return F.when(~is_empty_cell(s) & s.rlike(form) & (days <= MAX_LEAD_DAYS), days).cast("int")
+
+    return let(trimmed(F.lower(c)), of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -20,6 +21,11 @@ def _accents() -> tuple[str, str]:
 _MARKED, _PLAIN = _accents()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: nested parsers would double the expression at every level."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -52,6 +58,10 @@ def trigrams(c: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; 0 where either side has none."""
-    x, y = trigrams(a), trigrams(b)
-    shared = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) <= 0) | (F.size(y) <= 0), F.lit(0.0)).otherwise(shared / (F.size(x) + F.size(y) - shared))
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        shared = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) <= 0) | (F.size(y) <= 0), F.lit(0.0)).otherwise(shared / (F.size(x) + F.size(y) - shared))
+
+    return let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), of)

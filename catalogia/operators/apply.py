@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalogia.operators.changes import _json, diff_offers
@@ -63,7 +65,8 @@ def link_products(rows: DataFrame, identifiers: DataFrame, products: DataFrame)
     )
     alone = F.concat_ws("|", F.lit("s:"), offer_id(F.col("supplier_id"), F.col("sku")), F.col("run_id"))
     j = asking.join(known, gtin == F.col("_g"))
-    is_first = F.col("owner").isNull() & (F.col("f") == F.struct("as_of", "supplier_id", "row_number"))
+    j = j.withColumn("is_first", F.col("owner").isNull() & (F.col("f") == F.struct("as_of", "supplier_id", "row_number")))
+    is_first = F.col("is_first")
     conflicts = detect_identity_conflicts(F.col("offer.brand"), F.col("offer.attributes"), F.col("o_brand"), F.col("o_attributes"))
     j = j.withColumn("conflicts", F.when(~is_first, conflicts)).withColumn("owner", F.coalesce("owner", F.concat(F.lit("g:"), gtin)))
     clash = F.coalesce(F.size("conflicts") > 0, F.lit(False))
@@ -201,13 +204,13 @@ def update_supplier_freshness(suppliers: DataFrame, runs: DataFrame) -> DataFram
     return j.select(*(own.get(c, F.col(c)).alias(c) for c in suppliers.columns))
 
 
-def apply_import(norm: DataFrame, runs: DataFrame, state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def apply_import(norm: DataFrame, runs: DataFrame, state: dict[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
     """The whole step as one job. state: offers, identifiers, products (product_id, status, brand, attributes), suppliers, reviews (kind, product_id, candidate_product_id, offer_id, gtin, status).
 
-    At most one run a supplier in a call. Returns the same tables anew, and issues, changes, counters, relinks, guard.
+    At most one run a supplier in a call. keep (such as scratch.saved) holds the tables that several results are made from. Returns the same tables anew, and issues, changes, counters, relinks, guard.
     """
-    classified = classify(resolve_duplicate_skus(match_existing(norm, state["offers"])))
-    linked = link_products(classified, state["identifiers"], state["products"])
+    classified = keep(classify(resolve_duplicate_skus(match_existing(norm, state["offers"]))), "classified")
+    linked = keep(link_products(classified, state["identifiers"], state["products"]), "linked")
     had = state["offers"].filter("active").select("supplier_id")
     changes = offer_changes(linked, had)
     offers = updated_offers(state["offers"], classified, linked)

@@ -97,7 +97,7 @@ def text_search(products: DataFrame, offers: DataFrame, q: str) -> DataFrame:
     all_start = F.lit(bool(tokens))
     exact = F.lit(0.0)
     for t in tokens:
-        all_start = all_start & F.exists(w, lambda x, t=t: x.startswith(t))
+        all_start = all_start & (F.substring("t", 1, len(t)) == t) | all_start & F.contains(F.col("t"), F.lit(f" {t}"))
         exact = exact + F.array_contains(w, t).cast("double")
     sku = offers.filter(F.col("active") & (F.lower("supplier_sku") == q.strip().lower())).select("product_id").distinct().withColumn("is_sku", F.lit(True))
     p = p.join(F.broadcast(sku.limit(COUNT_MAX)), "product_id", "left").withColumn("is_sku", F.coalesce("is_sku", F.lit(False))).withColumn("starts", all_start)

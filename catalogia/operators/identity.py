@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from catalogia.functions.text import normalize_attribute, normalize_brand
+from catalogia.functions.text import let, normalize_attribute, normalize_brand
 
 IDENTITY_ATTRIBUTES = ["color", "size", "variant", "net_content", "pieces"]
 
 
 def brands_conflict(a: Column, b: Column) -> Column:
     """Both known and different; one that holds the other (3 letters or more) is the same brand."""
-    x, y = normalize_brand(a), normalize_brand(b)
-    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    return F.coalesce((x != y) & ~((F.length(short) >= 3) & F.contains(long, short)), F.lit(False))
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        first = F.length(x) <= F.length(y)
+        holds = F.when(first, (F.length(x) >= 3) & F.contains(y, x)).otherwise((F.length(y) >= 3) & F.contains(x, y))
+        return F.coalesce((x != y) & ~holds, F.lit(False))
+
+    return let(F.struct(normalize_brand(a).alias("x"), normalize_brand(b).alias("y")), of)
 
 
 def detect_identity_conflicts(brand: Column, attributes: Column, product_brand: Column, product_attributes: Column) -> Column:

@@ -23,9 +23,9 @@ def _text(x) -> str | None:
 
 
 def latest_offer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the newest state of an offer; rows older than it are dropped; a change row for each price, availability or quantity that differs."""
+    """Keeps the newest state of an offer; rows come in the order of seq, and those older than the state are dropped; a change row for each price, availability or quantity that differs."""
     old = dict(zip(("price", "currency", "stock_status", "stock_quantity", "as_of"), state.get)) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["as_of", "seq"])
+    rows = pd.concat(list(batches)).sort_values("seq")
     out = []
     for r in rows.itertuples():
         qty = None if r.stock_quantity is None or r.stock_quantity != r.stock_quantity else int(r.stock_quantity)
