@@ -8,6 +8,7 @@ the chain of true records meets.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """One record a page, uncompressed, at most RECORDS_A_FILE a file. Each file is whole records; a revisit has the HTTP header without the payload."""
+    """One record a page, at most RECORDS_A_FILE a file, each file one gzip stream. Each file is whole records; a revisit has the HTTP header without the payload."""
     r = records(pages, least)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.length("payload").cast("string"), F.lit(CRLF * 2))
     again = F.col("refers_to").isNotNull()
@@ -74,7 +75,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Non
         F.when(again, F.lit("")).otherwise(F.col("payload").cast("string")),
         F.lit(CRLF),
     )
-    r.select(text.alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    r.select(text.alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def candidates(content: bytes) -> Iterator[tuple]:
@@ -131,7 +132,7 @@ def reachable(offsets: np.ndarray, nexts: np.ndarray) -> np.ndarray:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each true record of the archives: page_id, payload_bytes, payload_digest (of the full payload), record_type, refers_to.
 
-    A file is read by one task at a time; what is grouped by file is a short row a candidate.
+    Offsets are those of the unpacked stream. A file is read by one task at a time; what is grouped by file is a short row a candidate.
     """
     names = ["path", "offset", "next", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest"]
     schema = "path string, offset long, next long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
@@ -140,7 +141,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                rows = [(name, *c) for c in candidates(content.as_buffer().to_pybytes())]
+                raw = content.as_buffer().to_pybytes()
+                rows = [(name, *c) for c in candidates(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
