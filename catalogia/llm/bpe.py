@@ -50,8 +50,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         bits = low[w]
         r = w * FAN + (bits & -bits).bit_length() - 1
         bucket = buckets[r]
-        p = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            p = heappop(bucket)
+        else:
+            p = bucket[0]
             del buckets[r]
             bits &= bits - 1
             low[w] = bits
@@ -64,22 +66,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         nxt[p] = end
         prv[end] = p
         pair[q] = -1
-        before = prv[p]
-        for a, b in ((p, nxt[end] if end < n else 0), (before, end)):
-            if a < 0:
-                continue
-            new = get(piece[a:b]) if b else None
+        new = get(piece[p : nxt[end]]) if end < n else None
+        a, before = p, prv[p]
+        while True:  # the merged symbol's pair, then that of the symbol before it
             if new is None:
                 pair[a] = -1
-                continue
-            pair[a] = new
-            if new in buckets:
-                heappush(buckets[new], a)
             else:
-                buckets[new] = [a]
-                x = new // FAN
-                low[x] = low.get(x, 0) | 1 << new % FAN
-                high |= 1 << x
+                pair[a] = new
+                if new in buckets:
+                    heappush(buckets[new], a)
+                else:
+                    buckets[new] = [a]
+                    x = new // FAN
+                    low[x] = low.get(x, 0) | 1 << new % FAN
+                    high |= 1 << x
+            if before < 0:
+                break
+            a, before = before, -1
+            new = get(piece[a:end])
     out = []
     i = 0
     while i < n:
