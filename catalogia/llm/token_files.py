@@ -25,6 +25,8 @@ TRAILER = struct.Struct("<QQQQ8s")
 #: A multiple of 64, so that full blocks end on a whole byte for any width.
 BLOCK_IDS = 65_536
 END_ID = 0
+#: Characters of text that a shard holds on average, at most.
+SHARD_CHARS = 128 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -145,18 +147,14 @@ class Shard:
 def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every text (null: empty), appends END_ID, and writes the ids in ascending id order.
 
-    Null ids come first; rows with equal ids follow one another by text. Shards are ranges of the id, found from the id column alone,
-    so that only one exchange moves the texts. An empty table writes no shard.
+    Null ids come first; rows with equal ids follow one another by text. Shards are ranges of the id; their number grows with the
+    text, so that a file stays small enough to be read whole by one task. An empty table writes no shard.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [(k + 1) / n for k in range(n - 1)]
-    bounds = (src.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] if cuts else None) or []
-    bounds = sorted(set(bounds))
-    pid = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    src = src.withColumn("shard", pid.cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "text")
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (src.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS + 1)
+    src = src.repartitionByRange(n, "doc_id").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
     width = bits_for(vocabulary)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
