@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 CACHE_ENTRIES = 700_000
 CACHE_CHARS = 48
+#: Characters of texts that are cut into chunks at once.
+GROUP_CHARS = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,6 +46,17 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterable[bytes]:
         """The ids of each text. White space in unusual places makes a text take the longer way, with the same ids."""
+        group, chars = [], 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= GROUP_CHARS:
+                yield from self._encode(group)
+                group, chars = [], 0
+        if group:
+            yield from self._encode(group)
+
+    def _encode(self, texts: list[str]) -> Iterable[bytes]:
         known = self.after_space
         for memory in (known, self.pieces):
             if len(memory) > CACHE_ENTRIES:
@@ -63,11 +76,23 @@ class ChunkEncoder:
             else:
                 plain[c] = pieces_of(c)
         there = self.pieces
-        lack = [x for x in set().union(*plain.values()) if x not in there]
-        here = dict(zip(lack, self.encode_many(lack)))
-        there.update((k, v) for k, v in here.items() if len(k) <= CACHE_CHARS)
+        here: dict[str, bytes] = {}
+        lack = []
+        for x in set().union(*plain.values()):
+            ids = get(x[1:]) if x[0] == " " else there.get(x)
+            if ids is None:
+                lack.append(x)
+            else:
+                here[x] = ids
+        for x, ids in zip(lack, self.encode_many(lack)):
+            here[x] = ids
+            if len(x) <= CACHE_CHARS:  # a piece after a space is a chunk itself
+                if x[0] == " ":
+                    known[x[1:]] = ids
+                else:
+                    there[x] = ids
         for c, parts in plain.items():
-            ids = fresh[c] = b"".join([there[x] if x in there else here[x] for x in parts])
+            ids = fresh[c] = b"".join([here[x] for x in parts])
             if len(c) <= CACHE_CHARS:
                 known[c] = ids
         for text, (first, rest, ids, gaps), head in zip(texts, looked, self.encode_many([x[0] for x in looked])):
