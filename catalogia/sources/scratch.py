@@ -7,14 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written in the folder of spark.checkpoint.dir (a temporary one only where that is unset) and read again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (in a temporary one only where that is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
@@ -22,6 +21,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
             _OWN[app] = tempfile.mkdtemp(prefix="spark-own-")
             atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         base = f"file://{_OWN[app]}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written in a folder of its own and read again."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

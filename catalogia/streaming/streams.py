@@ -25,26 +25,28 @@ def _text(x) -> str | None:
 def latest_offer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keeps the newest state of an offer; rows come in the order of seq, and those older than the state are dropped; a change row for each price, availability or quantity that differs."""
     old = dict(zip(("price", "currency", "stock_status", "stock_quantity", "as_of"), state.get)) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
+    names = ["seq", "as_of", "price", "currency", "stock_status", "stock_quantity"]
+    rows = sorted((r for b in batches for r in zip(*(b[c].tolist() for c in names))), key=lambda r: r[0])
     out = []
-    for r in rows.itertuples():
-        qty = None if r.stock_quantity is None or r.stock_quantity != r.stock_quantity else int(r.stock_quantity)
-        new = {"price": _text(r.price), "currency": _text(r.currency), "stock_status": _text(r.stock_status), "stock_quantity": qty, "as_of": r.as_of}
+    for _, as_of, price, currency, status, stocked in rows:
+        qty = None if stocked is None or stocked != stocked else int(stocked)
+        new = {"price": _text(price), "currency": _text(currency), "stock_status": _text(status), "stock_quantity": qty, "as_of": as_of}
         if old is not None:
             if new["as_of"] < pd.Timestamp(old["as_of"]):
                 continue
             if (old["price"], old["currency"]) != (new["price"], new["currency"]):
-                out.append((*key, "price", old["price"], new["price"], r.as_of))
+                out.append((*key, "price", old["price"], new["price"], as_of))
             if old["stock_status"] != new["stock_status"]:
-                out.append((*key, "availability", old["stock_status"], new["stock_status"], r.as_of))
+                out.append((*key, "availability", old["stock_status"], new["stock_status"], as_of))
             elif old["stock_quantity"] != new["stock_quantity"]:
-                out.append((*key, "stock", _text(old["stock_quantity"]), _text(new["stock_quantity"]), r.as_of))
+                out.append((*key, "stock", _text(old["stock_quantity"]), _text(new["stock_quantity"]), as_of))
         else:
-            out.append((*key, "new_offer", None, new["price"], r.as_of))
+            out.append((*key, "new_offer", None, new["price"], as_of))
         old = new
     if old is not None:
         state.update((old["price"], old["currency"], old["stock_status"], old["stock_quantity"], pd.Timestamp(old["as_of"]).to_pydatetime()))
-    yield pd.DataFrame(out, columns=["supplier_id", "supplier_sku", "change_type", "old_value", "new_value", "as_of"])
+    if out:
+        yield pd.DataFrame(out, columns=["supplier_id", "supplier_sku", "change_type", "old_value", "new_value", "as_of"])
 
 
 def stream_offer_changes(rows: DataFrame) -> DataFrame:
