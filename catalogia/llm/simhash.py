@@ -73,11 +73,6 @@ def cover_of_eight() -> list[tuple[int, ...]]:
     return sorted(triples)
 
 
-def neighbour_pairs(n_bytes: int) -> list[tuple[int, ...]]:
-    """Disjoint pairs of positions: likely to catch close fingerprints, without the guarantee."""
-    return [(k, k + 1) for k in range(0, n_bytes, 2)]
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     """Which of the links (a, b) join something new."""
     root = list(range(n))
@@ -139,10 +134,30 @@ def close_pairs(prints: np.ndarray, ids: np.ndarray, lists: np.ndarray, radius:
         yield ids[a[keep] + s], ids[b[keep] + s]
 
 
-def link(prints: DataFrame, n_bytes: int, radius: int, cover: list[tuple[int, ...]], least: int, hot: int = HOT) -> DataFrame:
-    """prints: rep (long), fingerprint (binary), all different. Returns links a, b that join all pairs within the radius that share a list."""
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, cut only between lists (column list, in order): a batch may end within a list, so its last list waits for the next batch."""
+    held: pa.Table | None = None
+    for b in (*batches, None):
+        t = held
+        if b is not None:
+            new = pa.Table.from_batches([b])
+            t = new if held is None else pa.concat_tables([held, new])
+        if t is None or not t.num_rows:
+            continue
+        key = t.column("list").to_numpy()
+        end = len(key) if b is None else int(np.searchsorted(key, key[-1], "left"))
+        held = t.slice(end)
+        if end:
+            yield t.slice(0, end)
+
+
+def link(prints: DataFrame, n_bytes: int, radius: int, cover: list[tuple[int, ...]] | None, least: int, hot: int = HOT) -> DataFrame:
+    """prints: rep (long), fingerprint (binary), all different. Returns links a, b that join all pairs within the radius that share a list.
+
+    Without a cover, prints has the lists itself (lists, array of longs).
+    """
     spark = prints.sparkSession
-    lists = F.array(*(F.xxhash64(F.lit(k), *(F.substring("fingerprint", p + 1, 1) for p in c)) for k, c in enumerate(cover)))
+    lists = F.col("lists") if cover is None else F.array(*(F.xxhash64(F.lit(k), *(F.substring("fingerprint", p + 1, 1) for p in c)) for k, c in enumerate(cover)))
     posts = prints.select("rep", "fingerprint", F.explode(lists).alias("list"))
     # The length of a list bounds a task's work: those over `hot` are cut into blocks, and each pair of blocks is a list of its own.
     full = common.saved(prints.select(F.explode(lists).alias("list")).groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot-lists")
@@ -163,22 +178,9 @@ def link(prints: DataFrame, n_bytes: int, radius: int, cover: list[tuple[int, ..
     common.small_batches(spark, 200_000, 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in (*batches, None):  # a batch may end within a list: its last list waits for the next batch
-            t = held
-            if b is not None:
-                new = pa.Table.from_batches([b])
-                t = new if held is None else pa.concat_tables([held, new])
-            if t is None or not t.num_rows:
-                continue
-            key = t.column("list").to_numpy()
-            end = len(key) if b is None else int(np.searchsorted(key, key[-1], "left"))
-            held = t.slice(end)
-            if not end:
-                continue
-            t = t.slice(0, end)
+        for t in whole_lists(batches):
             raw = np.frombuffer(b"".join(t.column("fingerprint").to_pylist()), np.uint8).reshape(-1, n_bytes)
-            for x, y in close_pairs(raw, t.column("rep").to_numpy(), key[:end], radius, least, t.column("side").to_numpy()):
+            for x, y in close_pairs(raw, t.column("rep").to_numpy(), t.column("list").to_numpy(), radius, least, t.column("side").to_numpy()):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return common.saved(dealt.mapInArrow(run, "a long, b long").distinct(), "close")
@@ -216,25 +218,151 @@ def linked_fingerprints(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: For documents that share four fifths of their five-word shingles, two fingerprint bits differ with probability 0.152 (the angle between
-#: the shingle sets, over a half turn): 78 of 512 on average, with a standard deviation of 8.
-WIDE_WORDS, WIDE_RADIUS, WIDE_LEAST = 8, 82, 4
+#: Proposals for the near copies of the corpus: HASHES minima of a document's different shingles, BANDS lists by ROWS minima each, and two bits of
+#: every minimum as a print. At a similarity of exactly 0.8 two documents share no list with probability (1 - 0.8 ** 6) ** 32 = 6e-5, and their
+#: prints differ in 51 of 512 bits on average, with a standard deviation of 8: WIDE is 4.5 of these above. Only shingles count, so texts of any length are alike.
+HASHES, BANDS, ROWS, WIDE = 256, 32, 6, 88
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
+#: A link of near copies: at least ALIKE[0] / ALIKE[1] of the shingles of both are in each of them.
+ALIKE = (4, 5)
+COPY_SIZE = 5
+#: Verification: members, and shingles of all members, of a block; larger groups are dealt out as blocks against blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1 << 20
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, COPY_SIZE))
+
+
+def set_key(h: np.ndarray) -> int:
+    """A long for a shingle set."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+
+def sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The print (512 bits) and the lists of a shingle set."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 256):
+        np.minimum(least, (h[at : at + 256, None] * MULTIPLIERS).min(0), out=least)
+    two = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(62)
+    raw, width = least.tobytes(), 8 * ROWS
+    lists = [xxhash.xxh64_intdigest(raw[width * k : width * (k + 1)], k) for k in range(BANDS)]
+    return np.packbits(np.stack((two & np.uint64(1), two >> np.uint64(1))).astype(np.uint8)).tobytes(), np.array(lists, np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, words (a hash of the text), rep (a long for the shingle set), fingerprint, lists of each row. No exchange."""
+    common.small_batches(docs.sparkSession, 2000)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("words"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "words", "rep", "fingerprint", "lists"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, prints, lists = [], [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_set(t)
+                p, k = sketch(h)
+                sets.append(set_key(h))
+                prints.append(p)
+                lists.append(k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("words"), pa.array(sets, pa.int64()), pa.array(prints, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names)
+
+    return src.mapInArrow(run, "doc_id long, words long, rep long, fingerprint binary, lists array<long>")
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of shingle sets are near copies, by exact counts; side as in close_pairs."""
+    n = len(sets)
+    sizes = np.array(list(map(len, sets)))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set alone is in no intersection
+    here = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[here]], np.repeat(np.arange(n), sizes)[here]
+    order = np.argsort(column, kind="stable")
+    column, owner, total = column[order], owner[order], int(shared.sum())
+    both = np.zeros((n, n), np.float64)
+    for at in range(0, total, 4096):
+        low, high = np.searchsorted(column, (at, at + 4096))
+        held = np.zeros((n, min(4096, total - at)), np.float32)
+        held[owner[low:high], column[low:high] - at] = 1
+        both += held @ held.T
+    good = ALIKE[1] * both >= ALIKE[0] * (sizes[:, None] + sizes[None] - both)
+    return np.nonzero(np.triu(good & ((side[:, None] != side[None]) | (side[:, None] == 2)), 1))
+
+
+def verified(docs: DataFrame, groups: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """groups: doc_id (that has the text), rep, root. Links a, b that join all pairs of reps of one root that are near copies."""
+    spark = docs.sparkSession
+    common.small_batches(spark, 2000)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            mine = pa.array([set_key(h) == k for h, k in zip(sets, b.column("rep").to_pylist())], pa.bool_())  # an id may have other texts, too
+            cols = [b.column("rep"), b.column("root"), pa.array(map(len, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "root", "n", "shingles"]).filter(mine)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(groups, "doc_id").select("rep", "root", "text")
+    sets = common.saved(texts.mapInArrow(cut, "rep long, root long, n long, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n") / block_shingles)).cast("int").alias("blocks")
+    large = sets.groupBy("root").agg(blocks).filter("blocks > 1")
+    dealt = sets.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"),
+        "rep",
+        "shingles",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    dealt = dealt.repartition("list").sortWithinPartitions("list", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_lists(batches):
+            key, side, reps = (t.column(c).to_numpy() for c in ("list", "side", "rep"))
+            shingles = t.column("shingles").to_pylist()
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
+            x, y = [], []
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s > 1:
+                    a, b = alike([np.frombuffer(h, np.uint64) for h in shingles[s:e]], side[s:e])
+                    keep = _forest(e - s, a, b)
+                    x.append(reps[a[keep] + s])
+                    y.append(reps[b[keep] + s])
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()), pa.array(np.concatenate(y), pa.int64())], ["a", "b"])
+
+    return common.saved(dealt.mapInArrow(run, "a long, b long").distinct(), "verified")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, words (a hash of the text), rep, first (the smallest doc_id that links of near copies reach) of each row; every row has an id and a word.
+
+    Sketches only propose: proposals make groups, and within each group all pairs are compared by their exact shingle sets. Only such links count.
+    """
+    found = common.saved(sketches(docs), "sketches")
+    reps = common.saved(found.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("lists").alias("lists")), "sketch-classes")
+    groups = components(link(reps, HASHES // 4, WIDE, None, 0))
+    groups = common.saved(reps.select("rep", "doc_id").join(groups, F.col("rep") == F.col("node")).select("doc_id", "rep", "root"), "proposed")
+    roots = components(verified(docs, groups)).withColumnRenamed("node", "rep")
+    linked = reps.select("rep", "doc_id").join(roots, "rep")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("first"))
+    classes = reps.select("rep", "doc_id").join(linked.select("rep", "root").join(least, "root"), "rep", "left").select("rep", F.coalesce("first", "doc_id").alias("first"))
+    return found.join(classes, "rep").select("doc_id", "words", "rep", "first")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are near copies (similarity of five-word shingles of about 0.8 or more) of one with a smaller id.
+    """docs without those that are near copies (at least four fifths of both's different five-word shingles shared) of one with a smaller id, or of such a one.
 
-    512-bit fingerprints; the lists are of pairs of bytes, so a pair at the very edge may be missed with a probability of a tenth; none is invented.
-    Rows of one id and fingerprint are one document's repeats: one of them stays. Rows without a word aren't compared, and stay.
+    Every link is verified by the exact shingle sets; one at the very edge is missed with a probability of under 1e-4 (see HASHES).
+    Rows of one id and shingle set are one document's repeats: rows of equal id and text become one. Rows without a word aren't compared, and stay.
     """
     names = docs.columns
-    cover = neighbour_pairs(8 * WIDE_WORDS)
     wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$") | F.col("doc_id").isNull()
     rows = docs.filter(~wordless)
-    near = common.saved(near_duplicates(rows, 5, WIDE_WORDS, WIDE_RADIUS, cover, WIDE_LEAST), "near")
-    gone = near.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = rows.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if not near.groupBy("doc_id", "fingerprint").count().filter("count > 1").isEmpty():
+    near = common.saved(near_copies(rows), "near")
+    gone = near.filter(F.col("first") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"), F.col("words").alias("_words")).distinct()
+    kept = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64("text") == F.col("_words")), "left_anti")
+    if not near.groupBy("doc_id", "rep").count().filter("count > 1").isEmpty():
         print_of = common.new_name(docs, "print")
         kept = kept.withColumn(print_of, F.xxhash64("text")).dropDuplicates(["doc_id", print_of]).drop(print_of)
     return kept.select(*names).union(docs.filter(wordless).select(*names))

@@ -155,6 +155,61 @@ def test_keep_one_of_each(spark):
     assert not set(copies) & set(kept)
 
 
+def with_jaccard(rnd, vocab, n, share):
+    """Two texts of n or more words whose shingle similarity is close to share: some words at the end replaced, so that n - 4 - k of n - 4 + k are shared."""
+    k = round((n - 4) * (1 - share) / (1 + share))
+    base = rnd.choices(vocab, k=n)
+    return " ".join(base), " ".join(base[: n - k] + rnd.choices(vocab, k=k))
+
+
+def test_near_copies_are_those_of_the_exact_similarity(spark):
+    """Pairs on both sides of 0.8, of short and long texts; prints alone took many for copies that weren't, and missed others."""
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(50_000)]
+    rows, want = [], set()
+    for i in range(600):
+        a, b = with_jaccard(rnd, vocab, rnd.choice((14, 31, 64, 300)), rnd.choice((0.7, 0.74, 0.77, 0.79, 0.8, 0.805, 0.82, 0.85, 0.9)))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if jaccard(a, b) >= 0.8:
+            want.add(2 * i + 1)
+    chain = rnd.choices(vocab, k=200)  # each a copy of the one before it only
+    for k in range(6):
+        rows.append((5000 + k, " ".join(chain)))
+        chain = chain[15:] + rnd.choices(vocab, k=15)
+        want |= {5000 + k} if k else set()
+    rows += [(7000, rows[0][1]), (7000, "quite another text under the same id as a copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs).collect()]
+    assert {i for i, _ in rows} - {i for i, _ in kept} == want and sorted(kept)[-1] == rows[-1] and [i for i, _ in kept].count(7000) == 1
+
+
+@pytest.mark.parametrize(("block_rows", "block_shingles"), [(128, 1 << 20), (7, 1 << 20), (128, 900)])
+def test_groups_cut_into_blocks_lose_no_link(spark, block_rows, block_shingles):
+    rnd = random.Random(22)
+    base = [f"u{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            t[rnd.randrange(120)] = f"x{rnd.random()}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {simhash.set_key(simhash.shingle_set(t)): i for i, t in enumerate(texts)}
+    groups = spark.createDataFrame([(i, k, 1) for k, i in keys.items()], "doc_id long, rep long, root long")
+    links = simhash.verified(docs, groups, block_rows, block_shingles)
+    assert all(jaccard(texts[keys[r.a]], texts[keys[r.b]]) >= 0.8 for r in links.collect())
+    got = {keys[r.node]: r.root for r in components.components(links).collect()}
+    classes = {}
+    for i in range(60):
+        classes.setdefault(got.get(i, -i), set()).add(i)
+    want = {i: i for i in range(60)}
+    for a, b in combinations(range(60), 2):
+        if jaccard(texts[a], texts[b]) >= 0.8 and want[a] != want[b]:
+            old = want[b]
+            want = {i: want[a] if r == old else r for i, r in want.items()}
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(i for i in want if want[i] == r) for r in set(want.values()))
+
+
 def test_pipeline_stages_and_empty_table(spark, tmp_path):
     rnd = random.Random(3)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
