@@ -2,8 +2,9 @@
 
 The smallest Euclidean distance is the largest inner product of (x, -|x|^2 / 2) with (q, 1). Vectors are quantised in blocks of DIMS dimensions
 with 16 centroids each, so a code takes four bits. The loss weighs the residual's part along the vector by ETA against the part across it:
-errors along the vector change large inner products most. A scan adds up one table entry a block; the best SHORTLIST candidates of
-each query are then measured exactly on the original vectors.
+errors along the vector change large inner products most. A scan adds up one table entry a block. Each row keeps how far its code is from it,
+so a scan bounds every distance from below; all rows whose bound doesn't exceed the k-th distance met so far are measured exactly on the
+original vectors. The result is exact however close the vectors lie.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ CENTROIDS = 16
 ETA = 3.0
 #: The codebooks are fitted on at most about so many vectors; every vector is indexed.
 TRAIN_VECTORS = 8_000
-SHORTLIST = 200
 #: Queries that are broadcast at once; more are searched in further passes.
 QUERY_BLOCK = 4_096
 
@@ -55,7 +55,11 @@ class Quantiser:
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(blocks, 16, queries): each centroid's part of the inner product with each query."""
         parts = q.reshape(len(q), len(self.books), DIMS)
-        return np.einsum("kcd,qkd->kcq", self.books, parts).astype(np.float32)
+        return np.einsum("kcd,qkd->kcq", self.books, parts)
+
+    def decode(self, codes: np.ndarray, size: int) -> np.ndarray:
+        """The first `size` dimensions of the vectors that the codes stand for."""
+        return np.concatenate([self.books[k][codes[:, k]] for k in range(len(self.books))], 1)[:, :size]
 
 
 def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> Quantiser:
@@ -113,19 +117,80 @@ def _augmented(x: np.ndarray, scale: float) -> np.ndarray:
     return np.concatenate((x, half, np.zeros((len(x), -(x.shape[1] + 1) % DIMS))), 1)
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
+class Nearest:
+    """The k nearest rows of each query among those met so far: distances by the exact formula, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.columns = np.ascontiguousarray(q.T)
+        self.square = (q * q).sum(1)
+        self.score = np.full((len(ids), k), np.inf)
+        self.name = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.met = np.zeros(len(ids), np.int64)
+
+    def reach(self, upper: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """No more than this is the k-th distance of each query, if upper (rows, queries) bounds the distances of the next rows; NaN bounds nothing."""
+        far = self.score[:, -1]
+        if len(upper) >= self.k and (self.met < self.k).any():
+            upper = np.where(other & ~np.isnan(upper), upper, np.inf)
+            far = np.minimum(far, np.partition(upper, self.k - 1, 0)[self.k - 1])
+        return far
+
+    def add(self, names: np.ndarray, v: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+        """Rows with bounds of their distances (rows, queries) to the queries."""
+        other = names[:, None] != self.ids[None]
+        open_ = ~(lower > self.reach(upper, other)) & other
+        rows = np.flatnonzero(open_.any(1))
+        if not len(rows):
+            return
+        names, v, other, open_ = names[rows], v[rows], other[rows], open_[rows]
+        # One matrix product tells most of the rest; what rounding could have moved stays in.
+        squares = (v * v).sum(1)[:, None] + self.square[None]
+        apart, slack = squares - 2 * (v @ self.q.T), 1e-9 * squares
+        far = self.reach(np.sqrt(np.maximum(apart + slack, 0)), other)
+        i, j = np.nonzero(open_ & ~(np.sqrt(np.maximum(apart - slack, 0)) * (1 - 1e-9) > far))
+        if not len(i):
+            return
+        score = np.empty(len(i))
+        columns = np.ascontiguousarray(v.T)
+        for at in range(0, len(i), 200_000):
+            x, y = i[at : at + 200_000], j[at : at + 200_000]
+            total = np.zeros(len(x))
+            for d in range(len(columns)):
+                part = columns[d][x] - self.columns[d][y]
+                total += part * part
+            score[at : at + 200_000] = np.sqrt(total)
+        touched, own = np.unique(j, return_inverse=True)
+        self.met[touched] += np.bincount(own)
+        k, n = self.k, len(touched)
+        own = np.concatenate((np.repeat(np.arange(n), k), own))
+        score = np.concatenate((self.score[touched].ravel(), score))
+        name = np.concatenate((self.name[touched].ravel(), names[i]))
+        order = np.lexsort((name, score, own))
+        own = own[order]
+        first = order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+        self.score[touched], self.name[touched] = score[first].reshape(n, k), name[first].reshape(n, k)
+
+    def rows(self) -> pa.RecordBatch:
+        there = np.arange(self.k)[None] < self.met[:, None]
+        cols = [np.broadcast_to(self.ids[:, None], there.shape)[there], self.name[there], self.score[there]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+
+
+def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """base, queries: vec_id, v as usable() gives them, of one length. query_id, rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller vec_id.
 
-    A query isn't its own candidate. Base is read once to index it, once a block of queries to scan the codes, and once for the exact measure.
+    A query isn't its own candidate. Base is read to fit and to index it; its codes and vectors are read once a block of queries. Each task gives its k
+    nearest of each query, so what is exchanged doesn't depend on how many rows lie near one another.
     """
     spark = base.sparkSession
-    base = common.saved(base, "vectors")
     n = base.count()
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
     sample = common.sampled(base, "vec_id", TRAIN_VECTORS, n).orderBy("vec_id").select("v").toPandas()["v"]
     x = np.stack(sample.to_numpy()) if len(sample) else np.stack([base.first()["v"]])
+    size = x.shape[1]
     scale = float(max(np.sqrt((x * x).sum(1)).mean(), 1e-30))
     quantiser = fit(_augmented(x, scale))
     common.small_batches(spark, 4096)
@@ -133,71 +198,54 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, shortlist: int = SH
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = quantiser.encode(_augmented(_matrix(b.column("v")), scale))
+                v = _matrix(b.column("v"))
+                codes = quantiser.encode(_augmented(v, scale))
+                off = np.sqrt(((v - quantiser.decode(codes, size)) ** 2).sum(1))
                 if codes.shape[1] % 2:
                     codes = np.concatenate((codes, np.zeros((len(codes), 1), np.uint8)), 1)
                 packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "code"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(off)], ["vec_id", "v", "code", "off"])
 
-    codes = common.saved(base.mapInArrow(index, "vec_id long, code binary"), "codes")
+    codes = common.saved(base.mapInArrow(index, "vec_id long, v array<double>, code binary, off double"), "codes")
     queries = common.saved(queries, "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
-    short = None
+    near = None
     for block in range(blocks):
         mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
         got = mine.orderBy("vec_id").toPandas()
         if not len(got):
             continue
-        q = np.stack(got["v"].to_numpy())
-        q = np.concatenate((q, np.full((len(q), 1), scale), np.zeros((len(q), -(q.shape[1] + 1) % DIMS))), 1)
-        sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), quantiser.tables(q)))
+        sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.stack(got["v"].to_numpy())))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, tables = sent.value
-            best_s, best_v = np.empty((len(ids), 0), np.float32), np.empty((len(ids), 0), np.int64)
+            ids, q = sent.value
+            tables = quantiser.tables(np.concatenate((q, np.zeros((len(q), quantiser.books.shape[0] * DIMS - size))), 1))
+            best = Nearest(ids, q, k)
             for b in batches:
                 if not b.num_rows:
                     continue
                 packed = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                names = b.column("vec_id").to_numpy()
+                names, off, v = b.column("vec_id").to_numpy(), b.column("off").to_numpy(), _matrix(b.column("v"))
                 for at in range(0, len(names), 512):
-                    part, own = packed[at : at + 512], names[at : at + 512]
-                    s = np.zeros((len(part), len(ids)), np.float32)
+                    part = packed[at : at + 512]
+                    s = np.zeros((len(part), len(ids)))
                     for j in range(len(tables)):
                         s += tables[j][part[:, j // 2] >> 4 * (j % 2) & 15]
-                    s[own[:, None] == ids[None]] = -np.inf
-                    best_s, best_v = _best(np.concatenate((best_s, s.T), 1), np.concatenate((best_v, np.broadcast_to(own, (len(ids), len(own)))), 1), shortlist)
-            if best_s.shape[1]:
-                there = np.isfinite(best_s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_v[there]), pa.array(best_s[there])], ["query_id", "vec_id", "about"])
-
-        near = codes.mapInArrow(scan, "query_id long, vec_id long, about float")
-        order = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-        near = common.saved(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= shortlist).select("query_id", "vec_id"), "shortlist")
-        short = near if short is None else short.union(near)
-    if short is None:
+                    code = quantiser.decode(np.stack([part[:, j // 2] >> 4 * (j % 2) & 15 for j in range(len(tables))], 1), size)
+                    squares = (code * code).sum(1)[:, None] + best.square[None]
+                    far, slack = squares - 2 * s, 1e-9 * squares
+                    away = off[at : at + 512, None] * (1 + 1e-9)
+                    best.add(names[at : at + 512], v[at : at + 512], np.sqrt(np.maximum(far - slack, 0)) - away, np.sqrt(np.maximum(far + slack, 0)) + away)
+            yield best.rows()
+
+        found = common.saved(codes.mapInArrow(scan, "query_id long, vec_id long, score double"), "nearest")
+        near = found if near is None else near.union(found)
+    if near is None:
         return spark.createDataFrame([], out)
-    exact = short.join(base, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    apart = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    ranked = exact.select("query_id", "vec_id", apart.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(s: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The largest `most` of each row; among equals at the edge, the smallest ids."""
-    if s.shape[1] <= most:
-        return s, v
-    edge = -np.partition(-s, most - 1, 1)[:, most - 1 : most]
-    above, equal = s > edge, s == edge
-    if (equal.sum(1) + above.sum(1) > most).any():
-        want = most - above.sum(1)
-        for r in np.flatnonzero(equal.sum(1) > want):
-            at = np.flatnonzero(equal[r])
-            equal[r, at[np.argsort(v[r, at], kind="stable")[want[r] :]]] = False
-    take = above | equal
-    return s[take].reshape(len(s), most), v[take].reshape(len(s), most)
-
-
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """The k nearest of each vector whose id is divisible by `every`, among all others. Vectors not of the most frequent length take no part."""
     base = common.saved(usable(vectors), "usable")

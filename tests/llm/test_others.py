@@ -174,6 +174,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).collect() == [] and ann.nearest(df.filter("vec_id = 100")).collect() == []
 
 
+def test_nearest_among_crowded_vectors(spark):
+    """A third of the rows lies near one vector, closer than the codes can tell: the true ten must still come."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    crowd = rng.permutation(6000)[:2000]
+    x[crowd] = x[crowd[0]] + rng.normal(size=(2000, 16)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert set(got) == set(range(0, 6000, 100)) and len(set(got) & set(crowd.tolist())) > 10
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [found[k] for k in range(1, 11)] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_anisotropic_loss_favours_the_parallel_part():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 16))
