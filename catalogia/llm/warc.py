@@ -26,7 +26,8 @@ LEAST_BYTES = 0
 RECORDS_A_FILE = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-LONGEST_HEADER = 1 << 16
+#: Type of the row for a file's end.
+END = "end"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -79,9 +80,14 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Non
 
 
 def candidates(content: bytes) -> Iterator[tuple]:
-    """(offset, next, type, page, refers_to, payload_bytes, digest) for each place that reads as a record; whether it is one isn't known yet."""
+    """(offset, next, type, page, refers_to, payload_bytes, digest) for each place that reads as a record; whether it is one isn't known yet.
+
+    A record starts the file or follows an empty line, so no two headers overlap: however long they are, each byte is looked at once for them.
+    """
     for m in MAGIC.finditer(content):
-        end = content.find(b"\r\n\r\n", m.end() - 2, m.start() + LONGEST_HEADER)
+        if m.start() and content[max(0, m.start() - 4) : m.start()] != b"\r\n\r\n":
+            continue
+        end = content.find(b"\r\n\r\n", m.end() - 2)
         if end < 0:
             continue
         head = {}
@@ -133,6 +139,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each true record of the archives: page_id, payload_bytes, payload_digest (of the full payload), record_type, refers_to.
 
     Offsets are those of the unpacked stream. A file is read by one task at a time; what is grouped by file is a short row a candidate.
+    A file whose records don't lead to its last byte is an error: nothing behind a bad record is lost without notice.
     """
     names = ["path", "offset", "next", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest"]
     schema = "path string, offset long, next long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
@@ -142,16 +149,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
                 raw = content.as_buffer().to_pybytes()
-                rows = [(name, *c) for c in candidates(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                rows = [*((name, *c) for c in candidates(raw)), (name, len(raw), len(raw) + 1, END, None, None, 0, "")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     with common.one_row_batches(spark):
         found = common.saved(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(find, schema), "warc-candidates")
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("offset")
-        return rows[reachable(rows["offset"].to_numpy(), rows["next"].to_numpy())]
+        kept = rows[reachable(rows["offset"].to_numpy(), rows["next"].to_numpy())]
+        if not len(kept) or kept["record_type"].iloc[-1] != END:
+            raise ValueError(f"{rows['path'].iloc[0]}: no record at byte {kept['next'].iloc[-1] if len(kept) else 0}")
+        return kept[:-1]
 
     kept = found.groupBy("path").applyInPandas(chain, schema)
     return kept.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -232,6 +232,19 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_long_urls_hide_no_page(spark, tmp_path):
+    rows = [(k, "http://a/" + "u" * (100_000 if k == 5 else 3), f"page {k}") for k in range(11)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted(r.page_id for r in warc.archived(pages).collect()) == list(range(11))
+    (tmp_path / "part-0").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nA: b\r\n\r\nc\r\n\r\nnot a record")
+    with pytest.raises(Exception, match="no record at byte"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_headers_are_searched_once():
+    assert not list(warc.candidates(b"WARC/1.1\r\n" * 200_000))
+
+
 def test_chain_needs_the_file_start():
     offs, nxt = np.array([0, 5, 9, 20, 30]), np.array([9, 20, 30, 30, 44])
     assert warc.reachable(offs, nxt).tolist() == [True, False, True, False, True]
