@@ -78,15 +78,21 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: Schema) -> DataFrame
     A row for each different call_id and for each result without a call:
     kind (call or orphan_result), conv_id, call_id, depth, name, n_calls and n_results (repeats of the identifier; the smallest content counts), result_id,
     status (linked, unanswered, cycle, orphan), valid, errors (comma-separated), message (canonical JSON).
-    Null identifiers: a call is dropped from the linking (it can't be answered) and a result is an orphan, each kept as one row by content.
+    Null identifiers link nothing: each such call is an unanswered row of its own, each such result an orphan row of its own.
     """
-    calls = calls.select("call_id", "conv_id", "name", "arguments", "parent_id").filter("call_id is not null")
+    calls = calls.select("call_id", "conv_id", "name", "arguments", "parent_id")
+    nameless, calls = calls.filter("call_id is null"), calls.filter("call_id is not null")
+    lone, results = results.filter("call_id is null"), results.filter("call_id is not null")
     one = calls.groupBy("call_id").agg(F.min(F.struct("conv_id", "name", "arguments", "parent_id")).alias("c"), F.count("*").alias("n_calls"))
     one = common.saved(one.select("call_id", "c.*", "n_calls"), "chat-calls")
     answers = results.groupBy(F.col("call_id").alias("rid")).agg(F.min(F.struct("content", "result_id")).alias("r"), F.count("*").alias("n_results"))
     place = depths(one.select("call_id", "parent_id"))
     both = one.join(answers, F.col("call_id") == F.col("rid"), "full_outer").join(place.withColumnRenamed("call_id", "pid"), F.col("call_id") == F.col("pid"), "left")
-    is_call = F.col("call_id").isNotNull()
+    behind = F.when(F.col("pid").isNull(), 0).otherwise(F.col("depth") + 1).cast("long")
+    nameless = nameless.join(place.withColumnRenamed("call_id", "pid"), F.col("parent_id") == F.col("pid"), "left").withColumn("depth", behind).withColumn("n_calls", F.lit(1).cast("long"))
+    lone = lone.select(F.struct("content", "result_id").alias("r"), F.lit(1).cast("long").alias("n_results"))
+    both = both.unionByName(nameless, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True)
+    is_call = F.col("n_calls").isNotNull()
     errors = argument_errors(F.col("name"), F.col("arguments"), tools)
     status = F.when(~is_call, "orphan").when(F.col("depth").isNull(), "cycle").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     boxed = lambda c: F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})  # noqa: E731  {"x":...}

@@ -6,11 +6,12 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalogia.llm import ann, chat, langid, telephony, toxicity, warc
+from catalogia.llm import ann, chat, langid, queries as llm_queries, telephony, toxicity, warc
 
 # ---- telephony
 
@@ -273,6 +274,25 @@ def test_conversations(spark):
     assert chat.linked_conversations(df.limit(0)).count() == 0
 
 
+def test_null_identifiers_keep_every_row(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (6, None, "system", "c"), (None, 2, "assistant", "d"), (None, 2, "assistant", "d"), (6, None, "assistant", "e"), (7, 1, "user", "f"), (7, 2, "assistant", "g")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.linked_conversations(df).collect()
+    calls = sorted((r.conv_id or 0, r.name, r.depth, r.n_calls, r.n_results, r.status, json.loads(r.message)["arguments"]["prompt"]) for r in got if r.kind == "call" and r.call_id is None)
+    assert calls == [(0, "respond", 0, 1, 0, "unanswered", t) for t in "aab"] + [(6, "configure", 0, 1, 0, "unanswered", "c")]
+    orphans = sorted((r.status, r.n_calls, r.n_results, json.loads(r.message)["result"]) for r in got if r.kind == "orphan_result")
+    assert orphans == [("orphan", 0, 1, t) for t in "dde"]
+    assert [(r.call_id, r.status, r.depth) for r in got if r.call_id] == [("7:1", "linked", 0)] and len(got) == 8
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    told = con.sql(llm_queries.ORACLE_SQL["op9_tool_calls"]).fetchall()
+    # The SQL keeps these rows, too. It knows a call by its identifier, though, so it calls those without one orphans, and its NOT IN has no depth where
+    # any identifier is null: these columns aren't compared.
+    assert sorted((r[1] or 0, r[4] or "") for r in told) == sorted((r.conv_id or 0, r.name or "") for r in got)
+    assert [(*r[:3], *r[4:]) for r in got if r.call_id] == [(*r[:3], *r[4:]) for r in told if r[2]]
+
+
 def test_calls_in_general(spark):
     tools = {"add": {"a": ("int", True, 0, 9), "note": ("string", False, None, 3)}}
     cases = [('{"a": 3}', ""), ('{"a": 12}', "range:a"), ('{"a": "3"}', "type:a"), ('{"note": "xxxx"}', "missing:a,range:note"), ('{"a": 1, "z": 2, "b": 3}', "unexpected:b,unexpected:z"), ("[1]", "not_an_object"), ("{bad", "not_an_object"), (None, "not_an_object"), ('{"a": 1.5}', "type:a"), ('{"a": null}', "missing:a")]
