@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -17,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from catalogia.llm import common
-from catalogia.llm.wordpieces import ChunkEncoder
+from catalogia.llm.wordpieces import PATTERN, WordEncoder
 
 FAN = 256
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 20
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -109,17 +112,31 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
-        self.chunks = ChunkEncoder(self._many)
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.ends = np.cumsum([0, *map(len, self.bytes_of)])
+        self.encoder = WordEncoder(self._words, self._whole, cuts=pattern == PATTERN)
 
-    def _many(self, chunks: list[str]) -> list[bytes]:
-        ranks, find = self.ranks, self.pattern.findall
-        return [np.array([i for m in find(c) for i in merge(m.encode("utf-8", "replace"), ranks)], np.uint32).tobytes() for c in chunks]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", merge(w, self.ranks)).tobytes() for w in words]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        yield from self.chunks.encode(texts)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        cut = [[w.encode("utf-8", "replace") for w in self.pattern.findall(t)] for t in texts]
+        words = list(set().union(*cut))
+        ids = dict(zip(words, self.encoder.remembered(words)))
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        yield from self.encoder.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
+        """The bytes of the ids, gathered from one flat table: for each id its place there, then all places in between."""
+        out = []
+        for at in range(0, len(ids), 4 * DECODED_IDS):
+            x = np.frombuffer(ids[at : at + 4 * DECODED_IDS], np.uint32)
+            start, size = self.ends[x], self.ends[x + 1] - self.ends[x]
+            before = np.cumsum(size) - size
+            out.append(self.flat[np.repeat(start - before, size) + np.arange(int(size.sum()))].tobytes())
+        return b"".join(out)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -141,7 +158,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         c = codec(path, pattern)
         for b in batches:
             names, counts, sums, backs, kept = b.column("doc_id"), [], [], [], []
-            for ids in c.encode(b.column("text").to_pylist()):
+            for ids in c.encode(b.column("text")):
                 counts.append(len(ids) // 4)
                 sums.append(hashlib.sha256(ids).hexdigest())
                 backs.append(hashlib.sha256(c.decode(ids)).hexdigest())

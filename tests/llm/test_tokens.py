@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from catalogia.llm import bpe, packing, token_files
-from catalogia.llm.wordpieces import ChunkEncoder, library_encoder
+from catalogia.llm.wordpieces import Memory, library_encoder
 
 BYTE = P.path("byte_bpe_50k.json")
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -33,21 +34,46 @@ def docs(spark, texts, extra=True):
     return spark.createDataFrame(rows, "doc_id long, text string, start long, line string").repartition(3)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("ab 'sé\n\t\x1c.,1  　"), max_size=30), max_size=4))
-def test_chunks_equal_the_whole(texts):
-    lib = Tokenizer.from_file(BYTE) if not hasattr(test_chunks_equal_the_whole, "lib") else test_chunks_equal_the_whole.lib
-    test_chunks_equal_the_whole.lib = lib
+PARTS = ["a", "b", "é", "ß", "Z", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "'", "'s", "'re", "'ll", "'m", "'x", ".", ",", "$$", "1", "²", "½", "ª", "日", "😀", "ɏ", "ɐ", "\x00", "<|endoftext|>"]
+
+
+def compare(texts, lib, tik):
     got = [np.frombuffer(x, np.uint32).tolist() for x in library_encoder(BYTE).encode(texts)]
     assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, np.uint32).tolist() for x in bpe.codec(MULTI, P.PATTERN).encode(texts)]
+    assert got == [tik.encode_ordinary(t) for t in texts]
+
+
+def test_words_equal_the_whole(lib, tik):
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25).map("".join), max_size=5))
+    def each(texts):
+        compare(texts, lib, tik)
+
+    each()
+    rnd = random.Random(9)
+    compare(["".join(rnd.choices(PARTS[:20] + PARTS[20:25] * 3, k=rnd.randrange(40))) for _ in range(20_000)], lib, tik)
+
+
+def test_many_groups_and_sliced_columns(monkeypatch, lib, tik):
+    monkeypatch.setattr("catalogia.llm.wordpieces.GROUP_BYTES", 20)
+    texts = [t for t in ODD if t is not None]
+    compare(texts, lib, tik)
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    assert list(library_encoder(BYTE).encode(column)) == list(library_encoder(BYTE).encode(texts))
+
 
+def test_memory_forgets_only_what_is_not_met():
+    m, asked = Memory(3), []
 
-def test_cache_is_emptied_when_full(monkeypatch):
-    monkeypatch.setattr("catalogia.llm.wordpieces.CACHE_ENTRIES", 3)
-    e = ChunkEncoder(lambda ts: [t.encode() for t in ts])
-    for _ in range(3):
-        assert list(e.encode(["a b c", "d e f g"])) == [b"a b c", b"d e f g"]
-        assert len(e.after_space) <= 5
+    def encode(words):
+        asked.extend(words)
+        return [w.upper() for w in words]
+
+    for words in ([b"a", b"b", b"c", b"d"], [b"a", b"e"], [b"f", b"g", b"a"], [b"h"], [b"a", b"b", b"z" * 99], [b"z" * 99]):
+        assert m.ids(words, encode) == [w.upper() for w in words]
+        assert len(m.young) <= 8 and len(m.old) <= 8
+    assert asked.count(b"a") == 1 and asked.count(b"b") == 2 and asked.count(b"z" * 99) == 2
 
 
 @settings(max_examples=40, deadline=None)
@@ -87,6 +113,29 @@ def test_token_files_empty_and_null_ids(spark):
     assert [r.doc_id for r in got] == [None, None, 3, 3] and [r.start for r in got] == [0, 1, 3, 5]
 
 
+def test_rows_of_one_id_are_dealt_over_shards(spark, lib, tmp_path):
+    """Every row has one id, a third of them the same text: no shard takes them all, and starts have no gap."""
+    rows = [(7, "same" if i % 3 == 0 else f"text {i}") for i in range(600)]
+    path = str(tmp_path / "files")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTE, 50257, path, shards=6)
+    got = token_files.read_token_files(spark, path).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append((r.start, r.n_tokens))
+    assert len(got) == 600 and len(by) == 6 and max(map(len, by.values())) < 200
+    for found in by.values():
+        at = 0
+        for start, n in sorted(found):
+            assert start == at
+            at += n
+    index = token_files.token_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTE, 50257).collect()
+    assert sorted(r.n_tokens for r in index) == sorted(len(lib.encode(t).ids) + 1 for _, t in rows)
+    at = 0
+    for r in sorted(index, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_rank_queue_equals_tiktoken(tik):
     ranks = bpe.read_ranks(MULTI)
     rnd = random.Random(3)
@@ -135,6 +184,20 @@ def test_pack_items(spark):
             assert bins <= 1.06 * sum(sizes) / 100
 
 
+@pytest.mark.parametrize("task_items", [40, 100_000])
+def test_a_task_packs_a_bounded_number_of_items(spark, task_items):
+    """Partitions of many more items than a task may pack at once, and columns with the names that the result has."""
+    rnd = random.Random(8)
+    sizes = [rnd.randrange(1, 101) for _ in range(1500)]
+    schema = "sequence_id long, offset string, fill int, merged int, item int, length long"
+    items = spark.createDataFrame([(i, "x", 1, 2, 3, n) for i, n in enumerate(sizes)], schema).repartition(3)
+    out = packing.pack_items(items, 100, 2, task_items)
+    assert out.columns == ["_sequence_id", "_offset", "fill", "merged", "item", "length", "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted((r._sequence_id, r._offset, r.length) for r in rows) == [(i, "x", n) for i, n in enumerate(sizes)]
+    assert check_packing(rows, 100) <= 1.06 * sum(sizes) / 100
+
+
 def test_best_fit_against_brute_force():
     rnd = random.Random(6)
     for _ in range(50):
