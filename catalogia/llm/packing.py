@@ -2,7 +2,7 @@
 
 Each partition packs its own items best-fit, largest first. Bins whose room is at most `slack` are final. Underfull bins become
 items themselves: they are dealt into an eighth as many partitions, packed best-fit again, and so on up to one partition.
-A task never gets more than TASK_ITEMS items on average: with more underfull bins than that, a round keeps more partitions.
+A task packs about TASK_ITEMS items at once: with more underfull bins than that, a round keeps more partitions.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ END_ID = 0
 SLACK = 8
 TASK_ITEMS = 250_000
 FAN_IN = 8
-ROUNDS = 8
+#: Bytes of items that a task holds at once.
+GATHER_BYTES = 64 << 20
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,51 +56,65 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return where, offset, np.array(fills, np.int64)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = TASK_ITEMS, size: int = GATHER_BYTES) -> Iterator[pa.Table]:
+    """The rows in tables of about `rows` rows or `size` bytes, whatever a partition holds."""
+    got: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+            if sum(x.num_rows for x in got) >= rows or sum(x.nbytes for x in got) >= size:
+                yield pa.Table.from_batches(got)
+                got = []
+    if got:
+        yield pa.Table.from_batches(got)
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_items: int = TASK_ITEMS) -> DataFrame:
     """items: any columns and `length`, 1 to capacity. Returns them with sequence_id and offset, gapless from 0.
 
-    items should be cheap to read again (a written table). An empty table gives an empty one; repeated rows are packed as often as they come.
+    items should be cheap to read again (a written table). An empty table gives an empty one; repeated rows are packed as often as they come; items of one
+    length keep their order. A column of items that is called sequence_id or offset is given back under that name with an underscore before it.
+    A task packs at most about task_items at once, however large its partition is; rounds go on until one task has met all underfull bins or, where these
+    are too many for one task, until a round of fewest tasks merges less than one in a hundred.
     """
     from pyspark import TaskContext
 
     spark = items.sparkSession
-    out_schema = T.StructType([*items.schema, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "fill"))])
+    for c in ("sequence_id", "offset"):
+        if c in (x.lower() for x in items.columns):
+            items = items.withColumnRenamed(c, common.new_name(items, f"_{c}"))
+    names = items.columns
+    fill = common.new_name(items, "fill")
+    out_schema = T.StructType([*items.schema, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", fill))])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gathered(batches)
-        if t is None:
-            return
-        where, offset, fills = best_fit(t.column("length").to_numpy().astype(np.int64), capacity)
         base = TaskContext.get().partitionId() << 32
-        for k, v in (("sequence_id", where + base), ("offset", offset), ("fill", fills[where])):
-            t = t.append_column(k, pa.array(v, pa.int64()))
-        yield from t.combine_chunks().to_batches(10_000)
+        for t in _gathered(batches, task_items):
+            where, offset, fills = best_fit(t.column("length").to_numpy().astype(np.int64), capacity)
+            for k, v in (("sequence_id", where + base), ("offset", offset), (fill, fills[where])):
+                t = t.append_column(k, pa.array(v, pa.int64()))
+            base += len(fills)
+            yield from t.to_batches(10_000)
 
     placed = common.saved(items.mapInArrow(local, out_schema), "packed-local")
-    bins = placed.filter(F.col("fill") < capacity - slack).groupBy(F.col("sequence_id").alias("item")).agg(F.first("fill").alias("length"))
+    bins = placed.filter(F.col(fill) < capacity - slack).groupBy(F.col("sequence_id").alias("item")).agg(F.first(fill).alias("length"))
     left = common.saved(bins, "packed-underfull")
     steps: list[DataFrame] = []
     count, parts = left.count(), max(1, placed.rdd.getNumPartitions())
-    for k in range(ROUNDS):
-        if count < 2:
-            break
-        parts = max(1, -(-parts // FAN_IN), -(-count // TASK_ITEMS))
+    while count > 1:
+        fewest = -(-count // task_items)
+        parts = max(fewest, -(-parts // FAN_IN))
+        k = len(steps)
         tag = (k + 1) << 56
 
         def again(batches: Iterator[pa.RecordBatch], tag: int = tag) -> Iterator[pa.RecordBatch]:
-            t = _gathered(batches)
-            if t is None:
-                return
-            t = t.sort_by([("length", "descending"), ("item", "ascending")])
-            where, offset, fills = best_fit(t.column("length").to_numpy().astype(np.int64), capacity)
             base = tag + (TaskContext.get().partitionId() << 32)
-            cols = [t.column("item").combine_chunks(), pa.array(where + base), pa.array(offset), pa.array(fills[where])]
-            yield from pa.Table.from_arrays(cols, ["item", "merged", "shift", "filled"]).to_batches(50_000)
+            for t in _gathered(batches, 4 * task_items):
+                t = t.sort_by([("length", "descending"), ("item", "ascending")])
+                where, offset, fills = best_fit(t.column("length").to_numpy().astype(np.int64), capacity)
+                cols = [t.column("item"), pa.array(where + base), pa.array(offset), pa.array(fills[where])]
+                base += len(fills)
+                yield from pa.Table.from_arrays(cols, ["item", "merged", "shift", "filled"]).combine_chunks().to_batches(50_000)
 
         deal = F.pmod(F.xxhash64("item", F.lit(k)), F.lit(parts)).cast("int")
         step = common.saved(left.withColumn("deal", deal).repartitionById(parts, F.col("deal")).select("item", "length").mapInArrow(again, "item long, merged long, shift long, filled long"), f"packed-round-{k}")
@@ -107,7 +122,9 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -
         if parts == 1:
             break
         left = common.saved(step.filter(F.col("filled") < capacity - slack).groupBy(F.col("merged").alias("item")).agg(F.first("filled").alias("length")), f"packed-left-{k}")
-        count = left.count()
+        before, count = count, left.count()
+        if parts == fewest and count > 0.99 * before or len(steps) == 126:
+            break
     whole = None
     for step in reversed(steps):  # from an item of the first round to its last bin
         step = step.select("item", "merged", "shift")
@@ -116,17 +133,17 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -
         else:
             up = whole.select(F.col("item").alias("merged"), F.col("merged").alias("top"), F.col("shift").alias("more"))
             whole = step.join(up, "merged", "left").select("item", F.coalesce("top", "merged").alias("merged"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-    names = items.columns
     if whole is None:
         return placed.select(*names, "sequence_id", "offset")
-    whole = whole.withColumnRenamed("item", "sequence_id")
-    return placed.join(whole, "sequence_id", "left").select(*names, F.coalesce("merged", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    whole = whole.select(F.struct("merged", "shift").alias(fill), F.col("item").alias("sequence_id"))
+    return placed.drop(fill).join(whole, "sequence_id", "left").select(*names, F.coalesce(F.col(fill)["merged"], "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce(F.col(fill)["shift"], F.lit(0))).alias("offset"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of each encoded document (null text: empty; END_ID closes each): doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
-    Only documents of more than capacity tokens are cut; then every piece but the first has capacity tokens.
+    Only documents of more than capacity tokens are cut; then every piece but the first has capacity tokens. A row of docs gives its pieces by itself, so
+    repeated ids and null ids give theirs as often as they come; other columns of docs don't matter. Very long texts are a batch of their own.
     """
     common.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -138,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
         end = np.uint32(END_ID).tobytes()
         for b in batches:
             rows = []
-            for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+            for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text"))):
                 ids += end
                 n = len(ids) // 4
                 cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
@@ -151,6 +168,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    return pack_items(common.saved(token_pieces(docs, tokenizer, capacity), "pieces"), capacity, slack)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, keep_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs, and its ids if asked for."""
+    return pack_items(common.saved(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids), "pieces"), capacity, slack)

@@ -25,6 +25,7 @@ TRAILER = struct.Struct("<QQQQ8s")
 #: A multiple of 64, so that full blocks end on a whole byte for any width.
 BLOCK_IDS = 65_536
 END_ID = 0
+TIE_CHARS = 32
 #: Characters of text that a shard holds on average, at most.
 SHARD_CHARS = 128 << 20
 
@@ -147,14 +148,17 @@ class Shard:
 def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every text (null: empty), appends END_ID, and writes the ids in ascending id order.
 
-    Null ids come first; rows with equal ids follow one another by text. Shards are ranges of the id; their number grows with the
-    text, so that a file stays small enough to be read whole by one task. An empty table writes no shard.
+    Null ids come first; rows with equal ids follow one another by the first TIE_CHARS characters of their texts, then by a hash of these. Shards are ranges of
+    all that, and repeated rows are numbered, so an id that many rows have is dealt over many shards. Their number grows with the text, so that a file
+    stays small enough to be read whole by one task. An empty table writes no shard. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (src.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS + 1)
-    src = src.repartitionByRange(n, "doc_id").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "start", "hash", "number"]
+    src = src.select("doc_id", "text", F.substring("text", 1, TIE_CHARS).alias("start"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    src = src.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("shard"))
     width = bits_for(vocabulary)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: st
             for b in batches:
                 if b.num_rows:
                     number = b.column("shard")[0].as_py()
-                    for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+                    for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text"))):
                         yield name, ids + end
 
         it = encoded()
