@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,10 +142,80 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
-def test_risk_stays_above_zero():
-    rows = [np.array([0]), np.array([0, 1]), np.array([1]), np.array([2]), np.array([2])] * 4
-    w, b = toxicity.fit_nnpu(rows, np.array([1, 1, 0, 0, 0] * 4), 0.4, 3)
-    assert w[0] + b > 0 > w[2] + b
+def brute_risks(f, confirmed, prior):
+    """The two terms of the risk, one document at a time."""
+    loss = lambda x, y: math.log1p(math.exp(-x * y))
+    p, u = [x for x, c in zip(f, confirmed) if c], [x for x, c in zip(f, confirmed) if not c]
+    on_p = lambda y: prior * sum(loss(x, y) for x in p) / len(p)
+    return on_p(1), sum(loss(x, -1) for x in u) / len(u) - on_p(-1)
+
+
+def test_risk_against_brute_force_and_finite_differences():
+    rng = np.random.default_rng(4)
+    for prior in (0.05, 0.3, 0.7):
+        f, confirmed = rng.normal(size=30) * 2, np.arange(30) % 3 == 0
+        positive, negative, d_positive, d_negative = toxicity.risks(f, confirmed, prior)
+        assert np.allclose((positive, negative), brute_risks(f, confirmed, prior))
+        for i in range(30):
+            up, down = f.copy(), f.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            slope = (np.array(brute_risks(up, confirmed, prior)) - brute_risks(down, confirmed, prior)) / 2e-5
+            assert np.allclose(slope, (d_positive[i], d_negative[i]), atol=1e-8)
+
+
+def test_negative_risk_is_corrected():
+    """The unlabelled rows hold fewer positives than the prior says: the estimate of the risk on negatives goes below zero, and steps go the other way."""
+    confirmed = np.array([1] * 10 + [0] * 40)
+    rows = [np.array([0])] * 10 + [np.array([0])] * 2 + [np.array([1])] * 38
+    w, b, upward = toxicity.fit_nnpu(rows, confirmed, 0.4, 2)
+    f = np.array([w[r].sum() + b for r in rows])
+    free = 0.4 * np.logaddexp(0, f[:10]).mean()  # what an unclamped fit would drive far above the loss on the unlabelled rows
+    assert upward > 0 and w[0] > w[1] and np.logaddexp(0, f[10:]).mean() > free - 0.1
+    _, _, never = toxicity.fit_nnpu([np.array([0])] * 10 + [np.array([0])] * 20 + [np.array([1])] * 20, confirmed, 0.3, 2, steps=40)
+    assert never == 0
+
+
+def test_unlabelled_text_takes_part(spark):
+    """Labels cover toxic documents only with one insult; the prior and the unlabelled rows decide the rest, and labelled others aren't negatives."""
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(rnd.choices(vocab, k=30) + (["nastyword"] if i % 5 == 0 else []))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 600, 3)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    only = toxicity.train(docs.join(marks, "doc_id", "left_semi"), marks, prior=0.2)
+    assert math.isclose(model["prior"], 0.2) and not np.array_equal(model["weights"], only["weights"])
+    flipped = toxicity.train(docs, marks.filter("toxic = 1"), prior=0.2)  # without the others' labels: the same model
+    assert np.array_equal(model["buckets"], flipped["buckets"]) and np.allclose(model["weights"], flipped["weights"])
+    got = docs.select("doc_id", toxicity.toxicity_of(F.col("text"), model).alias("s")).collect()
+    assert all((r.s >= 0.7) == (r.doc_id % 5 == 0) for r in got)
+
+
+def test_grams_against_brute_force(monkeypatch):
+    monkeypatch.setattr("catalogia.llm.toxicity.SLICE", 7)
+    texts = ["Abc-defgh ÉÈ", None, "", "x" * 40, "a b c de"]
+    got = Counter()
+    for t, b in toxicity.gram_buckets(pa.array(texts)):
+        got.update(zip(t.tolist(), b.tolist()))
+    want = Counter()
+    for k, t in enumerate(texts):
+        raw = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in f" {t or ''} ".lower().encode())
+        for n in toxicity.SIZES:
+            for i in range(len(raw) - n + 1):
+                if b" " not in raw[i + 1 : i + n - 1]:
+                    h = 0
+                    for c in raw[i : i + n]:
+                        h = (h * 0x100000001B3 + c + 1) % 2**64
+                    want[k, ((h ^ h >> 29) * 0x9E3779B97F4A7C15) % 2**64 >> 44] += 1
+    assert got == want
+
+
+def test_cut_is_at_the_prior_and_never_within_ties():
+    f = np.array([0.0] * 90 + [3.0] * 10)
+    b = toxicity.decision_bias(f, 0.1, 0.7, 100)
+    assert (1 / (1 + np.exp(-(f + b))) >= 0.7).tolist() == [False] * 90 + [True] * 10
+    assert ((np.zeros(50) + toxicity.decision_bias(np.zeros(50), 0.1, 0.7, 50)) < 0.8).all() and toxicity.decision_bias(np.zeros(1), 0.5, 0.7, 9) == 0.0
 
 
 # ---- nearest neighbours
