@@ -38,13 +38,15 @@ _TABLE: list[np.ndarray] = []
 
 
 def symbols(text: str) -> np.ndarray:
-    """Letters in lower case, with one gap before, between and after runs of them; characters beyond the basic plane count as one letter."""
+    """Letters in lower case, with one gap before, between and after runs of them; letters beyond the basic plane count as one letter, all else there as a gap."""
     if not _TABLE:
         _TABLE.append(_symbol_table())
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     s = _TABLE[0][np.minimum(cp, 0xFFFF)]
     if cp.size and cp.max() > 0xFFFF:
-        s = np.where(cp > 0xFFFF, 0xFFFD, s)
+        far = np.flatnonzero(cp > 0xFFFF)
+        kinds, which = np.unique(cp[far], return_inverse=True)
+        s[far] = np.array([0xFFFD if chr(c).isalpha() else _GAP for c in kinds.tolist()], np.int64)[which]
     s = np.concatenate(([_GAP], s, [_GAP]))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != _GAP) | (s[:-1] != _GAP)
