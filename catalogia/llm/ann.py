@@ -1,10 +1,11 @@
 """Nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and exact reranking.
 
-The smallest Euclidean distance is the largest inner product of (x, -|x|^2 / 2) with (q, 1). Vectors are quantised in blocks of DIMS dimensions
-with 16 centroids each, so a code takes four bits. The loss weighs the residual's part along the vector by ETA against the part across it:
-errors along the vector change large inner products most. A scan adds up one table entry a block. Each row keeps how far its code is from it,
-so a scan bounds every distance from below; all rows whose bound doesn't exceed the k-th distance met so far are measured exactly on the
-original vectors. The result is exact however close the vectors lie.
+|x - q|^2 = |x|^2 - 2 x.q + |q|^2, so nearness is the inner product of a row's direction with q, times the row's norm, which is kept as it is: rows of very uneven
+norms are coded alike. Directions are quantised in blocks of DIMS dimensions with 16 centroids each, so a code takes four bits. The loss weighs the
+residual's part along the vector by ETA against the part across it: errors along the vector change large inner products most. A scan adds up one table
+entry a block. Each row keeps how far its code is from it, so a scan bounds every distance from below; all rows whose bound doesn't exceed the k-th
+distance met so far are measured exactly on the original vectors. The result is exact however close the vectors lie; where numbers
+overflow, nothing is bounded, and the row is measured.
 """
 
 from __future__ import annotations
@@ -111,10 +112,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _augmented(x: np.ndarray, scale: float) -> np.ndarray:
-    """(x, -|x|^2 / (2 scale)), padded to whole blocks; scale keeps the added component of the vectors' size."""
-    half = -(x * x).sum(1, keepdims=True) / (2 * scale)
-    return np.concatenate((x, half, np.zeros((len(x), -(x.shape[1] + 1) % DIMS))), 1)
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, padded to whole blocks, and norms; x has no zero row. Dividing by the largest component first keeps squares from overflowing."""
+    largest = np.abs(x).max(1, keepdims=True)
+    part = x / largest
+    size = np.sqrt((part * part).sum(1, keepdims=True))
+    return np.concatenate((part / size, np.zeros((len(x), -x.shape[1] % DIMS))), 1), (largest * size)[:, 0]
 
 
 class Nearest:
@@ -123,7 +126,8 @@ class Nearest:
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
         self.columns = np.ascontiguousarray(q.T)
-        self.square = (q * q).sum(1)
+        with np.errstate(over="ignore"):
+            self.square = (q * q).sum(1)
         self.score = np.full((len(ids), k), np.inf)
         self.name = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.met = np.zeros(len(ids), np.int64)
@@ -146,6 +150,7 @@ class Nearest:
         names, v, other, open_ = names[rows], v[rows], other[rows], open_[rows]
         # One matrix product tells most of the rest; what rounding could have moved stays in.
         squares = (v * v).sum(1)[:, None] + self.square[None]
+        squares[~np.isfinite(squares)] = np.nan
         apart, slack = squares - 2 * (v @ self.q.T), 1e-9 * squares
         far = self.reach(np.sqrt(np.maximum(apart + slack, 0)), other)
         i, j = np.nonzero(open_ & ~(np.sqrt(np.maximum(apart - slack, 0)) * (1 - 1e-9) > far))
@@ -191,22 +196,23 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sample = common.sampled(base, "vec_id", TRAIN_VECTORS, n).orderBy("vec_id").select("v").toPandas()["v"]
     x = np.stack(sample.to_numpy()) if len(sample) else np.stack([base.first()["v"]])
     size = x.shape[1]
-    scale = float(max(np.sqrt((x * x).sum(1)).mean(), 1e-30))
-    quantiser = fit(_augmented(x, scale))
+    quantiser = fit(directions(x)[0])
     common.small_batches(spark, 4096)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 v = _matrix(b.column("v"))
-                codes = quantiser.encode(_augmented(v, scale))
-                off = np.sqrt(((v - quantiser.decode(codes, size)) ** 2).sum(1))
+                unit, norm = directions(v)
+                codes = quantiser.encode(unit)
+                with np.errstate(all="ignore"):
+                    off = np.sqrt(((v - norm[:, None] * quantiser.decode(codes, size)) ** 2).sum(1))
                 if codes.shape[1] % 2:
                     codes = np.concatenate((codes, np.zeros((len(codes), 1), np.uint8)), 1)
                 packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(off)], ["vec_id", "v", "code", "off"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(norm), pa.array(off)], ["vec_id", "v", "code", "norm", "off"])
 
-    codes = common.saved(base.mapInArrow(index, "vec_id long, v array<double>, code binary, off double"), "codes")
+    codes = common.saved(base.mapInArrow(index, "vec_id long, v array<double>, code binary, norm double, off double"), "codes")
     queries = common.saved(queries, "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
     near = None
@@ -225,17 +231,21 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if not b.num_rows:
                     continue
                 packed = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                names, off, v = b.column("vec_id").to_numpy(), b.column("off").to_numpy(), _matrix(b.column("v"))
+                names, norm, off, v = *(b.column(c).to_numpy() for c in ("vec_id", "norm", "off")), _matrix(b.column("v"))
                 for at in range(0, len(names), 512):
                     part = packed[at : at + 512]
-                    s = np.zeros((len(part), len(ids)))
-                    for j in range(len(tables)):
-                        s += tables[j][part[:, j // 2] >> 4 * (j % 2) & 15]
-                    code = quantiser.decode(np.stack([part[:, j // 2] >> 4 * (j % 2) & 15 for j in range(len(tables))], 1), size)
-                    squares = (code * code).sum(1)[:, None] + best.square[None]
-                    far, slack = squares - 2 * s, 1e-9 * squares
-                    away = off[at : at + 512, None] * (1 + 1e-9)
-                    best.add(names[at : at + 512], v[at : at + 512], np.sqrt(np.maximum(far - slack, 0)) - away, np.sqrt(np.maximum(far + slack, 0)) + away)
+                    picked = [part[:, j // 2] >> 4 * (j % 2) & 15 for j in range(len(tables))]
+                    with np.errstate(all="ignore"):
+                        s = np.zeros((len(part), len(ids)))
+                        for table, c in zip(tables, picked):
+                            s += table[c]
+                        r = norm[at : at + 512, None]
+                        code = quantiser.decode(np.stack(picked, 1), size)
+                        squares = r * r * (code * code).sum(1)[:, None] + best.square[None]
+                        squares[~np.isfinite(squares)] = np.nan
+                        far, slack = squares - 2 * r * s, 1e-9 * squares
+                        away = off[at : at + 512, None] * (1 + 1e-9)
+                        best.add(names[at : at + 512], v[at : at + 512], np.sqrt(np.maximum(far - slack, 0)) - away, np.sqrt(np.maximum(far + slack, 0)) + away)
             yield best.rows()
 
         found = common.saved(codes.mapInArrow(scan, "query_id long, vec_id long, score double"), "nearest")
