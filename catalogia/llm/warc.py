@@ -23,7 +23,8 @@ from catalogia.llm import common
 CRLF = "\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-RECORDS_A_FILE = 20_000
+#: An archive has at most so many records, and about so many bytes of payloads, as far as the mean page tells.
+RECORDS_A_FILE, FILE_BYTES = 20_000, 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: Type of the row for a file's end.
@@ -53,8 +54,10 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """One record a page, at most RECORDS_A_FILE a file, each file one gzip stream. Each file is whole records; a revisit has the HTTP header without the payload."""
+    """One record a page, at most RECORDS_A_FILE and about FILE_BYTES a file, each file one gzip stream. Each file is whole records; a revisit has the HTTP header without the payload."""
     r = records(pages, least)
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    most = max(1, min(RECORDS_A_FILE, int(FILE_BYTES / (mean + 500))))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.length("payload").cast("string"), F.lit(CRLF * 2))
     again = F.col("refers_to").isNotNull()
     size = F.length(http) + F.when(again, 0).otherwise(F.length("payload"))
@@ -76,7 +79,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Non
         F.when(again, F.lit("")).otherwise(F.col("payload").cast("string")),
         F.lit(CRLF),
     )
-    r.select(text.alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
+    r.select(text.alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def candidates(content: bytes) -> Iterator[tuple]:
