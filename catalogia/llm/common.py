@@ -18,16 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or that which setCheckpointDir was told; a temporary one of our own only with a local master, where nothing else sees it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         path = tempfile.mkdtemp(prefix="spark-own-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         _OWN[app] = f"file://{path}"
-        spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 

@@ -72,6 +72,22 @@ def test_media(spark, tag):
         assert telephony.stored_and_read(docs).count() == len(texts) and telephony.stored_and_read(docs.limit(0)).count() == 0
 
 
+def test_every_codec_is_stored_as_pcm(spark):
+    texts = [f"text number {i} " * (i % 7) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i + 80, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tags = {telephony.codec_of(telephony.payload_of(t)[1]) for t in texts}
+    rows = {r.doc_id: r for r in telephony.stored_and_read(docs).collect()}
+    assert tags == {telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM} and len(rows) == 160
+    for i, t in enumerate(texts):
+        payload = telephony.payload_of(t)[1]
+        tag = telephony.codec_of(payload)
+        media = telephony.wav(payload, tag, 8000, *((4, 192) if tag == telephony.IMA_ADPCM else (8, 1)))
+        samples = telephony.to_pcm(media, telephony.STORED_RATE)
+        a, b = rows[i], rows[i + 80]
+        assert a.feature == b.feature and a.feature.endswith(hashlib.sha256(samples.tobytes()).hexdigest()[:16])
+        assert (a.payload_sha256, a.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest())
+
+
 # ---- language ID
 
 
@@ -94,19 +110,19 @@ def test_language_id(spark):
     syl = {"aa": ["ba", "lo", "mi"], "bb": ["xé", "tru", "ñok", "qu"], "cc": ["der", "sch", "ung"]}
     make = lambda k: " ".join("".join(rnd.choices(syl[k], k=rnd.randrange(1, 4))) for _ in range(40))
     rows = [(i, make(k), k, "s") for i, k in enumerate(rnd.choices(sorted(syl), k=240))]
-    rows += [(900, None, "aa", "s"), (901, "", "bb", "s"), (902, "123 !?", "aa", "s"), (903, make("aa") * 300, None, "s"), (904, "😀𝔘 ba", None, "s"), (None, make("bb"), "bb", "s")]
+    rows += [(900, None, "aa", "s"), (901, "", "bb", "s"), (902, "123 !?", "aa", "s"), (903, make("aa") * 300, None, "s"), (904, "😀𝔘 ba", None, "s"), (905, "😀😀 🎉 𝟙𝟚", None, "s"), (None, make("bb"), "bb", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").repartition(3)
     got = {r.doc_id: r for r in langid.predict_languages(docs).collect()}
     assert len(got) == len(rows)
     assert all(got[i].lang_pred == k for i, _, k, _ in rows[:240]) and got[903].lang_pred == "aa"
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 905))
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) for r in got.values())
     profiles = langid.train_profiles(docs)
     judge = langid.Judge(profiles)
     for _, t, *_ in rows[:25]:
         assert judge.predict(t)[0] == brute_language(t, profiles)[0] and math.isclose(judge.predict(t)[1], brute_language(t, profiles)[1])
     kept = langid.keep_identified(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {900, 901, 902}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {900, 901, 902, 905}
     assert langid.predict_languages(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -263,6 +279,28 @@ def test_nearest_among_crowded_vectors(spark):
         assert [found[k] for k in range(1, 11)] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_nearest_with_uneven_norms_and_huge_components(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 8)) * np.exp(rng.normal(size=(3000, 1)) * 4)
+    x[rng.permutation(3000)[:30]] *= 1e5
+    x[[5, 700, 1999]] *= 1e160
+    x[[6, 800]] = x[800] * 1e-200
+    x[701] = x[700] * (1 + 1e-15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, 3000, 100))
+    with np.errstate(all="ignore"):
+        for q, found in got.items():
+            d = np.zeros(3000)
+            for k in range(8):
+                d += (x[:, k] - x[q, k]) * (x[:, k] - x[q, k])
+            d = np.sqrt(d)
+            order = [i for i in np.lexsort((np.arange(3000), d)).tolist() if i != q][:10]
+            assert [found[k][0] for k in range(1, 11)] == order and [found[k][1] for k in range(1, 11)] == d[order].tolist()
+
+
 def test_anisotropic_loss_favours_the_parallel_part():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 16))
@@ -313,6 +351,14 @@ def test_long_urls_hide_no_page(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("catalogia.llm.warc.FILE_BYTES", 50_000)
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 2_000) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 6
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(60))
+
+
 def test_headers_are_searched_once():
     assert not list(warc.candidates(b"WARC/1.1\r\n" * 200_000))
 

@@ -240,3 +240,20 @@ def test_pipeline_stages_and_empty_table(spark, tmp_path):
         assert kept["toxicity"] == {i for i in kept["language_id"] if i % 9 or i == 200}
         assert kept["near_dedup"] == kept["toxicity"] - {200} == kept["packing"]
         assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == kept["packing"]
+
+
+def test_clashing_columns_lose_nothing(spark):
+    names = ["gone", "_gone", "words", "print", "rep", "list"]
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(k, t, *names) for k, t in ((1, text), (2, text), (3, "quite another text here"))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = simhash.keep_one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_tally_comes_before_bits():
+    """A pair that the bits alone would link but that shares too few bytes is dropped by the tally; with no minimum the bits decide."""
+    base = np.zeros((2, 8), np.uint8)
+    base[1, :4] = 1  # four bits apart, four bytes shared
+    ids, lists = np.array([1, 2]), np.array([0, 0])
+    pairs = lambda least: [(a.tolist(), b.tolist()) for a, b in simhash.close_pairs(base, ids, lists, 4, least)]
+    assert pairs(4) == [([1], [2])] and pairs(5) == [] and pairs(0) == [([1], [2])]
