@@ -75,6 +75,15 @@ def sampled(df: DataFrame, key: str, bound: int, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < F.lit(cut))
 
 
+#: Rows of a few numbers each that may be sent to all tasks.
+SMALL_ROWS = 1_000_000
+
+
+def small_or_not(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most SMALL_ROWS rows, else left to a merge join; df has a few numbers a row, and `rows` is its counted length."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df.hint("merge")
+
+
 def new_name(df: DataFrame, base: str) -> str:
     """base, with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ A task packs about TASK_ITEMS items at once: with more underfull bins than that,
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ SLACK = 8
 TASK_ITEMS = 250_000
 FAN_IN = 8
 #: Bytes of items that a task holds at once.
-GATHER_BYTES = 64 << 20
+GATHER_BYTES = 32 << 20
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,27 +69,34 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = TASK_ITEMS, size: i
         yield pa.Table.from_batches(got)
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_items: int = TASK_ITEMS) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, task_items: int = TASK_ITEMS, make: tuple[Callable[[Batches], Batches], str] | None = None) -> DataFrame:
     """items: any columns and `length`, 1 to capacity. Returns them with sequence_id and offset, gapless from 0.
 
-    items should be cheap to read again (a written table). An empty table gives an empty one; repeated rows are packed as often as they come; items of one
+    make: a function that makes the items of a partition's batches in the same worker, and their schema; the items are written once, with their places.
+    An empty table gives an empty one; repeated rows are packed as often as they come; items of one
     length keep their order. A column of items that is called sequence_id or offset is given back under that name with an underscore before it.
     A task packs at most about task_items at once, however large its partition is; rounds go on until one task has met all underfull bins or, where these
     are too many for one task, until a round of fewest tasks merges less than one in a hundred.
     """
     from pyspark import TaskContext
 
-    spark = items.sparkSession
-    for c in ("sequence_id", "offset"):
-        if c in (x.lower() for x in items.columns):
-            items = items.withColumnRenamed(c, common.new_name(items, f"_{c}"))
-    names = items.columns
-    fill = common.new_name(items, "fill")
-    out_schema = T.StructType([*items.schema, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", fill))])
+    if make is None:
+        for c in ("sequence_id", "offset"):
+            if c in (x.lower() for x in items.columns):
+                items = items.withColumnRenamed(c, common.new_name(items, f"_{c}"))
+    before, fields = (iter, items.schema) if make is None else (make[0], T.StructType.fromDDL(make[1]))
+    names = fields.names
+    fill = "fill"
+    while fill in (x.lower() for x in names):
+        fill = "_" + fill
+    out_schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", fill))])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        for t in _gathered(batches, task_items):
+        for t in _gathered(before(batches), task_items):
             where, offset, fills = best_fit(t.column("length").to_numpy().astype(np.int64), capacity)
             for k, v in (("sequence_id", where + base), ("offset", offset), (fill, fills[where])):
                 t = t.append_column(k, pa.array(v, pa.int64()))
@@ -100,7 +107,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, t
     bins = placed.filter(F.col(fill) < capacity - slack).groupBy(F.col("sequence_id").alias("item")).agg(F.first(fill).alias("length"))
     left = common.saved(bins, "packed-underfull")
     steps: list[DataFrame] = []
-    count, parts = left.count(), max(1, placed.rdd.getNumPartitions())
+    count = underfull = left.count()
+    parts = max(1, placed.rdd.getNumPartitions())
     while count > 1:
         fewest = -(-count // task_items)
         parts = max(fewest, -(-parts // FAN_IN))
@@ -122,8 +130,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, t
         if parts == 1:
             break
         left = common.saved(step.filter(F.col("filled") < capacity - slack).groupBy(F.col("merged").alias("item")).agg(F.first("filled").alias("length")), f"packed-left-{k}")
-        before, count = count, left.count()
-        if parts == fewest and count > 0.99 * before or len(steps) == 126:
+        last, count = count, left.count()
+        if parts == fewest and count > 0.99 * last or len(steps) == 126:
             break
     whole = None
     for step in reversed(steps):  # from an item of the first round to its last bin
@@ -136,21 +144,15 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, t
     if whole is None:
         return placed.select(*names, "sequence_id", "offset")
     whole = whole.select(F.struct("merged", "shift").alias(fill), F.col("item").alias("sequence_id"))
-    return placed.drop(fill).join(whole, "sequence_id", "left").select(*names, F.coalesce(F.col(fill)["merged"], "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce(F.col(fill)["shift"], F.lit(0))).alias("offset"))
-
+    return placed.drop(fill).join(common.small_or_not(whole, underfull), "sequence_id", "left").select(*names, F.coalesce(F.col(fill)["merged"], "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce(F.col(fill)["shift"], F.lit(0))).alias("offset"))
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """The pieces of each encoded document (null text: empty; END_ID closes each): doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
-    Only documents of more than capacity tokens are cut; then every piece but the first has capacity tokens. A row of docs gives its pieces by itself, so
-    repeated ids and null ids give theirs as often as they come; other columns of docs don't matter. Very long texts are a batch of their own.
-    """
-    common.small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def piece_maker(tokenizer: str, capacity: int, keep_ids: bool) -> tuple[Callable[[Batches], Batches], str]:
+    """What makes pieces of batches of doc_id and text (not null), and their schema."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encoder = library_encoder(tokenizer)
         end = np.uint32(END_ID).tobytes()
         for b in batches:
@@ -165,9 +167,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows))[: len(names)], types)], names)
 
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    common.small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """The pieces of each encoded document (null text: empty; END_ID closes each): doc_id, piece, start, length, ids_crc32, and ids if asked for.
+
+    Only documents of more than capacity tokens are cut; then every piece but the first has capacity tokens. A row of docs gives its pieces by itself, so
+    repeated ids and null ids give theirs as often as they come; other columns of docs don't matter. Very long texts are a batch of their own.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(*piece_maker(tokenizer, capacity, keep_ids))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs, and its ids if asked for."""
-    return pack_items(common.saved(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids), "pieces"), capacity, slack)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (see token_pieces), and its ids if asked for."""
+    return pack_items(_texts(docs, "doc_id", "text"), capacity, slack, make=piece_maker(tokenizer, capacity, keep_ids))

@@ -1,12 +1,12 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two fingerprints of B bytes that differ in at most d < B bits share at least B - d bytes at the same positions. The index has a posting
-list for each choice of positions in `cover` and each value of the bytes there; the choices are such that any B - d positions hold
-one of them, so no qualifying pair is missed. Within a list the shared positional bytes of each pair are tallied, pairs below
-the guaranteed minimum are dropped, and the rest are verified by their differing bits.
+list for each choice of positions in `cover` and each value of the bytes there (an intersection of the lists of single positions, which would hold a 256th of
+all fingerprints each); the choices are such that any B - d positions hold one of them, so no qualifying pair is missed. For each pair of a list
+the shared positional bytes are tallied; pairs below the guaranteed minimum are dropped, and only the others are verified by their differing bits.
 
-Equal fingerprints count once. A list never becomes pairs: a task keeps only links that join something new (a spanning forest),
-and lists of more than HOT fingerprints are dealt out as blocks against blocks over many tasks.
+Equal fingerprints count once. A list never becomes pairs: a task keeps only links that join something new (a spanning forest). Lists of more than
+HOT fingerprints are cut into blocks that share some pivots; only what is not joined with most of its list by these links is compared with all of it.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from catalogia.llm import common
 from catalogia.llm.components import components
 
 SEED = 42
 HOT = 2_048
+#: Rows of a cut list that are in all its blocks.
+PIVOTS = 32
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -97,11 +99,11 @@ def close_pairs(prints: np.ndarray, ids: np.ndarray, lists: np.ndarray, radius:
     lengths = np.diff(cuts)
 
     def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        differ = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64) <= radius
-        if differ.any():
-            k = np.flatnonzero(differ)
-            differ[k] = (prints[i[k]] == prints[j[k]]).sum(1) >= least
-        return differ
+        """Tallies first, then verifies what reaches the minimum."""
+        keep = (prints[i] == prints[j]).sum(1, dtype=np.int64) >= least if least else np.ones(len(i), bool)
+        k = np.flatnonzero(keep)
+        keep[k] = np.bitwise_count(words[i[k]] ^ words[j[k]]).sum(1, dtype=np.int64) <= radius
+        return keep
 
     # Short lists: all at once, one distance within the list at a time.
     place = np.arange(len(lists)) - np.repeat(cuts[:-1], lengths)
@@ -110,6 +112,8 @@ def close_pairs(prints: np.ndarray, ids: np.ndarray, lists: np.ndarray, radius:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for lag in range(1, int(length[short].max()) if short.any() else 0):
         i = np.flatnonzero(short & (place + lag < length))
+        if side is not None:
+            i = i[(side[i] != side[i + lag]) | (side[i] == 2)]
         for c in range(0, len(i), 200_000):
             x = i[c : c + 200_000]
             x = x[good(x, x + lag)]
@@ -151,39 +155,68 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield t.slice(0, end)
 
 
+def _links(dealt: DataFrame, compare, name: str) -> DataFrame:
+    """Links a, b within each list of dealt (list, rep, side and what compare reads), a task's lists one after the other."""
+    dealt = dealt.repartition("list").sortWithinPartitions("list", "rep")
+    return common.saved(dealt.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), name)
+
+
+def connected(rows: DataFrame, large: DataFrame, compare, pivots: int, name: str) -> DataFrame:
+    """Links a, b that join all close pairs within the lists of rows (list, rep, and what compare reads; cheap to read again).
+
+    large: list, n, blocks of the lists that no one task should get whole. Each is cut into blocks, and `pivots` of its rows are in all of them. Where the
+    links so found leave rows of a list apart from most of it, these rows are compared with the whole list, blocks against blocks; rows that
+    links already join need no comparison. So nothing is missed, and a large list of near copies costs in proportion to its length.
+    """
+    if large.isEmpty():
+        return _links(rows.withColumn("side", F.lit(2)), compare, name)
+    names = [c for c in rows.columns if c != "list"]
+    hot = rows.join(F.broadcast(large), "list")  # a row of large stands for many of rows
+    order = Window.partitionBy("list").orderBy(F.xxhash64("rep"), "rep")
+    chosen = hot.select("list", "rep", F.row_number().over(order).alias("r")).filter(F.col("r") <= pivots).select(F.col("list").alias("l"), F.col("rep").alias("p"))
+    hot = common.saved(hot.join(F.broadcast(chosen), (F.col("list") == F.col("l")) & (F.col("rep") == F.col("p")), "left").withColumn("pivot", F.col("p").isNotNull()).drop("l", "p"), f"{name}-large")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = F.explode(F.when(F.col("pivot"), every).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))))
+    first = rows.join(F.broadcast(large.select("list")), "list", "left_anti").unionByName(hot.withColumn("at", at).select(F.xxhash64("list", "at").alias("list"), *names))
+    links = _links(first.withColumn("side", F.lit(2)), compare, name)
+    roots = components(links).withColumnRenamed("node", "x")
+    known = hot.select("list", "rep").join(roots, F.col("rep") == F.col("x"), "left").select("list", "rep", F.coalesce("root", "rep").alias("root"))
+    known = common.saved(known, f"{name}-joined")
+    most = known.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy(F.col("list").alias("l")).agg(F.max(F.struct("k", "root"))["root"].alias("most"))
+    apart = known.join(most, F.col("list") == F.col("l")).filter("root <> most").select("list", "rep")
+    apart = common.saved(apart, f"{name}-apart")
+    if apart.isEmpty():
+        return links
+    # Two sides of half a block each.
+    left = apart.groupBy("list").agg(F.count("*").alias("m")).join(large, "list").select("list", F.ceil(2 * F.col("blocks") * F.col("m") / F.col("n")).cast("int").alias("parts"))
+    hot = hot.drop("pivot").join(left, "list").withColumn("whole", 2 * F.col("blocks"))
+    deal = lambda count, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    mine = hot.join(apart, ["list", "rep"]).withColumn("i", deal("parts", 1)).withColumn("j", all_of("whole")).withColumn("side", F.lit(0))
+    theirs = hot.withColumn("j", deal("whole", 2)).withColumn("i", all_of("parts")).withColumn("side", F.lit(1))
+    again = mine.unionByName(theirs).select(F.xxhash64("list", "i", "j").alias("list"), *names, "side")
+    return common.saved(links.union(_links(again, compare, f"{name}-again")).distinct(), f"{name}-all")
+
+
 def link(prints: DataFrame, n_bytes: int, radius: int, cover: list[tuple[int, ...]] | None, least: int, hot: int = HOT) -> DataFrame:
     """prints: rep (long), fingerprint (binary), all different. Returns links a, b that join all pairs within the radius that share a list.
 
     Without a cover, prints has the lists itself (lists, array of longs).
     """
-    spark = prints.sparkSession
     lists = F.col("lists") if cover is None else F.array(*(F.xxhash64(F.lit(k), *(F.substring("fingerprint", p + 1, 1) for p in c)) for k, c in enumerate(cover)))
     posts = prints.select("rep", "fingerprint", F.explode(lists).alias("list"))
-    # The length of a list bounds a task's work: those over `hot` are cut into blocks, and each pair of blocks is a list of its own.
-    full = common.saved(prints.select(F.explode(lists).alias("list")).groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot-lists")
-    if full.isEmpty():
-        dealt = posts.select("list", "rep", "fingerprint", F.lit(2).alias("side"))
-    else:
-        blocks = F.ceil(F.coalesce("n", F.lit(1)) / hot).cast("int")
-        mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        posts = posts.join(full, "list", "left").withColumn("blocks", blocks).withColumn("mine", mine)
-        other = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = other.select(
-            F.when(F.col("blocks") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("mine", "other"), F.greatest("mine", "other"))).alias("list"),
-            "rep",
-            "fingerprint",
-            F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    dealt = dealt.repartition("list").sortWithinPartitions("list", "rep")
-    common.small_batches(spark, 200_000, 32)
+    pivots = min(PIVOTS, hot // 2)
+    large = prints.select(F.explode(lists).alias("list")).groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    large = common.saved(large.withColumn("blocks", F.ceil(F.col("n") / (hot - pivots)).cast("int")), "hot-lists")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_lists(batches):
             raw = np.frombuffer(b"".join(t.column("fingerprint").to_pylist()), np.uint8).reshape(-1, n_bytes)
             for x, y in close_pairs(raw, t.column("rep").to_numpy(), t.column("list").to_numpy(), radius, least, t.column("side").to_numpy()):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return common.saved(dealt.mapInArrow(run, "a long, b long").distinct(), "close")
+    common.small_batches(prints.sparkSession, 200_000, 32)
+    return connected(posts, large, compare, pivots, "close")
 
 
 def fingerprints(docs: DataFrame, size: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,18 +336,11 @@ def verified(docs: DataFrame, groups: DataFrame, block_rows: int = BLOCK_ROWS, b
             cols = [b.column("rep"), b.column("root"), pa.array(map(len, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "root", "n", "shingles"]).filter(mine)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(groups, "doc_id").select("rep", "root", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small_or_not(groups, groups.count()), "doc_id").select("rep", "root", "text")
     sets = common.saved(texts.mapInArrow(cut, "rep long, root long, n long, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
     blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n") / block_shingles)).cast("int").alias("blocks")
-    large = sets.groupBy("root").agg(blocks).filter("blocks > 1")
-    dealt = sets.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("list"),
-        "rep",
-        "shingles",
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    dealt = dealt.repartition("list").sortWithinPartitions("list", "rep")
+    sets = sets.select(F.col("root").alias("list"), "rep", "n", "shingles")
+    large = common.saved(sets.groupBy("list").agg(F.sum("n").alias("weight"), F.count("*").alias("n"), blocks).filter("blocks > 1").select("list", "n", "blocks"), "large-groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_lists(batches):
@@ -331,7 +357,7 @@ def verified(docs: DataFrame, groups: DataFrame, block_rows: int = BLOCK_ROWS, b
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()), pa.array(np.concatenate(y), pa.int64())], ["a", "b"])
 
-    return common.saved(dealt.mapInArrow(run, "a long, b long").distinct(), "verified")
+    return connected(sets.drop("n"), large, run, max(1, min(8, block_rows // 4)), "verified")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -360,8 +386,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$") | F.col("doc_id").isNull()
     rows = docs.filter(~wordless)
     near = common.saved(near_copies(rows), "near")
-    gone = near.filter(F.col("first") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"), F.col("words").alias("_words")).distinct()
-    kept = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64("text") == F.col("_words")), "left_anti")
+    gone_id, gone_words = common.new_name(docs, "gone"), common.new_name(docs, "words")
+    gone = near.filter(F.col("first") < F.col("doc_id")).select(F.col("doc_id").alias(gone_id), F.col("words").alias(gone_words)).distinct()
+    gone = common.saved(gone, "gone")
+    kept = rows.join(common.small_or_not(gone, gone.count()), (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_words)), "left_anti")
     if not near.groupBy("doc_id", "rep").count().filter("count > 1").isEmpty():
         print_of = common.new_name(docs, "print")
         kept = kept.withColumn(print_of, F.xxhash64("text")).dropDuplicates(["doc_id", print_of]).drop(print_of)

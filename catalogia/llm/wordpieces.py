@@ -16,10 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pre-tokens of a generation, and the bytes of the longest that are remembered.
-GENERATION = 200_000
+GENERATION = 100_000
 LONGEST = 48
 #: Bytes of texts that are cut at once (a longer text is a group of its own).
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: The pattern that cut_points cuts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class isn't in the table below (RE2 syntax).
