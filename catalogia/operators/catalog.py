@@ -100,7 +100,7 @@ def text_search(products: DataFrame, offers: DataFrame, q: str) -> DataFrame:
         all_start = all_start & (F.substring("t", 1, len(t)) == t) | all_start & F.contains(F.col("t"), F.lit(f" {t}"))
         exact = exact + F.array_contains(w, t).cast("double")
     sku = offers.filter(F.col("active") & (F.lower("supplier_sku") == q.strip().lower())).select("product_id").distinct().withColumn("is_sku", F.lit(True))
-    p = p.join(F.broadcast(sku.limit(COUNT_MAX)), "product_id", "left").withColumn("is_sku", F.coalesce("is_sku", F.lit(False))).withColumn("starts", all_start)
+    p = p.join(sku, "product_id", "left").withColumn("is_sku", F.coalesce("is_sku", F.lit(False))).withColumn("starts", all_start)
     grams = {f"  {t} "[i : i + 3] for t in tokens for i in range(len(t) + 1)}
     padded = F.concat(F.lit("  "), F.replace(F.col("t"), F.lit(" "), F.lit("   ")), F.lit(" "))
     near = F.lit(False)

@@ -82,10 +82,10 @@ def describe_change(kind: Column, old: Column, new: Column) -> tuple[Column, Col
 
 
 def list_changes(changes: DataFrame, suppliers: DataFrame, offers: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page, newest first (ties by offer and type), with the supplier's name and the offer's present product and title. The page is cut before the joins."""
-    page = changes.orderBy(F.desc("created_at"), "offer_id", "change_type").offset(offset).limit(limit)
+    """A page, newest first (ties by offer and type), with the supplier's name and the offer's present product and title. Changes without an offer are on no page."""
     o = offers.select("offer_id", F.col("product_id").alias("current_product_id"), "title", "supplier_sku")
-    return page.join(F.broadcast(suppliers.select("supplier_id", F.col("name").alias("supplier_name"))), "supplier_id", "left").join(o, "offer_id")
+    page = changes.join(o, "offer_id").orderBy(F.desc("created_at"), "offer_id", "change_type").offset(offset).limit(limit)
+    return page.join(suppliers.select("supplier_id", F.col("name").alias("supplier_name")), "supplier_id", "left")
 
 
 def count_changes_by_type(changes: DataFrame, offers: DataFrame) -> DataFrame:

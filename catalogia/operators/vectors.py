@@ -29,16 +29,19 @@ def difference_hash(pixels: Column) -> Column:
 def nearest_images(queries: DataFrame, embeddings: DataFrame, model_key: str, k: int = 200) -> DataFrame:
     """queries: query_id, embedding; embeddings: asset_id, model_key, status, embedding. query_id, rank, asset_id, score (cosine); ties by asset_id.
 
-    Exact. A block of queries goes to the tasks, each keeps its k best, and only those are exchanged. Vectors of another length than the query's take no part.
+    Exact. A block of queries (by a hash of their ids) goes to the tasks, each task keeps its k best over all its batches, and only those are exchanged.
+    Vectors of another length than the query's take no part.
     """
     spark = queries.sparkSession
-    q = queries.select("query_id", "embedding").orderBy("query_id")
-    total = q.count()
+    q = queries.select("query_id", "embedding")
+    blocks = -(-q.count() // QUERY_BLOCK)
     names = "query_id string, asset_id string, score double"
     found = None
     base = embeddings.filter((F.col("model_key") == model_key) & (F.col("status") == "done")).select(F.col("asset_id").cast("string").alias("asset_id"), F.col("embedding").cast("array<double>").alias("v"))
-    for at in range(0, total, QUERY_BLOCK):
-        block = q.offset(at).limit(QUERY_BLOCK).collect()
+    for at in range(blocks):
+        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()
+        if not block:
+            continue
         ids = [str(r["query_id"]) for r in block]
         m = np.array([r["embedding"] for r in block], np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
@@ -46,6 +49,7 @@ def nearest_images(queries: DataFrame, embeddings: DataFrame, model_key: str, k:
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, m = sent.value
+            best = [(np.empty(0), np.empty(0, object)) for _ in ids]
             for b in batches:
                 keep = [i for i, v in enumerate(b.column("v").to_pylist()) if v is not None and len(v) == m.shape[1]]
                 if not keep:
@@ -59,8 +63,12 @@ def nearest_images(queries: DataFrame, embeddings: DataFrame, model_key: str, k:
                 for i, row in enumerate(s):
                     edge = np.partition(-row, n - 1)[n - 1]
                     top = np.flatnonzero(-row <= edge)
-                    top = top[np.lexsort((names[top].astype(str), -row[top]))][:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * n), pa.array(names[top].tolist()), pa.array(row[top])], ["query_id", "asset_id", "score"])
+                    score, name = np.concatenate((best[i][0], row[top])), np.concatenate((best[i][1], names[top]))
+                    first = np.lexsort((name.astype(str), -score))[:k]
+                    best[i] = score[first], name[first]
+            for query, (score, name) in zip(ids, best):
+                if len(score):
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(score)), pa.array(name.tolist()), pa.array(score)], ["query_id", "asset_id", "score"])
 
         part = base.mapInArrow(scan, names)
         found = part if found is None else found.union(part)

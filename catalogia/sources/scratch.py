@@ -13,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (in a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir or setCheckpointDir (in a temporary one only where both are unset and the master is local)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="spark-own-")
