@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalogia.operators import catalog, ops, vectors
+from catalogia.operators import apply, canonical, catalog, ops, suggest, vectors
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query
 from catalogia.sources.scratch import folder
@@ -111,3 +111,57 @@ def l9_stream_offer_changes(spark: SparkSession, d: str) -> DataFrame:
     changes = streams.stream_offer_changes(rows)
     changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(changes.schema).parquet(out).select("supplier_id", "supplier_sku", "change_type", F.col("as_of").cast("timestamp_ntz").alias("as_of"))
+
+
+_RUN = "SELECT (o_custkey % 10 + 1)::VARCHAR AS supplier_id, o_orderdate AS as_of, CASE o_orderstatus WHEN 'F' THEN 'snapshot' ELSE 'partial' END AS mode FROM orders WHERE o_custkey % 10 < 8"
+
+
+@query(
+    f"""WITH r AS (SELECT supplier_id, max(as_of) AS a, max(as_of) FILTER (mode = 'snapshot') AS s FROM ({_RUN}) GROUP BY supplier_id)
+SELECT s_suppkey::VARCHAR AS supplier_id, greatest(CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2030-01-01' END, r.a) AS last_success_as_of, greatest(CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1990-01-01' END, r.s) AS last_snapshot_as_of
+FROM supplier LEFT JOIN r ON r.supplier_id = s_suppkey::VARCHAR"""
+)
+def d15_supplier_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Each order is a run of one of eight suppliers; some suppliers have later or earlier dates of their own, some no run."""
+    k = F.col("s_suppkey")
+    date = lambda cond, t: F.when(cond, F.lit(t).cast("timestamp"))
+    s = A.read(spark, d, "supplier").select(k.cast("string").alias("supplier_id"), date(k % 3 == 0, "2030-01-01").alias("last_success_as_of"), date(k % 2 == 0, "1990-01-01").alias("last_snapshot_as_of"))
+    mode = F.when(F.col("o_orderstatus") == "F", "snapshot").otherwise("partial")
+    runs = A.read(spark, d, "orders").filter("o_custkey % 10 < 8").select((F.col("o_custkey") % 10 + 1).cast("string").alias("supplier_id"), F.col("o_orderdate").cast("timestamp").alias("as_of"), mode.alias("mode"))
+    return apply.update_supplier_freshness(s, runs)
+
+
+@query("SELECT 'p' || p_partkey AS product_id, CASE WHEN p_size % 7 = 0 THEN upper(p_name) ELSE p_name END AS title FROM part WHERE (p_size % 7 = 0 AND upper(p_name) <> p_name) OR p_partkey % 11 = 0")
+def e10_changed_only(spark: SparkSession, d: str) -> DataFrame:
+    """All products are dated anew; those of every seventh size have another title, every eleventh part a new product. Dates aren't content."""
+    k = F.col("p_partkey")
+    p = A.read(spark, d, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("product_id"), F.col("p_name").alias("title"), F.lit("2024-01-01").alias("data_as_of"), k, "p_size")
+    new = p.select("product_id", F.when(F.col("p_size") % 7 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"), F.lit("2024-02-01").alias("data_as_of"))
+    return canonical.changed_only(p.filter(k % 11 != 0).select("product_id", "title", "data_as_of"), new).select("product_id", "title")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM part WHERE p_size % 5 <> 0) AS products, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS pending_images,
+(SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS running_imports, (SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0) AS failed_suppliers"""
+)
+def i9_catalog_status(spark: SparkSession, d: str) -> DataFrame:
+    p = A.read(spark, d, "part").select(F.when(F.col("p_size") % 5 == 0, "merged").otherwise("active").alias("status"))
+    i = A.read(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "O", "pending").otherwise("fetched").alias("status"))
+    r = A.read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded").alias("status"))
+    return catalog.catalog_status(p, i, r, A.suppliers(spark, d))
+
+
+@query("SELECT DISTINCT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS product_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25")
+def k5_filter_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's parts as candidates; only those of smaller sizes are allowed."""
+    c = A.read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("product_id")).distinct()
+    return vectors.filter_candidates(c, A.read(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").cast("string").alias("product_id")))
+
+
+@query("SELECT p_partkey AS product_id, p_partkey + CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS candidate_id FROM part WHERE (p_partkey + CASE WHEN p_size % 2 = 0 THEN 0 ELSE -1 END) % 3 <> 0")
+def h5_exclude_distinct_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each part with a neighbour, in either order; those whose smaller number is divisible by three were decided to be different."""
+    k = F.col("p_partkey")
+    p = A.read(spark, d, "part").select(k.alias("product_id"), (k + F.when(F.col("p_size") % 2 == 0, 1).otherwise(-1)).alias("candidate_id"))
+    decided = p.select(F.least("product_id", "candidate_id").alias("a"), F.greatest("product_id", "candidate_id").alias("b")).filter("a % 3 = 0")
+    return suggest.exclude_distinct_pairs(p, decided.union(decided))
