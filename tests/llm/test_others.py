@@ -429,3 +429,15 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.linked_conversations(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_adpcm_of_many_files_together(monkeypatch):
+    monkeypatch.setattr("catalogia.llm.telephony.BLOCKS_AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    files = [telephony.wav(rng.integers(0, 256, 192 * n, np.uint8).tobytes(), tag, 8000, *((4, 192) if tag == telephony.IMA_ADPCM else (8, 1))) for n, tag in ((1, 17), (5, 17), (2, 7), (4, 6), (7, 17))]
+    found = telephony.adpcm_together(files)
+    assert [x is None for x in found] == [False, False, True, True, False]
+    monkeypatch.setattr("catalogia.llm.telephony.BLOCKS_AT_ONCE", 8192)
+    for f, x in zip(files, found):
+        assert telephony.to_pcm(f, 4000, x).tolist() == telephony.to_pcm(f, 4000).tolist()
+    assert telephony.adpcm_together([]) == []
