@@ -1,4 +1,4 @@
-"""Duplicate suggestions: products with similar titles or the same picture."""
+"""Duplicate suggestions: products with similar titles, and those with the same picture."""
 
 from __future__ import annotations
 
@@ -31,18 +31,29 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float = CANDIDATE)
     return pairs.withColumn("similarity", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("similarity") >= least).select("a", "b", "similarity").distinct()
 
 
-def title_candidates(sources: DataFrame, products: DataFrame, least: float = CANDIDATE, most: int = MOST) -> DataFrame:
-    """product_id, candidate_id, similarity: the `most` other active products with the most similar titles, ties by id.
+def title_candidates(sources: DataFrame, products: DataFrame, least: float = CANDIDATE, most: int = MOST, decided: DataFrame | None = None) -> DataFrame:
+    """product_id, candidate_id, similarity: the `most` other active products with the most similar titles, ties by id, without pairs of decided (a < b).
 
-    Titles are compared once each, however many products carry them; of the products of a title, the `most` smallest ids can matter (and one more, for the product itself).
+    Titles are compared once each, however many products carry them; of the products of a title, the `most` smallest ids can matter, one more for the
+    product itself, and one for each pair that was decided for it.
     """
     folded = lambda df: df.withColumn("title_key", fold_text(F.col("title"))).filter("title_key <> ''")
     s = folded(sources).select("product_id", F.col("title_key").alias("a"))
     p = folded(products.filter("status = 'active'")).select(F.col("product_id").alias("candidate_id"), F.col("title_key").alias("b"))
-    few = p.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("candidate_id"))).filter(F.col("r") <= most + 1).drop("r")
+    if decided is None:
+        s, few_of = s.withColumn("spare", F.lit(0)), lambda df, r: df.filter(F.col(r) <= most + 1)
+    else:
+        sides = decided.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("product_id")).groupBy("product_id").agg(F.count("*").alias("spare"))
+        s = s.join(sides, "product_id", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
+        top = s.agg(F.coalesce(F.max("spare"), F.lit(0)).alias("top_spare"))  # one row
+        few_of = lambda df, r: df.crossJoin(F.broadcast(top)).filter(F.col(r) <= most + 1 + F.col("top_spare")).drop("top_spare")
+    few = few_of(p.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("candidate_id"))), "r").drop("r")
     pairs = similar_titles(s.select(F.col("a").alias("title")).distinct(), few.select(F.col("b").alias("title")).distinct(), least)
-    by_title = pairs.join(few, "b").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "candidate_id"))).filter(F.col("r") <= most + 1)
-    found = s.join(by_title.select("a", "candidate_id", "similarity"), "a").filter("product_id <> candidate_id")
+    by_title = few_of(pairs.join(few, "b").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "candidate_id"))), "r")
+    found = s.join(by_title.select("a", "candidate_id", "similarity", "r"), "a").filter((F.col("product_id") != F.col("candidate_id")) & (F.col("r") <= most + 1 + F.col("spare")))
+    found = found.select("product_id", "candidate_id", "similarity")
+    if decided is not None:
+        found = exclude_distinct_pairs(found, decided)
     return found.withColumn("r", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("similarity"), "candidate_id"))).filter(F.col("r") <= most).select("product_id", "candidate_id", "similarity")
 
 
@@ -60,15 +71,18 @@ def exclude_distinct_pairs(pairs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def suggest_duplicates(sources: DataFrame, products: DataFrame, decided: DataFrame, links: DataFrame, least: float = SUGGESTED) -> DataFrame:
-    """product_id, candidate_id, score, reasons: similar titles of brands that don't conflict, and products with the same picture."""
-    near = title_candidates(sources, products).filter(F.col("similarity") >= least)
-    shared = same_image_pairs(links)
-    source_ids = sources.select("product_id")
-    images = shared.union(shared.select("candidate_id", "product_id")).join(source_ids, "product_id", "left_semi").withColumn("same_image", F.lit(True)).distinct()
-    both = exclude_distinct_pairs(near.join(images, ["product_id", "candidate_id"], "full_outer"), decided)
+    """product_id, candidate_id, score, reasons: similar titles of brands that don't conflict. A shared picture is only a further reason.
+
+    Decided pairs (a < b) are left out before the best are taken. Pictures (links: product_id, asset_id) are looked up for the few candidates alone.
+    """
+    near = title_candidates(sources, products, decided=decided).filter(F.col("similarity") >= least)
     brand = products.select("product_id", "brand")
-    both = both.join(brand, "product_id").join(brand.select(F.col("product_id").alias("candidate_id"), F.col("brand").alias("other_brand")), "candidate_id")
+    both = near.join(brand, "product_id").join(brand.select(F.col("product_id").alias("candidate_id"), F.col("brand").alias("other_brand")), "candidate_id")
     ok = both.filter(~brands_conflict(F.col("brand"), F.col("other_brand")))
-    same_brand = F.lower("brand") == F.lower("other_brand")
-    reasons = F.array_compact(F.array(F.when(F.col("similarity").isNotNull(), "title_similarity"), F.when(same_brand, "same_brand"), F.when(F.col("same_image"), "same_image")))
-    return ok.select("product_id", "candidate_id", F.coalesce("similarity", F.lit(1.0)).alias("score"), reasons.alias("reasons"))
+    has = links.select("product_id", "asset_id").filter("asset_id is not null").distinct()
+    theirs = has.withColumnRenamed("product_id", "candidate_id")
+    shared = ok.select("product_id", "candidate_id").join(has, "product_id").join(theirs, ["candidate_id", "asset_id"]).select("product_id", "candidate_id").distinct()
+    ok = ok.join(shared.withColumn("same_image", F.lit(True)), ["product_id", "candidate_id"], "left")
+    same_brand = F.col("brand").isNotNull() & F.col("other_brand").isNotNull()
+    reasons = F.array_compact(F.array(F.lit("title_similarity"), F.when(same_brand, "same_brand"), F.when(F.col("same_image"), "same_image")))
+    return ok.select("product_id", "candidate_id", F.col("similarity").alias("score"), reasons.alias("reasons"))

@@ -134,10 +134,20 @@ def test_suggestions(spark):
     links = spark.createDataFrame([("a", "x"), ("d", "x")], "product_id string, asset_id string")
     src = suggest.suggestion_sources(p, p)
     got = {(r.product_id, r.candidate_id): r.reasons for r in suggest.suggest_duplicates(src, p, none, links).collect()}
-    assert got[("a", "b")] == ["title_similarity", "same_brand"] and ("a", "c") not in got and got[("d", "a")] == ["same_image"]
+    assert got[("a", "b")] == ["title_similarity", "same_brand"] and ("a", "c") not in got and ("d", "a") not in got  # a picture alone suggests nothing
+    also = suggest.suggest_duplicates(src, p, none, links.union(spark.createDataFrame([("b", "x")], links.schema))).filter("product_id = 'a'").collect()
+    assert [r.reasons for r in also] == [["title_similarity", "same_brand", "same_image"]]
     assert not suggest.suggest_duplicates(src, p, spark.createDataFrame([("a", "b")], "a string, b string"), links.limit(0)).filter("product_id = 'a'").collect()
 
 
+def test_decided_pairs_make_room_for_others(spark):
+    p = spark.createDataFrame([(f"p{i:02}", "active", "Gel intimo rosa", None, False) for i in range(12)], "product_id string, status string, title string, brand string, has_gtin boolean")
+    decided = spark.createDataFrame([("p00", f"p{i:02}") for i in range(1, 7)], "a string, b string")
+    got = suggest.title_candidates(p, p, decided=decided).groupBy("product_id").agg(F.sort_array(F.collect_list("candidate_id")).alias("c"))
+    got = {r.product_id: r.c for r in got.collect()}
+    assert got["p00"] == ["p07", "p08", "p09", "p10", "p11"] and got["p01"] == ["p02", "p03", "p04", "p05", "p06"] and got["p11"] == ["p00", "p01", "p02", "p03", "p04"]
+
+
 def test_files(spark, tmp_path):
     data = {"a.csv": "Código;Prezzo;Prezzo\r\nx;1,5;\r\n;;\r\ny;2.000,00;3".encode("cp1252"), "b.csv": '﻿sku,name\n1,"a, b"\n'.encode(), "c.csv": "sku\tp\n1\t2.50\n".encode("utf-16"), "d.xlsx": b"PK\x03\x04zz"}
     files = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "path string, content binary")

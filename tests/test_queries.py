@@ -9,11 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from catalogia.operators import apply, associations, ops, vectors
-from catalogia.plans import decisions, imports, queries as plans, upkeep
+from catalogia.plans import decisions, details, imports, queries as plans, upkeep
 from catalogia.sources import pricelists, tables
 
 D = "/root/testdata/sf0.001"
-NAMES = [n for n, f in plans.QUERIES.items() if f.__module__ in {m.__name__ for m in (decisions, imports, upkeep)}]
+NAMES = [n for n, f in plans.QUERIES.items() if f.__module__ in {m.__name__ for m in (decisions, details, imports, upkeep)}]
 
 
 @pytest.fixture(scope="module")
