@@ -101,3 +101,9 @@ def test_gauges_of_empty_tables_are_zero(spark):
 def test_missing_columns_fail_early(spark):
     with pytest.raises(AnalysisException):
         ops.stalled_images(spark.createDataFrame([], "status string"), "2024-01-01")
+
+
+def test_repeated_and_empty_headers_are_told_apart(spark):
+    assert pricelists.dedupe_headers(["Prezzo", " ", "Prezzo", "Prezzo  (2)", "Prezzo"]) == ["Prezzo", "Colonna 2", "Prezzo (2)", "Prezzo (2) (2)", "Prezzo (3)"]
+    f = spark.createDataFrame([("a.csv", bytearray(b"Codice;Prezzo;Prezzo\r\nA1;1,50;2,50\r\n"))], "path string, content binary")
+    assert [r["values"] for r in pricelists.read_pricelists(f).collect()] == [{"Codice": "A1", "Prezzo": "1,50", "Prezzo (2)": "2,50"}]
