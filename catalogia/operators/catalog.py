@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -9,7 +12,8 @@ from catalogia.functions.gtin import parse_barcode
 from catalogia.functions.text import fold_text, words
 from catalogia.operators.pricing import evaluate_price
 
-PAGE_MAX, OFFSET_MAX, COUNT_MAX, TOKENS, WORD_LEAST = 96, 10_000, 10_001, 8, 0.6
+PAGE_MAX, OFFSET_MAX, COUNT_MAX, TOKENS, WORD_LEAST, SKU_SCORE = 96, 10_000, 10_001, 8, 0.6, 10.0
+_DIGITS = re.compile(r"\d{6,14}", re.ASCII)
 
 
 def filter_catalog(products: DataFrame, offers: DataFrame, supplier_id: str | None = None, brand: str | None = None, category_id: str | None = None, min_price: float | None = None, max_price: float | None = None, available: bool | None = None, has_gtin: bool | None = None, has_image: bool | None = None, with_empty: bool = False) -> DataFrame:
@@ -35,22 +39,35 @@ def filter_catalog(products: DataFrame, offers: DataFrame, supplier_id: str | No
     return out
 
 
-def code_search(products: DataFrame, offers: DataFrame, identifiers: DataFrame, q: str) -> DataFrame:
-    """product_id, score, matched_by of active products with the code: a GTIN (3), a raw barcode (2) or a sku, whatever its case (1)."""
-    spark = products.sparkSession
-    code = q.strip()
-    g = spark.range(1).select(parse_barcode(F.lit(code)).alias("b")).first()["b"]["gtin14"]
-    hits = [offers.filter(F.trim("barcode_raw") == code).select("product_id", F.lit(2).alias("score"), F.lit("barcode").alias("matched_by")), offers.filter(F.lower("supplier_sku") == code.lower()).select("product_id", F.lit(1).alias("score"), F.lit("sku").alias("matched_by"))]
+def _code_hits(offers: DataFrame, identifiers: DataFrame, q: str) -> DataFrame:
+    """product_id, score, matched_by of all offers and identifiers with the code, several a product. Spaces and hyphens within a barcode's digits don't count."""
+    code, digits = q.strip(), re.sub(r"[\s-]", "", q)
+    barcode = digits if _DIGITS.fullmatch(digits) else code
+    g = offers.sparkSession.range(1).select(parse_barcode(F.lit(barcode)).alias("b")).first()["b"]["gtin14"]
+    hits = [offers.filter(F.trim("barcode_raw") == barcode).select("product_id", F.lit(2).alias("score"), F.lit("barcode").alias("matched_by")), offers.filter(F.lower("supplier_sku") == code.lower()).select("product_id", F.lit(1).alias("score"), F.lit("sku").alias("matched_by"))]
     if g:
         for t, c in ((identifiers, "value"), (offers, "gtin")):
             hits.append(t.filter(F.col(c) == g).select("product_id", F.lit(3).alias("score"), F.lit("gtin").alias("matched_by")))
     found = hits[0]
     for h in hits[1:]:
         found = found.unionByName(h)
-    best = found.groupBy("product_id").agg(F.max(F.struct("score", "matched_by")).alias("m"))
+    return found
+
+
+def code_search(products: DataFrame, offers: DataFrame, identifiers: DataFrame, q: str) -> DataFrame:
+    """product_id, score, matched_by of active products with the code: a GTIN (3), a raw barcode (2) or a sku, whatever its case (1)."""
+    best = _code_hits(offers, identifiers, q).groupBy("product_id").agg(F.max(F.struct("score", "matched_by")).alias("m"))
     return best.join(products.filter("status = 'active'").select("product_id"), "product_id", "left_semi").select("product_id", "m.score", "m.matched_by")
 
 
+def search(products: DataFrame, offers: DataFrame, identifiers: DataFrame, q: str) -> DataFrame:
+    """product_id, score, matched_by: digits that are the code of something are searched as a code, all else (a model's number, a part of a barcode) as text."""
+    if _DIGITS.fullmatch(re.sub(r"[\s-]", "", q)) and not _code_hits(offers, identifiers, q).isEmpty():
+        return code_search(products, offers, identifiers, q).withColumn("score", F.col("score").cast("double"))
+    by = F.when(F.col("score") >= SKU_SCORE, "sku").otherwise("text")  # without a sku a score is at most 2
+    return text_search(products, offers, q).withColumn("matched_by", by)
+
+
 def word_similarity(query: str, text: Column) -> Column:
     """The best trigram similarity of the query with a run of whole words of the text (its folded words, at most as many as hold the query's trigrams)."""
 
@@ -87,7 +104,7 @@ def word_similarity(query: str, text: Column) -> Column:
 def text_search(products: DataFrame, offers: DataFrame, q: str) -> DataFrame:
     """product_id, score: all of the first TOKENS folded words start a word of search_text, or a run of words is WORD_LEAST similar, or an active offer's sku is q.
 
-    The similarity, which is a Python step, runs only over texts that share a trigram with the query; others can't reach it.
+    A run that is similar enough shares at least WORD_LEAST of the query's trigrams: the similarity, which is a Python step, runs only over texts that hold so many.
     """
     spark = products.sparkSession
     folded = spark.range(1).select(fold_text(F.lit(q)).alias("f")).first()["f"]
@@ -103,12 +120,13 @@ def text_search(products: DataFrame, offers: DataFrame, q: str) -> DataFrame:
     p = p.join(sku, "product_id", "left").withColumn("is_sku", F.coalesce("is_sku", F.lit(False))).withColumn("starts", all_start)
     grams = {f"  {t} "[i : i + 3] for t in tokens for i in range(len(t) + 1)}
     padded = F.concat(F.lit("  "), F.replace(F.col("t"), F.lit(" "), F.lit("   ")), F.lit(" "))
-    near = F.lit(False)
+    shared = F.lit(0)
     for g in sorted(grams):
-        near = near | F.contains(padded, F.lit(g))
+        shared = shared + F.contains(padded, F.lit(g)).cast("int")
+    near = shared >= max(1, math.ceil(WORD_LEAST * len(grams) - 1e-9))
     p = p.filter(F.col("is_sku") | F.col("starts") | near).withColumn("ws", word_similarity(" ".join(tokens), F.col("t")))
     p = p.filter(F.col("is_sku") | F.col("starts") | (F.col("ws") >= WORD_LEAST))
-    score = F.when(F.col("is_sku"), 10.0).otherwise(0.0) + exact / max(1, len(tokens)) + F.col("ws")
+    score = F.when(F.col("is_sku"), SKU_SCORE).otherwise(0.0) + exact / max(1, len(tokens)) + F.col("ws")
     return p.select("product_id", score.alias("score"))
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogia.functions.gtin import gs1_check_digit
+from catalogia.operators.canonical import refresh_products
+from catalogia.sources.scratch import kept, saved
 
 NOW = "2001-12-01"
+#: A price list comes in files of at most so many rows, by ranges of skus.
+LIST_ROWS = 1000
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -102,11 +106,18 @@ def images(offers_df: DataFrame) -> DataFrame:
     return offers_df.select("offer_id", F.posexplode("image_urls").alias("position", "url")).select("offer_id", "position", "url", F.when(n % 10 != 9, F.concat(F.lit("a"), n.cast("string"))).alias("asset_id"), F.when(n % 10 != 9, "fetched").otherwise("pending").alias("status"))
 
 
-def refreshed(spark: SparkSession, d: str) -> DataFrame:
-    from catalogia.operators.canonical import refresh_products
+def catalogue(spark: SparkSession, d: str, anew: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stored tables that the catalogue is asked from: canonical products, and offers.
 
-    o = offers(spark, d)
-    return refresh_products(products(spark, d), o, suppliers(spark, d), images(o), identifiers(spark, d))
+    The offers are written once and the products are refreshed from what was written; a change of a source file makes both again.
+    """
+
+    def refresh() -> list[DataFrame]:
+        o = saved(offers(spark, d), "offers")
+        return [saved(refresh_products(products(spark, d), o, suppliers(spark, d), images(o), identifiers(spark, d)), "products"), o]
+
+    made_of = [f"{d}/{name}.parquet" for name in ("lineitem", "part", "supplier")]
+    return tuple(kept(spark, "catalogue", made_of, refresh, anew))
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +135,7 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def price_lists(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
-    """path, supplier_id, content: a supplier's offers as a file, half of them with ; and decimal commas, half with | and points."""
+    """path, supplier_id, content: a supplier's offers as files of at most LIST_ROWS rows, half of the suppliers with ; and decimal commas, half with | and points."""
     o = offers(spark, d, since=since)
     comma = F.col("supplier_id").cast("int") % 2 == 0
     price = F.col("price").cast("decimal(14,2)").cast("string")
@@ -132,10 +143,11 @@ def price_lists(spark: SparkSession, d: str, since: str | None = None) -> DataFr
     o = o.withColumn("_price", F.when(comma, F.replace(price, F.lit("."), F.lit(","))).otherwise(price))
     line = F.when(comma, _joined(";", cells)).otherwise(_joined("|", cells))
     heads = ["Codice Articolo", "EAN", "Titolo", "Marca", "Categoria", "Prezzo", "Pz/conf", "Giacenza"]
-    g = o.select("supplier_id", comma.alias("comma"), "supplier_sku", line.alias("line")).groupBy("supplier_id", "comma").agg(F.array_sort(F.collect_list(F.struct("supplier_sku", "line"))).alias("lines"))
+    part = F.expr(f"substring(supplier_sku, 2) div {LIST_ROWS}")  # a supplier has a sku once, so a file can't be longer
+    g = o.select("supplier_id", comma.alias("comma"), part.alias("part"), "supplier_sku", line.alias("line")).groupBy("supplier_id", "comma", "part").agg(F.array_sort(F.collect_list(F.struct("supplier_sku", "line"))).alias("lines"))
     head = F.when(F.col("comma"), F.lit(";".join(heads))).otherwise(F.lit("|".join(heads)))
     text = F.concat(head, F.lit("\r\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"), F.lit("\r\n"))
-    return g.select(F.concat(F.lit("list-"), F.col("supplier_id"), F.lit(".csv")).alias("path"), "supplier_id", text.cast("binary").alias("content"))
+    return g.select(F.concat(F.lit("list-"), F.col("supplier_id"), F.lit("-"), F.col("part").cast("string"), F.lit(".csv")).alias("path"), "supplier_id", text.cast("binary").alias("content"))
 
 
 def _joined(sep: str, cells: list[str]):
@@ -143,11 +155,12 @@ def _joined(sep: str, cells: list[str]):
 
 
 def import_runs(lists: DataFrame, mapping: DataFrame, mode: str = "snapshot", as_of: str = "2002-01-01") -> DataFrame:
-    """A run for each list. mapping: file, mapping."""
+    """The run of each file: one for all files of a supplier. mapping: file, mapping."""
     defaults = F.struct(F.lit("EUR").alias("currency"), F.lit("net").alias("vat_treatment"), F.lit(None).cast("decimal(5,2)").alias("vat_rate"), F.lit(1).alias("units_per_pack"), F.lit(None).cast("string").alias("sales_unit"))
     sep = F.when(F.col("supplier_id").cast("int") % 2 == 0, ",").otherwise(".")
     r = lists.select("path", "supplier_id").join(mapping.withColumnRenamed("file", "path"), "path")
-    return r.select("path", F.concat(F.lit("run-"), F.col("supplier_id")).alias("run_id"), "supplier_id", F.lit(mode).alias("mode"), F.lit(as_of).cast("timestamp").alias("as_of"), sep.alias("decimal_separator"), "mapping", defaults.alias("defaults"))
+    first = F.regexp_extract("path", "-([0-9]+)[.]csv$", 1).cast("int") * LIST_ROWS
+    return r.select("path", first.alias("first_row"), F.concat(F.lit("run-"), F.col("supplier_id")).alias("run_id"), "supplier_id", F.lit(mode).alias("mode"), F.lit(as_of).cast("timestamp").alias("as_of"), sep.alias("decimal_separator"), "mapping", defaults.alias("defaults"))
 
 
 def normalized_lists(spark: SparkSession, d: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +168,11 @@ def normalized_lists(spark: SparkSession, d: str, since: str | None = None) -> t
     from catalogia.operators.mapping import guess_mapping, mapping_of
     from catalogia.operators.normalize import normalize_rows
     from catalogia.sources.pricelists import as_staged, read_pricelists
-    from catalogia.sources.scratch import saved
 
     lists = price_lists(spark, d, since)
     rows = saved(read_pricelists(lists.select("path", "content")), "list-rows")
     heads = rows.groupBy("path").agg(F.first("headers").alias("h")).select(F.col("path").alias("file"), F.posexplode("h").alias("pos", "header"))
-    runs = saved(import_runs(rows.select("path").distinct().withColumn("supplier_id", F.regexp_extract("path", "([0-9]+)", 1)), mapping_of(guess_mapping(heads))), "runs")
-    return normalize_rows(as_staged(rows, runs), runs), runs
+    of_files = saved(import_runs(rows.select("path").distinct().withColumn("supplier_id", F.regexp_extract("path", "([0-9]+)", 1)), mapping_of(guess_mapping(heads))), "runs")
+    first = of_files.groupBy("run_id").agg(F.min_by(F.struct("*"), "first_row").alias("r"))
+    runs = saved(first.select("r.*"), "runs-once")
+    return normalize_rows(as_staged(rows, of_files), runs), runs

@@ -200,7 +200,7 @@ def b25_next_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {S.off()}, r AS (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY sku COLLATE C) + 1 AS rn FROM off) SELECT 'list-' || supplier_id || '.csv' AS path, rn AS row_number, sku, substr(gtin, 2) AS ean, replace(printf('%d.%02d', (price6 // 1000000)::BIGINT, ((price6 // 10000) % 100)::BIGINT), '.', CASE WHEN l_suppkey % 2 = 0 THEN ',' ELSE '.' END) AS price, units::VARCHAR AS units FROM r".replace(" COLLATE C", "")
+    f"WITH {S.off()}, r AS (SELECT *, row_number() OVER (PARTITION BY supplier_id, l_partkey // 1000 ORDER BY sku COLLATE C) + 1 AS rn FROM off) SELECT 'list-' || supplier_id || '-' || (l_partkey // 1000) || '.csv' AS path, rn AS row_number, sku, substr(gtin, 2) AS ean, replace(printf('%d.%02d', (price6 // 1000000)::BIGINT, ((price6 // 10000) % 100)::BIGINT), '.', CASE WHEN l_suppkey % 2 = 0 THEN ',' ELSE '.' END) AS price, units::VARCHAR AS units FROM r".replace(" COLLATE C", "")
 )
 def a1_read_pricelists(spark: SparkSession, d: str) -> DataFrame:
     rows = pricelists.read_pricelists(A.price_lists(spark, d).select("path", "content"))
@@ -208,7 +208,7 @@ def a1_read_pricelists(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", F.col("row_number").cast("long"), v("Codice Articolo").alias("sku"), v("EAN").alias("ean"), v("Prezzo").alias("price"), v("Pz/conf").alias("units"))
 
 
-@query(f"WITH {S.off()} SELECT DISTINCT 'list-' || supplier_id || '.csv' AS path, 'csv' AS kind, 'utf-8' AS encoding, CASE WHEN l_suppkey % 2 = 0 THEN ';' ELSE '|' END AS delimiter, CASE WHEN l_suppkey % 2 = 0 THEN ',' ELSE '.' END AS decimal_separator FROM off")
+@query(f"WITH {S.off()} SELECT DISTINCT 'list-' || supplier_id || '-' || (l_partkey // 1000) || '.csv' AS path, 'csv' AS kind, 'utf-8' AS encoding, CASE WHEN l_suppkey % 2 = 0 THEN ';' ELSE '|' END AS delimiter, CASE WHEN l_suppkey % 2 = 0 THEN ',' ELSE '.' END AS decimal_separator FROM off")
 def a2_detect_dialect(spark: SparkSession, d: str) -> DataFrame:
     return pricelists.detect_dialect(A.price_lists(spark, d).select("path", "content")).drop("error")
 
@@ -317,7 +317,8 @@ SELECT q.product_id, CASE WHEN g.product_id IS NULL THEN 'archived' ELSE 'active
 FROM q LEFT JOIN g USING (product_id) LEFT JOIN smy USING (product_id) LEFT JOIN img USING (product_id)"""
 )
 def e1_refresh_products(spark: SparkSession, d: str) -> DataFrame:
-    p = A.refreshed(spark, d)
+    """The refresh itself: always made anew, and stored for the catalogue's queries."""
+    p, _ = A.catalogue(spark, d, anew=True)
     get = lambda k: F.try_element_at("attributes", F.lit(k)).alias(k)
     return p.select(
         "product_id", "status", "title", "brand", "category_id", get("size"), get("color"), F.col("primary_image_id").alias("image"), F.col("image_count").alias("images"), "offer_count", "supplier_count", "available_supplier_count",
@@ -335,7 +336,8 @@ f AS (SELECT product_id, piece, min((part, r, i)) AS pos FROM pieces GROUP BY AL
 SELECT product_id, string_agg(piece, ' ' ORDER BY pos, piece) AS search_text FROM f GROUP BY product_id"""
 )
 def e8_search_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.refreshed(spark, d).filter("status = 'active'").select("product_id", "search_text")
+    p, _ = A.catalogue(spark, d)
+    return p.filter("status = 'active'").select("product_id", "search_text")
 
 
 # ---- catalogue
@@ -344,24 +346,27 @@ def e8_search_text(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S.off()}, {S.EV}, {S.SUMMARY}, av AS (SELECT product_id, count(*) FILTER (active AND stock_status = 'in_stock') AS a, count(*) FILTER (active AND supplier_id = '3') AS s FROM off GROUP BY ALL) SELECT product_id, best_unit::BIGINT AS best_unit FROM smy JOIN av USING (product_id) WHERE currency = 'EUR' AND best_unit BETWEEN 1000000 AND 9000000 AND a > 0 AND s > 0 ORDER BY best_unit, product_id LIMIT 48")
 def i1_i4_filter_and_page(spark: SparkSession, d: str) -> DataFrame:
     """Supplier, availability and price filters, the cheapest first."""
-    p = catalog.filter_catalog(A.refreshed(spark, d), A.offers(spark, d), supplier_id="3", min_price=100, max_price=900, available=True)
+    products, offers = A.catalogue(spark, d)
+    p = catalog.filter_catalog(products, offers, supplier_id="3", min_price=100, max_price=900, available=True)
     return catalog.sort_page(p, "price", 48).select("product_id", scaled("best_unit_price", 4).alias("best_unit"))
 
 
 @query(f"SELECT 'g:' || {S.gtin('p_partkey')} AS product_id, 3 AS score, 'gtin' AS matched_by FROM part WHERE p_partkey = 77 AND p_partkey IN (SELECT l_partkey FROM lineitem)")
 def i2_code_search(spark: SparkSession, d: str) -> DataFrame:
     code = A.read(spark, d, "part").filter("p_partkey = 77").select(F.substring(A.gtin_of(F.col("p_partkey")), 2, 13)).first()[0]
-    return catalog.code_search(A.refreshed(spark, d), A.offers(spark, d), A.identifiers(spark, d), code)
+    products, offers = A.catalogue(spark, d)
+    return catalog.code_search(products, offers, A.identifiers(spark, d), code)
 
 
 @query("SELECT DISTINCT 'g:' || " + S.gtin("p_partkey") + " AS product_id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_name LIKE 'small%' OR p_name LIKE '% small%' OR lower(p_type) LIKE 'small%' OR lower(p_type) LIKE '% small%'")
 def i3_text_search(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.text_search(A.refreshed(spark, d), A.offers(spark, d), "Smàl").select("product_id")
+    products, offers = A.catalogue(spark, d)
+    return catalog.text_search(products, offers, "Smàl").select("product_id")
 
 
 @query(f"WITH {S.off()}, {S.SUP} SELECT o.offer_id, o.source_as_of < TIMESTAMP '2001-12-01' - INTERVAL 168 HOUR OR (s.last_import_status = 'failed' AND TIMESTAMP '2001-11-01' > o.source_as_of) AS stale FROM off o JOIN sup s USING (supplier_id) WHERE o.active")
 def i5_stale_offers(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.stale_offers(A.offers(spark, d), A.suppliers(spark, d), A.NOW).select("offer_id", "stale")
+    return catalog.stale_offers(A.catalogue(spark, d)[1], A.suppliers(spark, d), A.NOW).select("offer_id", "stale")
 
 
 @query(
@@ -370,7 +375,8 @@ SELECT 'supplier' AS facet, supplier_id AS value, (SELECT count(DISTINCT product
 UNION ALL SELECT 'brand', brand, count(*) FROM p GROUP BY brand UNION ALL SELECT 'category', category_id, count(*) FROM p WHERE category_id IS NOT NULL GROUP BY category_id"""
 )
 def i6_facets(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.facets(A.refreshed(spark, d), A.offers(spark, d), A.suppliers(spark, d))
+    products, offers = A.catalogue(spark, d)
+    return catalog.facets(products, offers, A.suppliers(spark, d))
 
 
 @query(
@@ -378,7 +384,7 @@ def i6_facets(spark: SparkSession, d: str) -> DataFrame:
 )
 def i7_product_sheet(spark: SparkSession, d: str) -> DataFrame:
     """The sheets of all products."""
-    o = A.offers(spark, d)
+    _, o = A.catalogue(spark, d)
     ids = o.select("product_id")
     reviews = spark.createDataFrame([], "kind string, product_id string, candidate_product_id string, status string")
     s = catalog.product_sheet(ids, A.products(spark, d).select("product_id"), o, A.suppliers(spark, d), A.identifiers(spark, d), A.images(o), reviews, A.changes(spark, d), A.NOW)
@@ -388,7 +394,7 @@ def i7_product_sheet(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT code, 'g:' || g AS product_id, 'gtin' AS matched_by FROM (SELECT {S.gtin('p_partkey')} AS g, substr({S.gtin('p_partkey')}, 2) AS code FROM part)")
 def i8_lookup_barcodes(spark: SparkSession, d: str) -> DataFrame:
     codes = A.read(spark, d, "part").select(F.substring(A.gtin_of(F.col("p_partkey")), 2, 13).alias("code"))
-    return catalog.lookup_barcodes(codes, A.offers(spark, d), A.identifiers(spark, d))
+    return catalog.lookup_barcodes(codes, A.catalogue(spark, d)[1], A.identifiers(spark, d))
 
 
 # ---- change report

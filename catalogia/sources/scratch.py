@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[tuple, tuple[tuple, list[DataFrame]]] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -31,3 +33,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def version(spark: SparkSession, paths: list[str]) -> tuple:
+    """Changes when a file of the paths does: their number, bytes and newest time. Only lists the files."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path").cast("decimal(38,0)"))).first())
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], list[DataFrame]], anew: bool = False) -> list[DataFrame]:
+    """build()'s tables, which it has written; they serve every later call of the application until a source file changes, or until one asks for them anew."""
+    key, now = (spark.sparkContext.applicationId, name, *paths), version(spark, paths)
+    if anew or key not in _KEPT or _KEPT[key][0] != now:
+        _KEPT[key] = (now, build())
+    return _KEPT[key][1]

@@ -106,6 +106,8 @@ def test_search(spark, shop):
     find = lambda q: [r.product_id for r in catalog.text_search(p, offers, q).orderBy(F.desc("score")).collect()]
     assert find("gel ros") == ["p1"] and find("CREMA") == ["p2"] and find("crena") == [] and find("cremma") == ["p2"] and find("c") == ["p2", "p1"][:len(find("c"))]
     assert [tuple(r) for r in catalog.code_search(p, offers, ids, "4006381333931").collect()] == [("p1", 3, "gtin")] and [r.product_id for r in catalog.code_search(p, offers, ids, "C").collect()] == ["p2"]
+    any_way = lambda q: [(r.product_id, r.matched_by) for r in catalog.search(p, offers, ids, q).collect()]
+    assert any_way("400-6381 333931") == [("p1", "gtin")] and any_way("400638") == [("p1", "text")] and any_way("999999") == [] and any_way("d") == [("p2", "sku")]
     assert [r.product_id for r in catalog.sort_page(catalog.filter_catalog(p, offers, supplier_id="1", max_price=5), "price").collect()] == ["p2"]
 
 

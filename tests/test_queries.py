@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogia.operators import apply, associations, ops, vectors
 from catalogia.plans import decisions, details, imports, queries as plans, upkeep
-from catalogia.sources import pricelists, tables
+from catalogia.sources import pricelists, scratch, tables
 
 D = "/root/testdata/sf0.001"
 NAMES = [n for n, f in plans.QUERIES.items() if f.__module__ in {m.__name__ for m in (decisions, details, imports, upkeep)}]
@@ -36,6 +36,24 @@ def test_same_rows_as_sql(spark, sql, name):
     assert got
 
 
+def test_kept_tables_follow_their_sources(spark, tmp_path):
+    path, built = str(tmp_path / "t"), []
+    build = lambda: built.append(1) or [spark.read.parquet(path)]
+    get = lambda **how: scratch.kept(spark, "t", [path], build, **how)[0].count()
+    spark.range(3).write.parquet(path)
+    assert (get(), get(), len(built)) == (3, 3, 1)
+    assert (get(anew=True), len(built)) == (3, 2)
+    spark.range(4).write.mode("append").parquet(path)
+    assert (get(), get(), len(built)) == (7, 7, 3)
+
+
+def test_files_of_a_run_number_its_rows_once(spark):
+    rows = spark.createDataFrame([("a", n, ["x"], {"x": str(n)}) for n in (2, 3)] + [("b", 2, ["x"], {"x": "4"})], pricelists.ROW)
+    runs = spark.createDataFrame([("a", "r", "1", None), ("b", "r", "1", 1000)], "path string, run_id string, supplier_id string, first_row int")
+    assert sorted((r.row_number, r["values"]["x"]) for r in pricelists.as_staged(rows, runs).collect()) == [(2, "2"), (3, "3"), (1002, "4")]
+    assert sorted(r.row_number for r in pricelists.as_staged(rows, runs.drop("first_row")).collect()) == [2, 2, 3]
+
+
 def staged(spark, rows):
     return spark.createDataFrame(rows, "run_id string, row_number int, values map<string,string>")
 
