@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalogia.llm import ann, bpe, chat, langid, packing, simhash, telephony, token_files, toxicity, warc
+from catalogia.llm import ann, bpe, chat, langid, packing, runs, simhash, telephony, token_files, toxicity, warc
 from catalogia.llm.common import table
 
 BYTE_BPE, BYTE_BPE_IDS = "byte_bpe_50k.json", 50_257
@@ -52,7 +52,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_telephony, op4_nearest_neighbours, op5_simhash, op6_language_id, op7_byte_bpe, op8_warc, op9_tool_calls, op10_best_fit_packing)}
+def with_planted_loops(docs: DataFrame) -> DataFrame:
+    """documents with the words from a place on replaced by repeats of the first few of them, in texts that a hash of the id chooses."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = docs.select("doc_id", "text", ((h - h % 10) / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("w"))
+    n = F.size("w").cast("long")
+    placed = chosen.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    left = F.col("n") - F.col("a")
+    repeats = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil(left / F.col("p")).cast("int")))
+    looped = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(repeats, F.lit(1), left.cast("int")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_loops(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    best = F.when(F.size("runs") > 0, best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    return found.select("doc_id", "runs", "collapsed", best.alias("b")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b.start")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_telephony, op4_nearest_neighbours, op5_simhash, op6_language_id, op7_byte_bpe, op8_warc, op9_tool_calls, op10_best_fit_packing, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
