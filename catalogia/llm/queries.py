@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalogia.llm import ann, bpe, chat, langid, packing, runs, simhash, telephony, token_files, toxicity, warc
+from catalogia.llm import ann, bpe, chat, langid, lexical, packing, runs, simhash, telephony, token_files, toxicity, warc, wrappers
 from catalogia.llm.common import table
 
 BYTE_BPE, BYTE_BPE_IDS = "byte_bpe_50k.json", 50_257
@@ -52,6 +52,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def with_planted_loops(docs: DataFrame) -> DataFrame:
     """documents with the words from a place on replaced by repeats of the first few of them, in texts that a hash of the id chooses."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -81,7 +89,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_telephony, op4_nearest_neighbours, op5_simhash, op6_language_id, op7_byte_bpe, op8_warc, op9_tool_calls, op10_best_fit_packing, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_telephony, op4_nearest_neighbours, op5_simhash, op6_language_id, op7_byte_bpe, op8_warc, op9_tool_calls, op10_best_fit_packing, op11_lexical_search, op12_html_extraction, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
@@ -112,4 +120,20 @@ SELECT CASE WHEN c.call_id IS NULL THEN 'orphan_result' ELSE 'call' END AS kind,
     || ',"id":' || to_json(coalesce(c.call_id, r.rid))::VARCHAR || ',"name":' || coalesce(to_json(c.name)::VARCHAR, 'null')
     || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS message
 FROM calls c FULL OUTER JOIN results r ON c.call_id = r.rid LEFT JOIN place p ON p.call_id = c.call_id LEFT JOIN said s ON s.call_id = c.call_id""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, t, 25 + (75 * n * n_docs) // n_terms AS m, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), s WHERE t IN (SELECT t FROM i) GROUP BY doc_id, t, n, n_docs, n_terms),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), s),
+r AS (SELECT item_id, doc_id, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN f USING (t) JOIN w USING (t) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
+    # The given pages mark their article; SQL takes it there, while the operator finds it by its hosts' wrappers.
+    "op12_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t""",
 }
