@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from catalogia.functions.text import let, trimmed
@@ -15,60 +17,65 @@ MAX_INT = 2_000_000_000
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'")]
 
 
+_EMPTY = "(?i)^(?:" + "|".join(map(re.escape, EMPTY_MARKERS)) + ")$"
+_LONGEST = max(map(len, EMPTY_MARKERS))
+
+
 def is_empty_cell(c: Column) -> Column:
-    return F.coalesce(F.lower(trimmed(c)).isin(EMPTY_MARKERS), F.lit(True))
+    t = trimmed(c)
+    return F.coalesce((F.length(t) <= _LONGEST) & t.rlike(_EMPTY), F.lit(True))
 
 
 def _result(value: Column, code: Column, kind: str) -> Column:
     return F.struct(F.when(code.isNull(), value).cast(kind).alias("value"), code.alias("code"))
 
 
-def _chosen(sep: str | Column, make) -> Column:
-    return make(sep) if isinstance(sep, str) else F.when(sep == ",", make(",")).otherwise(make("."))
+# A parser is a cleaning of the cell and a reading of the cleaned text. Where many cells are parsed at once, each step is a column of its own; for a single
+# expression, `let` holds the step's value.
 
 
-def parse_decimal(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
-    """struct(value decimal(38,4), code). Thousands only in groups of three; a leading group is never 0."""
-
-    def of(dec: str) -> Column:
-        o = r"\." if dec == "," else r"\,"
-        form = rf"^(-)?([1-9][0-9]{{0,2}}(?:[{o} ][0-9]{{3}})+|[0-9]+)(?:\{dec}([0-9]+))?$"
-        s = F.translate(trimmed(c), "\u00a0", " ")
-        s = trimmed(F.regexp_replace(F.regexp_replace(s, rf"(?i)^{CURRENCY_MARK}\s*", ""), rf"(?i)\s*{CURRENCY_MARK}$", ""))
-
-        def parsed(p: Column) -> Column:
-            t, value, part = p["t"], p["value"], p["part"]
-            code = (
-                F.when(p["empty"], F.lit(None))
-                .when(~t.rlike(form), F.when(t.rlike(rf"^-?[0-9]+{o}[0-9]{{1,2}}$|^-?0{o}[0-9]+$"), "decimal_separator_mismatch").otherwise("invalid_number"))
-                .when(value.isNull(), "invalid_number")
-                .when(F.length(part) > 4, "too_many_decimals")
-            )
-            return let(F.struct(code.alias("code"), F.when(~p["empty"], value).alias("value")), lambda r: _result(r["value"], r["code"], "decimal(38,4)"))
-
-        def split(t: Column) -> Column:
-            part = F.regexp_extract(t, form, 3)
-            number = F.concat(F.regexp_extract(t, form, 1), F.regexp_replace(F.regexp_extract(t, form, 2), "[., ]", ""), F.lit("."), part, F.lit("0"))
-            return F.struct(t.alias("t"), part.alias("part"), number.try_cast("decimal(38,4)").alias("value"), is_empty_cell(c).alias("empty"))
-
-        return let(let(s, split), parsed)
-
-    text = _chosen(sep, of)
-    if is_numeric is None:
-        return text
+def decimal_text(c: Column, sep: str | Column = ".") -> Column:
+    """The cell without marks of currency, its decimal separator as a point and its thousands as commas; null for an empty cell."""
+    t = F.translate(trimmed(c), "\u00a0", " ")
+    bare = trimmed(F.regexp_replace(F.regexp_replace(t, rf"(?i)^{CURRENCY_MARK}\s*", ""), rf"(?i)\s*{CURRENCY_MARK}$", ""))
+    t = F.when(t.rlike("[^-0-9., ]"), bare).otherwise(t)
+    turned = F.translate(t, ",.", ".,")
+    if isinstance(sep, str):
+        out = turned if sep == "," else t
+    else:
+        out = F.when(sep == ",", turned).otherwise(t)
+    return F.when(~is_empty_cell(c), out)
+
+
+def decimal_of(t: Column) -> Column:
+    """struct(value decimal(38,4), code) of a cleaned text. Thousands only in groups of three; a leading group is never 0."""
+    value = F.translate(t, ", ", "").try_cast("decimal(38,4)")
+    right = t.rlike(r"^-?(?:[1-9][0-9]{0,2}(?:[, ][0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$")
+    other = t.rlike(r"^-?[0-9]+,[0-9]{1,2}$|^-?0,[0-9]+$")
+    code = F.when(~right, F.when(other, "decimal_separator_mismatch").otherwise("invalid_number")).when(t.isNotNull() & value.isNull(), "invalid_number").when(t.rlike(r"\.[0-9]{5,}$"), "too_many_decimals")
+    return _result(value, code, "decimal(38,4)")
+
+
+def numeric_of(c: Column) -> Column:
+    """struct(value decimal(38,4), code) of a cell that the file gives as a number."""
     number = F.round(trimmed(c).try_cast("double").try_cast("decimal(38,12)"), 4)
-    numeric = _result(F.when(~is_empty_cell(c), number), F.when(~is_empty_cell(c) & number.isNull(), F.lit("invalid_number")), "decimal(38,4)")
-    return F.when(F.coalesce(is_numeric, F.lit(False)), numeric).otherwise(text)
+    return _result(F.when(~is_empty_cell(c), number), F.when(~is_empty_cell(c) & number.isNull(), F.lit("invalid_number")), "decimal(38,4)")
 
 
-def parse_non_negative_int(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
+def parse_decimal(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
+    text = let(decimal_text(c, sep), decimal_of)
+    return text if is_numeric is None else F.when(F.coalesce(is_numeric, F.lit(False)), numeric_of(c)).otherwise(text)
 
-    def of(d: Column) -> Column:
-        v = d["value"]
-        code = F.when(d["code"].isNotNull(), d["code"]).when(v != F.floor(v), "not_integer").when(v < 0, "negative").when(v > MAX_INT, "out_of_range")
-        return let(F.struct(v.alias("v"), code.alias("code")), lambda r: _result(F.when(r["code"].isNull(), r["v"]), r["code"], "int"))
 
-    return let(parse_decimal(c, sep, is_numeric), of)
+def int_of(d: Column) -> Column:
+    """struct(value int, code) of a decimal."""
+    v = d["value"]
+    code = F.when(d["code"].isNotNull(), d["code"]).when(v != F.floor(v), "not_integer").when(v < 0, "negative").when(v > MAX_INT, "out_of_range")
+    return _result(F.when(code.isNull(), v), code, "int")
+
+
+def parse_non_negative_int(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
+    return let(parse_decimal(c, sep, is_numeric), int_of)
 
 
 def parse_currency(c: Column) -> Column:
@@ -77,16 +84,15 @@ def parse_currency(c: Column) -> Column:
     return _result(F.when(~is_empty_cell(c), code), F.when(~is_empty_cell(c) & ~code.rlike("^[A-Z]{3}$"), F.lit("invalid_currency")), "string")
 
 
-def parse_vat_rate(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
-    """A numeric cell between 0 and 1 is a fraction; typed text between 0 and 1 is an error, never multiplied."""
-    cleaned = trimmed(F.regexp_replace(trimmed(c), "%$", ""))
+def vat_cell(c: Column) -> Column:
+    return F.when(~is_empty_cell(c), trimmed(F.regexp_replace(trimmed(c), "%$", "")))
 
-    def of(d: Column) -> Column:
-        v = d["value"]
-        code = F.when(d["code"].isNotNull(), d["code"]).when((v < 0) | (v >= 100), "invalid_vat_rate").when((v > 0) & (v < 1), "vat_rate_fraction")
-        return _result(v, code, "decimal(38,4)")
 
-    typed = let(parse_decimal(F.when(is_empty_cell(c), F.lit(None)).otherwise(cleaned), sep, is_numeric), of)
+def vat_of(d: Column, c: Column | None = None, is_numeric: Column | None = None) -> Column:
+    """struct(value, code) of a rate. A numeric cell c between 0 and 1 is a fraction; typed text between 0 and 1 is an error, never multiplied."""
+    v = d["value"]
+    code = F.when(d["code"].isNotNull(), d["code"]).when((v < 0) | (v >= 100), "invalid_vat_rate").when((v > 0) & (v < 1), "vat_rate_fraction")
+    typed = _result(v, code, "decimal(38,4)")
     if is_numeric is None:
         return typed
     n = trimmed(c).try_cast("double")
@@ -94,21 +100,27 @@ def parse_vat_rate(c: Column, sep: str | Column = ".", is_numeric: Column | None
     return F.when(F.coalesce(is_numeric & (n > 0) & (n < 1), F.lit(False)), share).otherwise(typed)
 
 
-def parse_http_url(c: Column) -> Column:
-    """Absolute http or https only; scheme and host in lower case, an empty path as /, spaces escaped."""
+def parse_vat_rate(c: Column, sep: str | Column = ".", is_numeric: Column | None = None) -> Column:
+    return let(parse_decimal(vat_cell(c), sep, is_numeric), lambda d: vat_of(d, c, is_numeric))
+
+
+def url_parts(s: Column) -> Column:
+    """struct(s, right, url, empty) of a trimmed text."""
     form = r"^(?i)(https?)://([^/?#\\\s@]+)([/?#].*)?$"
+    rest = F.regexp_replace(F.regexp_extract(s, form, 3), " ", "%20")
+    url = F.concat(F.lower(F.regexp_extract(s, form, 1)), F.lit("://"), F.lower(F.regexp_extract(s, form, 2)), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+    return F.struct(s.alias("s"), s.rlike(form).alias("right"), url.alias("url"), is_empty_cell(s).alias("empty"))
+
 
-    def of(s: Column) -> Column:
-        rest = F.regexp_replace(F.regexp_extract(s, form, 3), " ", "%20")
-        url = F.concat(F.lower(F.regexp_extract(s, form, 1)), F.lit("://"), F.lower(F.regexp_extract(s, form, 2)), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
-        return F.struct(s.alias("s"), s.rlike(form).alias("right"), url.alias("url"), is_empty_cell(s).alias("empty"))
+def url_of(p: Column) -> Column:
+    good = p["right"] & F.try_parse_url(p["url"], F.lit("HOST")).isNotNull()
+    code = F.when(p["empty"], F.lit(None)).when(F.length(p["s"]) > MAX_URL, "url_too_long").when(~F.coalesce(good, F.lit(False)), "invalid_url")
+    return _result(F.when(~p["empty"], p["url"]), code, "string")
 
-    def judged(p: Column) -> Column:
-        good = p["right"] & F.try_parse_url(p["url"], F.lit("HOST")).isNotNull()
-        code = F.when(p["empty"], F.lit(None)).when(F.length(p["s"]) > MAX_URL, "url_too_long").when(~F.coalesce(good, F.lit(False)), "invalid_url")
-        return _result(F.when(~p["empty"], p["url"]), code, "string")
 
-    return let(let(trimmed(c), of), judged)
+def parse_http_url(c: Column) -> Column:
+    """Absolute http or https only; scheme and host in lower case, an empty path as /, spaces escaped."""
+    return let(let(trimmed(c), url_parts), url_of)
 
 
 def split_urls(c: Column) -> Column:

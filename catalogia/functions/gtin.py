@@ -23,7 +23,10 @@ def _checked(digits: Column) -> Column:
 
 
 def is_restricted_circulation(digits: Column) -> Column:
-    """Numbers for use within a shop or firm, coupons and refunds; 8-digit codes by their first digit, also in their 14-digit form."""
+    """Numbers for use within a shop or firm, coupons and refunds; 8-digit codes by their first digit, also in their 14-digit form.
+
+    The ranges are GS1's (fixed values).
+    """
     g = F.lpad(digits, 14, "0")
     short = (F.length(digits) == 8) | g.startswith("000000")
     first = F.when(F.length(digits) == 8, F.substring(digits, 1, 1)).otherwise(F.substring(g, 7, 1))
@@ -32,41 +35,59 @@ def is_restricted_circulation(digits: Column) -> Column:
     return F.when(short, first.isin("0", "2")).otherwise(inside)
 
 
+def barcode_text(c: Column) -> Column:
+    return F.coalesce(trimmed(c), F.lit(""))
+
+
+def barcode_parts(t: Column) -> Column:
+    """struct(t, grouped, digits, long) of a trimmed text; long: the digits with zeros before them, 14 in all."""
+    grouped = t.rlike("^[0-9]+([ -][0-9]+)+$")
+    digits = F.when(grouped, F.translate(t, " -", "")).otherwise(t)
+    return F.struct(t.alias("t"), grouped.alias("grouped"), digits.alias("digits"), F.lpad(digits, 14, "0").alias("long"))
+
+
+def _check_holds(long: Column) -> Column:
+    """Of 14 digits: weights 3, 1, 3, ... from the right."""
+    digit = lambda k: F.substring(long, k, 1).try_cast("int")
+    total = digit(1) * 3
+    for k in range(2, 14):
+        total = total + (digit(k) * 3 if k % 2 else digit(k))
+    return F.coalesce((total + digit(14)) % 10 == 0, F.lit(False))
+
+
+def barcode_issue(p: Column) -> Column:
+    """struct(form, issue) of the parts."""
+    t, digits = p["t"], p["digits"]
+    n = F.length(digits)
+    form = F.when(n == 8, "EAN-8").when(n == 12, "UPC-A").when(n == 13, "EAN-13").when(n == 14, "GTIN-14")
+    issue = (
+        F.when(t == "", F.lit(None))
+        .when(~digits.rlike("^[0-9]+$"), F.when(t.rlike("^[0-9]+([.,][0-9]+)?[eE][+-]?[0-9]+$"), "scientific_notation").otherwise("not_digits"))
+        .when(form.isNull(), "unsupported_length")
+        .when(p["long"] == "0" * 14, "all_zeros")
+        .when(~_check_holds(p["long"]), "bad_check_digit")
+    )
+    return F.struct(form.alias("form"), issue.alias("issue"))
+
+
+def barcode_of(p: Column, q: Column, raw: Column) -> Column:
+    """struct(status, raw, gtin14, format, issue, formatting_removed) of the parts and their issue."""
+    t, digits, issue = p["t"], p["digits"], q["issue"]
+    status = F.when(t == "", "missing").when(issue.isNotNull(), "invalid").when(is_restricted_circulation(digits), "restricted").otherwise("valid")
+    return F.struct(
+        status.alias("status"),
+        raw.alias("raw"),
+        F.when((t != "") & issue.isNull(), p["long"]).alias("gtin14"),
+        F.when((t != "") & digits.rlike("^[0-9]+$"), q["form"]).alias("format"),
+        issue.alias("issue"),
+        (p["grouped"] & (t != "")).alias("formatting_removed"),
+    )
+
+
 def parse_barcode(c: Column) -> Column:
     """struct(status, raw, gtin14, format, issue, formatting_removed)."""
-
-    def digits_of(t: Column) -> Column:
-        grouped = t.rlike("^[0-9]+([ -][0-9]+)+$")
-        return F.struct(t.alias("t"), grouped.alias("grouped"), F.when(grouped, F.regexp_replace(t, "[ -]", "")).otherwise(t).alias("digits"))
-
-    def issue_of(p: Column) -> Column:
-        t, digits = p["t"], p["digits"]
-        n = F.length(digits)
-        form = F.when(n == 8, "EAN-8").when(n == 12, "UPC-A").when(n == 13, "EAN-13").when(n == 14, "GTIN-14")
-        issue = (
-            F.when(t == "", F.lit(None))
-            .when(t.rlike("^[0-9]+([.,][0-9]+)?[eE][+-]?[0-9]+$"), "scientific_notation")
-            .when(~digits.rlike("^[0-9]+$"), "not_digits")
-            .when(form.isNull(), "unsupported_length")
-            .when(digits.rlike("^0+$"), "all_zeros")
-            .when(~F.coalesce(is_valid_check_digit(digits), F.lit(False)), "bad_check_digit")
-        )
-        return F.struct(p["t"].alias("t"), p["grouped"].alias("grouped"), digits.alias("digits"), form.alias("form"), issue.alias("issue"))
-
-    def result(p: Column) -> Column:
-        t, digits, issue = p["t"], p["digits"], p["issue"]
-        good = (t != "") & issue.isNull()
-        status = F.when(t == "", "missing").when(issue.isNotNull(), "invalid").when(is_restricted_circulation(digits), "restricted").otherwise("valid")
-        return F.struct(
-            status.alias("status"),
-            c.alias("raw"),
-            F.when(good, F.lpad(digits, 14, "0")).alias("gtin14"),
-            F.when((t != "") & digits.rlike("^[0-9]+$"), p["form"]).alias("format"),
-            issue.alias("issue"),
-            (p["grouped"] & (t != "")).alias("formatting_removed"),
-        )
-
-    return let(let(let(F.coalesce(trimmed(c), F.lit("")), digits_of), issue_of), result)
+    both = let(let(barcode_text(c), barcode_parts), lambda p: F.struct(p.alias("p"), barcode_issue(p).alias("q")))
+    return let(both, lambda x: barcode_of(x["p"], x["q"], c))
 
 
 def display_gtin(g: Column) -> Column:

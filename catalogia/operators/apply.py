@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from catalogia.operators.canonical import refresh_touched
 from catalogia.operators.changes import _json, diff_offers
 from catalogia.operators.identity import detect_identity_conflicts
+from catalogia.sources import store
 
 COMMERCIAL = ["price", "currency", "vat_treatment", "vat_rate", "units_per_pack", "stock_quantity", "stock_status", "image_urls", "gtin"]
 #: A snapshot with fewer codes than this share of the active offers removes nothing.
@@ -95,15 +97,36 @@ def offer_changes(linked: DataFrame, had_active: DataFrame) -> DataFrame:
 
 
 def updated_offers(offers: DataFrame, classified: DataFrame, linked: DataFrame) -> DataFrame:
-    """The new offers table: created and updated rows, freshness of unchanged ones, marks of those that were only seen, and all others as they were."""
+    """The new offers table: created and updated rows, freshness of unchanged ones, marks of those that were only seen, and all others as they were.
+
+    linked: with category_id, as resolve_categories gives it.
+    """
     names = offers.columns
     o = F.col("offer")
-    keep = {"offer_id": offer_id(F.col("supplier_id"), F.col("sku")), "supplier_id": F.col("supplier_id"), "supplier_sku": F.col("sku"), "product_id": F.col("product_id"), "link_source": F.col("link_source"), "category_id": F.lit(None).cast("string"), "active": F.lit(True), "source_as_of": F.col("as_of"), "created_at": F.coalesce("ex.created_at", "as_of"), "row_hash": F.col("row_hash"), "last_import_id": F.col("run_id"), "last_row_number": F.col("row_number")}
+    keep = {
+        "offer_id": offer_id(F.col("supplier_id"), F.col("sku")),
+        "supplier_id": F.col("supplier_id"),
+        "supplier_sku": F.col("sku"),
+        "product_id": F.col("product_id"),
+        "link_source": F.col("link_source"),
+        "category_id": F.col("category_id"),
+        "active": F.lit(True),
+        "source_as_of": F.col("as_of"),
+        "created_at": F.coalesce("ex.created_at", "as_of"),
+        "row_hash": F.col("row_hash"),
+        "last_import_id": F.col("run_id"),
+        "last_row_number": F.col("row_number"),
+    }
     new = linked.select(*((keep[n] if n in keep else o[n]).cast(offers.schema[n].dataType).alias(n) for n in names))
     seen = classified.filter(F.col("ex").isNotNull() & F.col("outcome").isin("error", "outdated", "unchanged") & ~F.col("is_duplicate"))
-    seen = seen.select(F.col("ex.offer_id").alias("offer_id"), F.col("run_id").alias("_run"), F.col("row_number").alias("_row"), F.when(F.col("outcome") == "unchanged", F.col("as_of")).alias("_fresh"))
+    fresh = F.when(F.col("outcome") == "unchanged", F.col("as_of"))
+    seen = seen.select(F.col("ex.offer_id").alias("offer_id"), F.col("run_id").alias("_run"), F.col("row_number").alias("_row"), fresh.alias("_fresh"))
     old = offers.join(new.select("offer_id"), "offer_id", "left_anti").join(seen, "offer_id", "left")
-    own = {"source_as_of": F.greatest("source_as_of", "_fresh"), "last_import_id": F.coalesce("_run", "last_import_id"), "last_row_number": F.coalesce("_row", "last_row_number")}
+    own = {
+        "source_as_of": F.greatest("source_as_of", "_fresh"),
+        "last_import_id": F.coalesce("_run", "last_import_id"),
+        "last_row_number": F.coalesce("_row", "last_row_number"),
+    }
     return old.select(*(own.get(n, F.col(n)).cast(offers.schema[n].dataType).alias(n) for n in names)).unionByName(new)
 
 
@@ -152,7 +175,7 @@ def relink_events(linked: DataFrame) -> DataFrame:
 
 def resolve_categories(offers: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """offers with category_id by supplier and raw category, and the mappings with unseen raw categories added (without a category)."""
-    joined = offers.drop("category_id").join(mappings, ["supplier_id", "category_raw"], "left").select(*offers.columns)
+    joined = offers.drop("category_id").join(mappings.select("supplier_id", "category_raw", "category_id"), ["supplier_id", "category_raw"], "left").select(*offers.columns)
     unseen = offers.filter("category_raw is not null").select("supplier_id", "category_raw").distinct().join(mappings, ["supplier_id", "category_raw"], "left_anti")
     return joined, mappings.unionByName(unseen.withColumn("category_id", F.lit(None).cast("string")))
 
@@ -204,40 +227,127 @@ def update_supplier_freshness(suppliers: DataFrame, runs: DataFrame) -> DataFram
     return j.select(*(own.get(c, F.col(c)).alias(c) for c in suppliers.columns))
 
 
+def touched_products(classified: DataFrame, linked: DataFrame, removed: DataFrame) -> DataFrame:
+    """product_id of products whose canonical row may change: those of written offers, before and after, of confirmed offers, and of removed ones."""
+    after = linked.select("product_id")
+    before = linked.filter("ex is not null").select(F.col("ex.product_id").alias("product_id"))
+    confirmed = classified.filter("outcome = 'unchanged'").select(F.col("ex.product_id").alias("product_id"))
+    return after.union(before).union(confirmed).union(removed.select("product_id")).filter("product_id is not null").distinct()
+
+
+def known_pictures(offers: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """offer_id, position, asset_id, status of each offer's pictures: sources are kept by supplier and address."""
+    of = links.join(offers.select("offer_id", "supplier_id"), "offer_id")
+    return of.join(sources.select("supplier_id", "url", "status", "asset_id"), ["supplier_id", "url"]).select("offer_id", "position", "asset_id", "status")
+
+
+def _born(linked: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows of the products table for products that the run made; identity is that of their first row."""
+    first = F.min(F.struct("as_of", "supplier_id", "row_number", F.col("offer.brand").alias("brand"), F.map_entries("offer.attributes").alias("attributes")))
+    new = linked.join(products.select("product_id"), "product_id", "left_anti").groupBy("product_id").agg(first.alias("f"))
+    own = {"product_id": F.col("product_id"), "status": F.lit("active"), "brand": F.col("f.brand"), "attributes": F.map_from_entries("f.attributes")}
+    return new.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in products.schema))
+
+
+def _reviews(linked: DataFrame, relinks: DataFrame) -> DataFrame:
+    clash = linked.filter("conflict_owner is not null")
+    own = offer_id(F.col("supplier_id"), F.col("sku")).alias("offer_id")
+    gtin, is_open = F.col("offer.gtin").alias("gtin"), F.lit("open").alias("status")
+    asked = clash.select(F.lit("gtin_conflict").alias("kind"), "product_id", F.col("conflict_owner").alias("candidate_product_id"), own, gtin, is_open)
+    manual = relinks.filter("needs_review").select(
+        F.lit("gtin_changed").alias("kind"), F.col("to_product_id").alias("product_id"), F.col("from_product_id").alias("candidate_product_id"), "offer_id", F.col("new_gtin").alias("gtin"), is_open
+    )
+    return asked.unionByName(manual)
+
+
+def _issues(classified: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows' own issues, and those of applying: repeated skus, outdated rows, conflicts of identity."""
+    said = lambda severity, field, code: F.struct(F.lit(severity).alias("severity"), F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), F.col("sku").alias("value"))
+    more = F.when(F.col("outcome") == "duplicate", said("error", "sku", "duplicate_sku")).when(F.col("outcome") == "outdated", said("warning", None, "outdated_row"))
+    rows = classified.select("run_id", "supplier_id", "row_number", F.explode(F.concat("issues", F.array_compact(F.array(more)))).alias("i"))
+    held = linked.filter("conflict_owner is not null").select(
+        "run_id", "supplier_id", "row_number", F.lit("warning").alias("severity"), F.lit("barcode").alias("field"), F.lit("gtin_conflict").alias("code"), F.col("offer.barcode_raw").alias("value")
+    )
+    return rows.select("run_id", "supplier_id", "row_number", "i.*").unionByName(held)
+
+
+def _empty(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
 def apply_import(norm: DataFrame, runs: DataFrame, state: dict[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
-    """The whole step as one job. state: offers, identifiers, products (product_id, status, brand, attributes), suppliers, reviews (kind, product_id, candidate_product_id, offer_id, gtin, status).
+    """The whole step as one job. At most one run a supplier in a call.
+
+    state:
+      offers, identifiers, suppliers, reviews (kind, product_id, candidate_product_id, offer_id, gtin, status);
+      products: product_id, status, and what else a product has of its own (overrides, merged_into_id; brand and attributes if there is no canonical table);
+      category_mappings (supplier_id, category_raw, category_id), image_sources (supplier_id, url, asset_id, status), offer_images (offer_id, position, url):
+      empty where left out;
+      canonical: what refresh_products made of the tables. Where it is given, the products that the run touches are refreshed, and only they.
 
-    At most one run a supplier in a call. keep (such as scratch.saved) holds the tables that several results are made from. Returns the same tables anew, and issues, changes, counters, relinks, guard.
+    keep (such as scratch.saved) holds the tables that several results are made from. Returns the same tables anew, and issues, changes, counters, relinks,
+    guard, refreshed (the canonical rows whose content changed) and fresher (product_id of all rows that were made anew).
     """
-    classified = keep(classify(resolve_duplicate_skus(match_existing(norm, state["offers"]))), "classified")
-    linked = keep(link_products(classified, state["identifiers"], state["products"]), "linked")
-    had = state["offers"].filter("active").select("supplier_id")
-    changes = offer_changes(linked, had)
-    offers = updated_offers(state["offers"], classified, linked)
-    guard = snapshot_guard(runs, classified, state["offers"], state["suppliers"])
+    offers_before = state["offers"]
+    mappings = state.get("category_mappings", _empty(norm, "supplier_id string, category_raw string, category_id string"))
+    sources = state.get("image_sources", _empty(norm, "supplier_id string, url string, asset_id string, status string"))
+    links = state.get("offer_images", _empty(norm, "offer_id string, position int, url string"))
+    canonical = state.get("canonical")
+    identity = state["products"] if canonical is None else canonical
+    classified = keep(classify(resolve_duplicate_skus(match_existing(norm, offers_before))), "classified")
+    linked = link_products(classified, state["identifiers"], identity.select("product_id", "brand", "attributes"))
+    linked, mappings = resolve_categories(linked.withColumns({"category_raw": F.col("offer.category_raw"), "category_id": F.lit(None).cast("string")}), mappings)
+    linked = keep(linked, "linked")
+    offers = updated_offers(offers_before, classified, linked)
+    guard = snapshot_guard(runs, classified, offers_before, state["suppliers"])
     offers, removed = deactivate_missing(offers, guard)
-    changes = changes.unionByName(removed)
+    offers = keep(offers, "offers")
+    changes = offer_changes(linked, offers_before.filter("active").select("supplier_id")).unionByName(removed)
+    pending, links = sync_offer_images(linked, sources, links)
+    sources = sources.unionByName(pending.select("supplier_id", "url", "status"), allowMissingColumns=True)
     identifiers = state["identifiers"].unionByName(linked.filter("new_gtin_product").select("product_id", F.col("offer.gtin").alias("value")).distinct())
-    born = linked.join(state["products"].select("product_id"), "product_id", "left_anti").groupBy("product_id").agg(F.min(F.struct("as_of", "supplier_id", "row_number", F.col("offer.brand").alias("brand"), F.map_entries("offer.attributes").alias("attributes"))).alias("f"))
-    products = state["products"].unionByName(born.select("product_id", F.lit("active").alias("status"), F.col("f.brand").alias("brand"), F.map_from_entries("f.attributes").alias("attributes")).select(*state["products"].columns))
-    asked = linked.filter("conflict_owner is not null").select(F.lit("gtin_conflict").alias("kind"), "product_id", F.col("conflict_owner").alias("candidate_product_id"), offer_id(F.col("supplier_id"), F.col("sku")).alias("offer_id"), F.col("offer.gtin").alias("gtin"), F.lit("open").alias("status"))
+    products = state["products"].unionByName(_born(linked, state["products"]))
     relinks = relink_events(linked)
-    manual = relinks.filter("needs_review").select(F.lit("gtin_changed").alias("kind"), F.col("to_product_id").alias("product_id"), F.col("from_product_id").alias("candidate_product_id"), "offer_id", F.col("new_gtin").alias("gtin"), F.lit("open").alias("status"))
-    reviews = state["reviews"].unionByName(open_reviews(asked.unionByName(manual), state["reviews"]))
-    more = F.when(F.col("outcome") == "duplicate", F.struct(F.lit("error").alias("severity"), F.lit("sku").alias("field"), F.lit("duplicate_sku").alias("code"), F.col("sku").alias("value"))).when(
-        F.col("outcome") == "outdated", F.struct(F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("field"), F.lit("outdated_row").alias("code"), F.col("sku").alias("value"))
-    )
-    issues = classified.select("run_id", "supplier_id", "row_number", F.explode(F.concat("issues", F.array_compact(F.array(more)))).alias("i")).select("run_id", "supplier_id", "row_number", "i.*")
-    held = linked.filter("conflict_owner is not null").select("run_id", "supplier_id", "row_number", F.lit("warning").alias("severity"), F.lit("barcode").alias("field"), F.lit("gtin_conflict").alias("code"), F.col("offer.barcode_raw").alias("value"))
-    return {
+    suppliers = update_supplier_freshness(state["suppliers"], runs)
+    new_pictures = pending.groupBy("supplier_id").agg(F.count("*").alias("images_new"))
+    counters = run_counters(classified, linked, changes).join(runs.select("run_id", "supplier_id").join(new_pictures, "supplier_id").drop("supplier_id"), "run_id", "left").na.fill(0)
+    out = {
         "offers": offers,
         "identifiers": identifiers,
         "products": products,
-        "suppliers": update_supplier_freshness(state["suppliers"], runs),
-        "reviews": reviews,
-        "issues": issues.unionByName(held),
+        "suppliers": suppliers,
+        "reviews": state["reviews"].unionByName(open_reviews(_reviews(linked, relinks), state["reviews"])),
+        "category_mappings": mappings,
+        "image_sources": sources,
+        "offer_images": links,
+        "issues": _issues(classified, linked),
         "changes": changes,
-        "counters": run_counters(classified, linked, changes),
+        "counters": counters,
         "relinks": relinks,
         "guard": guard,
     }
+    if canonical is not None:
+        touched = keep(touched_products(classified, linked, removed), "touched")
+        out["fresher"] = touched
+        out["canonical"], out["refreshed"] = refresh_touched(canonical, touched, products, offers, suppliers, known_pictures(offers.join(touched, "product_id", "left_semi"), links, sources), identifiers, keep)
+    return out
+
+
+#: Tables of the store that a run adds rows to; every other is replaced.
+ADDED = ("changes", "issues", "counters", "relinks")
+#: Tables that are kept in parts by a column's hash, so that a run writes only the parts with rows that it touches.
+IN_PARTS = {"offers": "supplier_id", "canonical": "product_id"}
+STATE = ("offers", "identifiers", "products", "suppliers", "reviews", "category_mappings", "image_sources", "offer_images", "canonical")
+
+
+def run_import(spark: SparkSession, root: str, run_id: str, norm: DataFrame, runs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> bool:
+    """apply_import on the tables of the store at root, committed as one: all tables change, or none. False if run_id is committed already.
+
+    The store holds the tables of STATE. A failed run is repeated by calling this again with the same arguments.
+    """
+    if store.is_committed(spark, root, run_id):
+        return False
+    state = {k: v for k, v in store.load_all(spark, root).items() if k in STATE}
+    out = apply_import(norm, runs, state, keep)
+    touched = {"offers": runs.select("supplier_id"), "canonical": out["fresher"]}
+    return store.commit(spark, root, run_id, {k: out[k] for k in STATE}, {k: out[k] for k in ADDED}, IN_PARTS, touched)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalogia.functions.gtin import display_gtin
@@ -116,3 +118,15 @@ def changed_only(old: DataFrame, new: DataFrame, key: str = "product_id", ignore
     content = [c for c in new.columns if c != key and c not in ignore]
     as_text = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256).alias("_h"))
     return new.join(as_text(new).join(as_text(old), [key, "_h"], "left_anti").select(key), key, "left_semi")
+
+
+def refresh_touched(
+    canonical: DataFrame, touched: DataFrame, products: DataFrame, offers: DataFrame, suppliers: DataFrame, images: DataFrame, identifiers: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df
+) -> tuple[DataFrame, DataFrame]:
+    """canonical with the touched products (product_id) made anew from all their offers and all others as they were; and the rows whose content changed.
+
+    images: of the touched products' offers at least. The cost is that of the touched products, but for reading the tables once.
+    """
+    pick = lambda df: df.join(touched, "product_id", "left_semi")
+    new = keep(refresh_products(pick(products), pick(offers), suppliers, images, pick(identifiers)).select(*canonical.columns), "refreshed")
+    return canonical.join(new.select("product_id"), "product_id", "left_anti").unionByName(new), changed_only(pick(canonical), new)

@@ -134,16 +134,24 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def price_lists(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
-    """path, supplier_id, content: a supplier's offers as files of at most LIST_ROWS rows, half of the suppliers with ; and decimal commas, half with | and points."""
-    o = offers(spark, d, since=since)
+def price_lists(spark: SparkSession, d: str, since: str | None = None, before: str | None = None, pictures: bool = False, rows_a_file: int | None = LIST_ROWS) -> DataFrame:
+    """path, supplier_id, content: a supplier's offers as files of at most so many rows (None: one file), half of the suppliers with ; and decimal commas, half with | and points.
+
+    pictures: with a column of one address for odd parts, and of two for even ones.
+    """
+    o = offers(spark, d, before=before, since=since)
     comma = F.col("supplier_id").cast("int") % 2 == 0
     price = F.col("price").cast("decimal(14,2)").cast("string")
     cells = ["supplier_sku", "barcode_raw", "title", "brand", "category_raw", "_price", "units_per_pack", "stock_quantity"]
+    heads = ["Codice Articolo", "EAN", "Titolo", "Marca", "Categoria", "Prezzo", "Pz/conf", "Giacenza"]
+    if pictures:
+        k, s = F.substring("supplier_sku", 2, 20).cast("long"), F.col("supplier_id").cast("long")
+        extra = F.when(k % 2 == 0, F.concat(F.lit("http://img/extra"), (s % 5).cast("string")))
+        o = o.withColumn("_pictures", F.concat_ws(" ", F.concat(F.lit("http://img/"), (k % 100).cast("string")), extra))
+        cells, heads = [*cells, "_pictures"], [*heads, "Immagine"]
     o = o.withColumn("_price", F.when(comma, F.replace(price, F.lit("."), F.lit(","))).otherwise(price))
     line = F.when(comma, _joined(";", cells)).otherwise(_joined("|", cells))
-    heads = ["Codice Articolo", "EAN", "Titolo", "Marca", "Categoria", "Prezzo", "Pz/conf", "Giacenza"]
-    part = F.expr(f"substring(supplier_sku, 2) div {LIST_ROWS}")  # a supplier has a sku once, so a file can't be longer
+    part = F.expr(f"substring(supplier_sku, 2) div {rows_a_file}") if rows_a_file else F.lit(0)  # a supplier has a sku once, so a file can't be longer
     g = o.select("supplier_id", comma.alias("comma"), part.alias("part"), "supplier_sku", line.alias("line")).groupBy("supplier_id", "comma", "part").agg(F.array_sort(F.collect_list(F.struct("supplier_sku", "line"))).alias("lines"))
     head = F.when(F.col("comma"), F.lit(";".join(heads))).otherwise(F.lit("|".join(heads)))
     text = F.concat(head, F.lit("\r\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"), F.lit("\r\n"))
@@ -154,22 +162,32 @@ def _joined(sep: str, cells: list[str]):
     return F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells))
 
 
+def list_defaults() -> Column:
+    """What the lists leave out."""
+    return F.struct(F.lit("EUR").alias("currency"), F.lit("net").alias("vat_treatment"), F.lit(None).cast("decimal(5,2)").alias("vat_rate"), F.lit(1).alias("units_per_pack"), F.lit(None).cast("string").alias("sales_unit"))
+
+
 def import_runs(lists: DataFrame, mapping: DataFrame, mode: str = "snapshot", as_of: str = "2002-01-01") -> DataFrame:
     """The run of each file: one for all files of a supplier. mapping: file, mapping."""
-    defaults = F.struct(F.lit("EUR").alias("currency"), F.lit("net").alias("vat_treatment"), F.lit(None).cast("decimal(5,2)").alias("vat_rate"), F.lit(1).alias("units_per_pack"), F.lit(None).cast("string").alias("sales_unit"))
     sep = F.when(F.col("supplier_id").cast("int") % 2 == 0, ",").otherwise(".")
     r = lists.select("path", "supplier_id").join(mapping.withColumnRenamed("file", "path"), "path")
     first = F.regexp_extract("path", "-([0-9]+)[.]csv$", 1).cast("int") * LIST_ROWS
-    return r.select("path", first.alias("first_row"), F.concat(F.lit("run-"), F.col("supplier_id")).alias("run_id"), "supplier_id", F.lit(mode).alias("mode"), F.lit(as_of).cast("timestamp").alias("as_of"), sep.alias("decimal_separator"), "mapping", defaults.alias("defaults"))
+    return r.select("path", first.alias("first_row"), F.concat(F.lit("run-"), F.col("supplier_id")).alias("run_id"), "supplier_id", F.lit(mode).alias("mode"), F.lit(as_of).cast("timestamp").alias("as_of"), sep.alias("decimal_separator"), "mapping", list_defaults().alias("defaults"))
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """For projections as wide as normalisation: methods that HotSpot wouldn't compile are left to generated code in smaller pieces (Spark's own advice)."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
-def normalized_lists(spark: SparkSession, d: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
+def normalized_lists(spark: SparkSession, d: str, since: str | None = None, pictures: bool = False) -> tuple[DataFrame, DataFrame]:
     """Normalised rows of all price lists, with guessed mappings, and their runs."""
     from catalogia.operators.mapping import guess_mapping, mapping_of
     from catalogia.operators.normalize import normalize_rows
     from catalogia.sources.pricelists import as_staged, read_pricelists
 
-    lists = price_lists(spark, d, since)
+    wide_rows(spark)
+    lists = price_lists(spark, d, since, pictures=pictures)
     rows = saved(read_pricelists(lists.select("path", "content")), "list-rows")
     heads = rows.groupBy("path").agg(F.first("headers").alias("h")).select(F.col("path").alias("file"), F.posexplode("h").alias("pos", "header"))
     of_files = saved(import_runs(rows.select("path").distinct().withColumn("supplier_id", F.regexp_extract("path", "([0-9]+)", 1)), mapping_of(guess_mapping(heads))), "runs")

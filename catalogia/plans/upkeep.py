@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalogia.operators import apply, canonical, catalog, ops, suggest, vectors
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query
+from catalogia.sources import store
 from catalogia.sources.scratch import folder
 from catalogia.streaming import streams
 
@@ -107,10 +108,11 @@ def l9_stream_offer_changes(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long").cast("string").alias("price"), F.lit("EUR").alias("currency"), F.col("l_linestatus").alias("stock_status"), F.col("l_quantity").cast("int").alias("stock_quantity"),
     )
     # A file source takes a folder or a pattern, not one file: hence the pattern above.
-    out, marks = folder(spark, "offer-changes"), folder(spark, "offer-changes-marks")
-    changes = streams.stream_offer_changes(rows)
-    changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(changes.schema).parquet(out).select("supplier_id", "supplier_sku", "change_type", F.col("as_of").cast("timestamp_ntz").alias("as_of"))
+    root = folder(spark, "offer-changes")
+    streams.new_offer_store(spark, root)
+    streams.stream_offer_changes(rows, root, folder(spark, "offer-changes-marks")).awaitTermination()
+    return store.load(spark, root, "offer_changes").select("supplier_id", "supplier_sku", "change_type", F.col("as_of").cast("timestamp_ntz").alias("as_of"))
+
 
 
 _RUN = "SELECT (o_custkey % 10 + 1)::VARCHAR AS supplier_id, o_orderdate AS as_of, CASE o_orderstatus WHEN 'F' THEN 'snapshot' ELSE 'partial' END AS mode FROM orders WHERE o_custkey % 10 < 8"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogia.operators import apply, associations, canonical, catalog, changes, mapping, normalize, suggest, vectors
-from catalogia.sources import pricelists, tables
+from catalogia.sources import pricelists, store, tables
 from catalogia.sources.scratch import saved
 from catalogia.streaming import streams
 
@@ -62,6 +62,130 @@ def test_three_days(spark):
     assert few["guard"].first().snapshot_result == "low_coverage" and few["offers"].filter("active").count() == 4
 
 
+OWN = "product_id string, status string, merged_into_id string, override_title string, override_brand string, override_category_id string, override_image_id string"
+
+
+def daily_state(spark):
+    """Empty tables of the whole job; two raw categories are known, one of them mapped, and one picture."""
+    state = empty_state(spark)
+    state["products"] = spark.createDataFrame([], OWN)
+    state["suppliers"] = spark.createDataFrame([("s", 10, None, None), ("t", 20, None, None)], "supplier_id string, priority int, last_success_as_of timestamp, last_snapshot_as_of timestamp")
+    state["category_mappings"] = spark.createDataFrame([("s", "Gel", "c1"), ("s", "Old", None)], "supplier_id string, category_raw string, category_id string")
+    state["image_sources"] = spark.createDataFrame([("s", "http://i/1", "a1", "fetched")], "supplier_id string, url string, asset_id string, status string")
+    state["offer_images"] = spark.createDataFrame([], "offer_id string, position int, url string")
+    state["canonical"] = canonical.refresh_products(state["products"], state["offers"], state["suppliers"], spark.createDataFrame([], "offer_id string, position int, asset_id string, status string"), state["identifiers"])
+    return state
+
+
+def normalised(spark, lines, run, n, mode="delta", supplier="s"):
+    head = "SKU;EAN;Titolo;Marca;Prezzo;Giacenza;Categoria;Immagine"
+    files = spark.createDataFrame([(run, "\n".join([head, *lines]).encode())], "path string, content binary")
+    rows = pricelists.read_pricelists(files)
+    heads = rows.limit(1).select(F.col("path").alias("file"), F.posexplode("headers").alias("pos", "header"))
+    dft = F.struct(F.lit("EUR").alias("currency"), F.lit("net").alias("vat_treatment"), F.lit(None).cast("decimal(5,2)").alias("vat_rate"), F.lit(1).alias("units_per_pack"), F.lit(None).cast("string").alias("sales_unit"))
+    m = mapping.mapping_of(mapping.guess_mapping(heads))
+    runs = saved(m.select(F.col("file").alias("path"), F.col("file").alias("run_id"), F.lit(supplier).alias("supplier_id"), F.lit(mode).alias("mode"), F.lit(day(n)).alias("as_of"), F.lit(".").alias("decimal_separator"), "mapping", dft.alias("defaults")), "runs")
+    return saved(normalize.normalize_rows(pricelists.as_staged(rows, runs), runs), "norm"), runs
+
+
+def tables_of(spark, root):
+    """All state tables as comparable rows."""
+    return {name: sorted(map(repr, df.select(*sorted(df.columns)).collect())) for name, df in store.load_all(spark, root).items()}
+
+
+def check_canonical(spark, root):
+    """What was refreshed run by run is what a refresh of everything gives."""
+    t = store.load_all(spark, root)
+    pictures = apply.known_pictures(t["offers"], t["offer_images"], t["image_sources"])
+    full = canonical.refresh_products(t["products"], t["offers"], t["suppliers"], pictures, t["identifiers"])
+    rows = lambda df: sorted(map(repr, df.select(*sorted(full.columns)).collect()))
+    assert rows(t["canonical"]) == rows(full)
+
+
+def test_daily_job_and_failed_commits(spark, tmp_path, monkeypatch):
+    lists = [  # the second and third are applied in one call
+        ("r1", 1, "snapshot", "s", [f"A;{EAN['A']};Gel rosa;Acme;10;5;Gel;http://i/1 http://i/2", f"B;{EAN['B']};Crema;Acme;20;5;New;", "C;;Olio;;30;5;Old;http://i/1"]),
+        ("r2", 2, "delta", "t", [f"X;{EAN['A']};Gel;Acme;8;1;Gel;http://i/1"]),
+        ("r3", 3, "snapshot", "s", [f"A;{EAN['A']};Gel rosa;Acme;10;5;Gel;http://i/1 http://i/2", f"B;{EAN['B']};Crema bio;Acme;21;5;Gel;http://i/2"]),
+    ]
+    roots = [str(tmp_path / "whole"), str(tmp_path / "broken")]
+    for root in roots:
+        store.create(spark, root, daily_state(spark), apply.IN_PARTS)
+    made = {run: normalised(spark, lines, run, n, mode, supplier) for run, n, mode, supplier, lines in lists}
+    for run, (norm, runs) in (("r1", made["r1"]), ("r3", tuple(a.unionByName(b) for a, b in zip(made["r2"], made["r3"])))):
+        assert apply.run_import(spark, roots[0], run, norm, runs, saved)
+        if run == "r1":
+            before, put, written = tables_of(spark, roots[1]), store._put, []
+
+            def failing(df, path, *by):
+                written.append(path)
+                if len(written) == 6:  # some tables of the commit have their files, others don't
+                    raise RuntimeError("lost")
+                put(df, path, *by)
+
+            with monkeypatch.context() as m:
+                m.setattr(store, "_put", failing)
+                with pytest.raises(RuntimeError):
+                    apply.run_import(spark, roots[1], run, norm, runs, saved)
+            assert tables_of(spark, roots[1]) == before  # nothing of the broken run can be seen
+            assert apply.run_import(spark, roots[1], run, norm, runs, saved)
+            assert not apply.run_import(spark, roots[1], run, norm, runs, saved)  # once is enough
+            assert tables_of(spark, roots[1]) == tables_of(spark, roots[0])
+        check_canonical(spark, roots[0])
+    t = store.load_all(spark, roots[0])
+    offers = {r.offer_id: r for r in t["offers"].collect()}
+    assert {k: (r.category_id, r.active) for k, r in offers.items()} == {"s|A": ("c1", True), "s|B": ("c1", True), "s|C": (None, False), "t|X": (None, True)}
+    assert {(r.supplier_id, r.category_raw): r.category_id for r in t["category_mappings"].collect()} == {("s", "Gel"): "c1", ("s", "Old"): None, ("s", "New"): None, ("t", "Gel"): None}
+    assert {(r.supplier_id, r.url): r.status for r in t["image_sources"].collect()} == {("s", "http://i/1"): "fetched", ("s", "http://i/2"): "pending", ("t", "http://i/1"): "pending"}
+    assert sorted((r.offer_id, r.position, r.url[-1]) for r in t["offer_images"].collect()) == [("s|A", 0, "1"), ("s|A", 1, "2"), ("s|B", 0, "2"), ("s|C", 0, "1"), ("t|X", 0, "1")]
+    p = {r.title: r for r in t["canonical"].collect()}
+    assert p["Gel rosa"].primary_image_id == "a1" and p["Gel rosa"].best_price.offer_id == "t|X" and p["Crema bio"].category_id == "c1" and p["Olio"].offer_count == 0
+    assert {r.run_id: r.images_new for r in t["counters"].collect()} == {"r1": 1, "r2": 1, "r3": 0}
+    assert sorted((r.run_id, r.change_type) for r in t["changes"].collect()) == [("r3", "images"), ("r3", "price"), ("r3", "removed")]
+
+
+def test_refresh_of_touched_products_only(spark, shop):
+    supp, offers, ids, products, images = shop
+    full = saved(canonical.refresh_products(products, offers, supp, images, ids), "full")
+    now = offers.withColumn("title", F.when(F.col("offer_id") == "1|a", "Gel nuovo").otherwise(F.col("title"))).filter("offer_id <> '1|d'")
+    touched = spark.createDataFrame([("p1",), ("p4",)], "product_id string")
+    after, changed = canonical.refresh_touched(full, touched, products, now, supp, images, ids)
+    new = {r.product_id: r for r in canonical.refresh_products(products, now, supp, images, ids).collect()}
+    old = {r.product_id: r for r in full.collect()}
+    assert {r.product_id: r for r in after.collect()} == old | {"p1": new["p1"]} and [r.product_id for r in changed.collect()] == ["p1"]
+
+
+def test_lists_out_of_order(spark, tmp_path):
+    """Lists wait for older ones; each is applied once, by its day. (The query l8 compares the tables that this gives.)"""
+    root, order = str(tmp_path / "store"), []
+    store.create(spark, root, {"seen": spark.createDataFrame([], "run_id string")})
+    (tmp_path / "in").mkdir()
+
+    def describe(files):
+        s, n = F.regexp_extract("path", r"list-([a-z])", 1), F.regexp_extract("path", r"-([0-9]+)[.]csv", 1)
+        at = F.make_timestamp(F.lit(2024), F.lit(1), n.cast("int"), F.lit(0), F.lit(0), F.lit(0))
+        return files.select("path", "content", s.alias("supplier_id"), at.alias("as_of"), F.concat(F.lit("run-"), s, n).alias("run_id"))
+
+    def go(files, turn):
+        rows = files.select("supplier_id", "run_id", "content").collect()
+        assert len({r.supplier_id for r in rows}) == len(rows) and all(bytes(r.content).decode() == r.run_id for r in rows)
+        order.append(sorted(r.run_id for r in rows))
+
+    take = streams.feed_into(root, describe, go, hold="5 days")
+    for s, n in (("a", 3), ("a", 1), ("b", 2), ("a", 2)):
+        (tmp_path / "in" / f"list-{s}-{n}.csv").write_text(f"run-{s}{n}")
+    streams.stream_pricelists(spark, str(tmp_path / "in"), take, str(tmp_path / "marks"), 2).awaitTermination(120)
+    assert order == []  # all within five days of the newest: they wait
+    (tmp_path / "in" / "list-b-7.csv").write_text("run-b7")
+    streams.stream_pricelists(spark, str(tmp_path / "in"), take, str(tmp_path / "marks"), 2).awaitTermination(120)
+    assert order == [["run-a1", "run-b2"], ["run-a2"]]
+    streams.apply_waiting(spark, root, go)
+    assert order[2:] == [["run-a3", "run-b7"]]
+    streams.stream_pricelists(spark, str(tmp_path / "in"), take, str(tmp_path / "lost-marks"), 2).awaitTermination(120)
+    streams.apply_waiting(spark, root, go)
+    assert len(order) == 3  # nothing twice, though all files came again
+
+
 def test_links_duplicates_and_conflicts(spark):
     out = import_list(spark, empty_state(spark), [f"A;{EAN['A']};T;Acme;1;1;rosso;", "A;;again;;2;;;", f"B;{EAN['A']};T2;ACME Srl;1;1;;", f"C;{EAN['A']};T3;Other;1;1;;", "D;123;T4;;1;1;;", "E;;T5;;x;1;;", "E;;T6;;3;1;;", ";;no sku;;1;;;"], "r1", 1)
     o = {r.supplier_sku: r for r in out["offers"].collect()}
@@ -176,10 +300,16 @@ def test_streams(spark, tmp_path):
     rows = [("s", "A", 1, day(1), "10", "EUR", "in_stock", 5), ("s", "A", 2, day(2), "12", "EUR", "in_stock", 4), ("s", "A", 3, day(1), "99", "EUR", "in_stock", 4), ("s", "B", 4, day(1), "1", "EUR", "in_stock", 1), ("s", "B", 5, day(2), "1", "EUR", "out_of_stock", 0)]
     for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(src)
-    q = streams.stream_offer_changes(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("offer_changes").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    got = sorted((r.supplier_sku, r.change_type, r.new_value) for r in spark.table("offer_changes").collect())
-    assert got == [("A", "new_offer", "10"), ("A", "price", "12"), ("A", "stock", "4"), ("B", "availability", "out_of_stock"), ("B", "new_offer", "1")]
+    root = str(tmp_path / "store")
+    streams.new_offer_store(spark, root)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    streams.stream_offer_changes(feed, root, str(tmp_path / "cp")).awaitTermination(120)
+    got = lambda: sorted((r.supplier_sku, r.change_type, r.new_value) for r in store.load(spark, root, "offer_changes").collect())
+    want = [("A", "new_offer", "10"), ("A", "price", "12"), ("A", "stock", "4"), ("B", "availability", "out_of_stock"), ("B", "new_offer", "1")]
+    assert got() == want
+    assert sorted((r.supplier_sku, r.as_of, r.price) for r in store.load(spark, root, "latest_offers").collect()) == [("A", day(2), "12"), ("B", day(2), "1")]
+    streams.stream_offer_changes(feed, root, str(tmp_path / "cp-lost")).awaitTermination(120)  # the marks are lost and all batches come again
+    assert got() == want
     seen = []
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists" / "one.csv").write_text("sku;p\n1;2\n")
