@@ -101,10 +101,10 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> Quantiser:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, v (array of doubles): without null ids, null, empty or zero vectors, or any null or non-finite component; one row an id (repeats: the smallest)."""
+    """vec_id, v (array of doubles): rows without a null id, a null, empty or zero vector, or a null or non-finite component; repeated ids stay."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & ok).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & ok)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -121,16 +121,16 @@ def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Nearest:
-    """The k nearest rows of each query among those met so far: distances by the exact formula, ties to the smaller id."""
+    """The k nearest rows of each query among those met so far: distances by the exact formula, ties to the smaller id. keys: the queries' own rows."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, keys: np.ndarray, q: np.ndarray, k: int):
+        self.keys, self.q, self.k = keys, q, k
         self.columns = np.ascontiguousarray(q.T)
         with np.errstate(over="ignore"):
             self.square = (q * q).sum(1)
-        self.score = np.full((len(ids), k), np.inf)
-        self.name = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.met = np.zeros(len(ids), np.int64)
+        self.score = np.full((len(keys), k), np.inf)
+        self.name = np.full((len(keys), k), np.iinfo(np.int64).max)
+        self.met = np.zeros(len(keys), np.int64)
 
     def reach(self, upper: np.ndarray, other: np.ndarray) -> np.ndarray:
         """No more than this is the k-th distance of each query, if upper (rows, queries) bounds the distances of the next rows; NaN bounds nothing."""
@@ -140,9 +140,9 @@ class Nearest:
             far = np.minimum(far, np.partition(upper, self.k - 1, 0)[self.k - 1])
         return far
 
-    def add(self, names: np.ndarray, v: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
-        """Rows with bounds of their distances (rows, queries) to the queries."""
-        other = names[:, None] != self.ids[None]
+    def add(self, keys: np.ndarray, names: np.ndarray, v: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+        """Rows (keys, ids, vectors) with bounds of their distances (rows, queries) to the queries."""
+        other = keys[:, None] != self.keys[None]
         open_ = ~(lower > self.reach(upper, other)) & other
         rows = np.flatnonzero(open_.any(1))
         if not len(rows):
@@ -178,14 +178,15 @@ class Nearest:
 
     def rows(self) -> pa.RecordBatch:
         there = np.arange(self.k)[None] < self.met[:, None]
-        cols = [np.broadcast_to(self.ids[:, None], there.shape)[there], self.name[there], self.score[there]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+        cols = [np.broadcast_to(self.keys[:, None], there.shape)[there], self.name[there], self.score[there]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "vec_id", "score"])
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """base, queries: vec_id, v as usable() gives them, of one length. query_id, rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller vec_id.
+    """base, queries: row (a number of its own for each row), vec_id and v as usable() gives them, of one length.
 
-    A query isn't its own candidate. Base is read to fit and to index it; its codes and vectors are read once a block of queries. Each task gives its k
+    query_id, rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller vec_id. A query's own row isn't its candidate; another row
+    of its id is. Base is read to fit and to index it; its codes and vectors are read once a block of queries. Each task gives its k
     nearest of each query, so what is exchanged doesn't depend on how many rows lie near one another.
     """
     spark = base.sparkSession
@@ -193,7 +194,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
-    sample = common.sampled(base, "vec_id", TRAIN_VECTORS, n).orderBy("vec_id").select("v").toPandas()["v"]
+    sample = common.sampled(base, "vec_id", TRAIN_VECTORS, n).orderBy("vec_id", "v").select("v").toPandas()["v"]
     x = np.stack(sample.to_numpy()) if len(sample) else np.stack([base.first()["v"]])
     size = x.shape[1]
     quantiser = fit(directions(x)[0])
@@ -210,33 +211,33 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if codes.shape[1] % 2:
                     codes = np.concatenate((codes, np.zeros((len(codes), 1), np.uint8)), 1)
                 packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(norm), pa.array(off)], ["vec_id", "v", "code", "norm", "off"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(norm), pa.array(off)], ["row", "vec_id", "v", "code", "norm", "off"])
 
-    codes = common.saved(base.mapInArrow(index, "vec_id long, v array<double>, code binary, norm double, off double"), "codes")
+    codes = common.saved(base.mapInArrow(index, "row long, vec_id long, v array<double>, code binary, norm double, off double"), "codes")
     queries = common.saved(queries, "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
     near = None
     for block in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        got = mine.orderBy("vec_id").toPandas()
+        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)
+        got = mine.orderBy("vec_id", "row").toPandas()
         if not len(got):
             continue
-        sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.stack(got["v"].to_numpy())))
+        sent = spark.sparkContext.broadcast((got["row"].to_numpy(), np.stack(got["v"].to_numpy())))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            keys, q = sent.value
             tables = quantiser.tables(np.concatenate((q, np.zeros((len(q), quantiser.books.shape[0] * DIMS - size))), 1))
-            best = Nearest(ids, q, k)
+            best = Nearest(keys, q, k)
             for b in batches:
                 if not b.num_rows:
                     continue
                 packed = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                names, norm, off, v = *(b.column(c).to_numpy() for c in ("vec_id", "norm", "off")), _matrix(b.column("v"))
+                rows, names, norm, off, v = *(b.column(c).to_numpy() for c in ("row", "vec_id", "norm", "off")), _matrix(b.column("v"))
                 for at in range(0, len(names), 512):
                     part = packed[at : at + 512]
                     picked = [part[:, j // 2] >> 4 * (j % 2) & 15 for j in range(len(tables))]
                     with np.errstate(all="ignore"):
-                        s = np.zeros((len(part), len(ids)))
+                        s = np.zeros((len(part), len(keys)))
                         for table, c in zip(tables, picked):
                             s += table[c]
                         r = norm[at : at + 512, None]
@@ -245,21 +246,29 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         squares[~np.isfinite(squares)] = np.nan
                         far, slack = squares - 2 * r * s, 1e-9 * squares
                         away = off[at : at + 512, None] * (1 + 1e-9)
-                        best.add(names[at : at + 512], v[at : at + 512], np.sqrt(np.maximum(far - slack, 0)) - away, np.sqrt(np.maximum(far + slack, 0)) + away)
+                        best.add(rows[at : at + 512], names[at : at + 512], v[at : at + 512], np.sqrt(np.maximum(far - slack, 0)) - away, np.sqrt(np.maximum(far + slack, 0)) + away)
             yield best.rows()
 
-        found = common.saved(codes.mapInArrow(scan, "query_id long, vec_id long, score double"), "nearest")
+        found = common.saved(codes.mapInArrow(scan, "query long, vec_id long, score double"), "nearest")
         near = found if near is None else near.union(found)
     if near is None:
         return spark.createDataFrame([], out)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id")))
+    of = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return ranked.filter(F.col("rank") <= k).join(of, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """The k nearest of each vector whose id is divisible by `every`, among all others. Vectors not of the most frequent length take no part."""
-    base = common.saved(usable(vectors), "usable")
-    sizes = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if sizes is not None:
-        base = base.filter(F.size("v") == sizes["n"])
-    return search(base, base.filter(F.col("vec_id") % every == 0), k)
+    """The k nearest of each vector whose id is divisible by `every`, among all other rows of its length; see search.
+
+    Rows of a repeated id are vectors of their own: each is a candidate of the others, and each is a query if its id is. Null ids, and null, empty, zero or
+    non-finite vectors, take no part. Other columns don't matter; an empty table has no rows. Each length with a query is fitted and searched by itself.
+    """
+    found = usable(vectors).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("n"))
+    base = common.saved(found, "usable")
+    asks = F.col("vec_id") % every == 0
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in base.filter(asks).select("n").distinct().orderBy("n").collect():
+        mine = base.filter(F.col("n") == r["n"]).drop("n")
+        out = out.union(search(mine, mine.filter(asks), k))
+    return out

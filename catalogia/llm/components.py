@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from catalogia.llm import common
 
 MAX_ROUNDS = 60
+#: A node with more neighbours is a hub: its rows aren't brought together to tell them its smallest neighbour.
+HUB = 10_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,14 +16,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one, then every node's smaller neighbours to the smallest
     (large star, small star): chains shrink by halves, and a hub's rows are summed in the tasks before they are exchanged.
-    Loops and repeated links do no harm. The table of each round is written to the shared folder.
+    Loops and repeated links do no harm. There can't be more hubs than links / HUB; they are broadcast up to common.SMALL_ROWS of them. The table of each round is written to the shared folder.
     """
     edges = common.saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     for k in range(MAX_ROUNDS):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), f"least-{k}")
+        hubs, upward = least.filter(F.col("n") > HUB).select("u", "m"), both.filter("v > u")
+        met = upward.join(least.select("u", "m"), "u")
+        if n_hubs := hubs.count():
+            hubs = common.small_or_not(hubs, n_hubs)
+            met = upward.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").unionByName(upward.join(hubs, "u"))
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))

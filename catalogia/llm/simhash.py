@@ -168,16 +168,18 @@ def connected(rows: DataFrame, large: DataFrame, compare, pivots: int, name: str
     links so found leave rows of a list apart from most of it, these rows are compared with the whole list, blocks against blocks; rows that
     links already join need no comparison. So nothing is missed, and a large list of near copies costs in proportion to its length.
     """
-    if large.isEmpty():
+    n_large = large.count()
+    if not n_large:
         return _links(rows.withColumn("side", F.lit(2)), compare, name)
     names = [c for c in rows.columns if c != "list"]
-    hot = rows.join(F.broadcast(large), "list")  # a row of large stands for many of rows
+    hot = rows.join(common.small_or_not(large, n_large), "list")  # a row of large stands for many of rows
     order = Window.partitionBy("list").orderBy(F.xxhash64("rep"), "rep")
     chosen = hot.select("list", "rep", F.row_number().over(order).alias("r")).filter(F.col("r") <= pivots).select(F.col("list").alias("l"), F.col("rep").alias("p"))
-    hot = common.saved(hot.join(F.broadcast(chosen), (F.col("list") == F.col("l")) & (F.col("rep") == F.col("p")), "left").withColumn("pivot", F.col("p").isNotNull()).drop("l", "p"), f"{name}-large")
+    chosen = common.saved(chosen, f"{name}-pivots")
+    hot = common.saved(hot.join(common.small_or_not(chosen, n_large * pivots), (F.col("list") == F.col("l")) & (F.col("rep") == F.col("p")), "left").withColumn("pivot", F.col("p").isNotNull()).drop("l", "p"), f"{name}-large")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     at = F.explode(F.when(F.col("pivot"), every).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))))
-    first = rows.join(F.broadcast(large.select("list")), "list", "left_anti").unionByName(hot.withColumn("at", at).select(F.xxhash64("list", "at").alias("list"), *names))
+    first = rows.join(common.small_or_not(large.select("list"), n_large), "list", "left_anti").unionByName(hot.withColumn("at", at).select(F.xxhash64("list", "at").alias("list"), *names))
     links = _links(first.withColumn("side", F.lit(2)), compare, name)
     roots = components(links).withColumnRenamed("node", "x")
     known = hot.select("list", "rep").join(roots, F.col("rep") == F.col("x"), "left").select("list", "rep", F.coalesce("root", "rep").alias("root"))

@@ -301,6 +301,22 @@ def test_nearest_with_uneven_norms_and_huge_components(spark):
             assert [found[k][0] for k in range(1, 11)] == order and [found[k][1] for k in range(1, 11)] == d[order].tolist()
 
 
+def test_nearest_with_repeated_ids_and_several_lengths(spark):
+    """Rows of one id are vectors of their own, as queries and as candidates; vectors meet those of their length."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=7).tolist()) for i in range(40)]
+    rows += [(7, (np.array(rows[0][1]) + 0.001).tolist()), (0, (np.array(rows[3][1]) + 0.001).tolist()), (0, rows[5][1]), (5, rows[5][1]), (300, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for k, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            d = [(math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y))), i) for j, (i, y) in enumerate(rows) if j != k and len(y) == len(x)]
+            want += [(q, r, i, s) for r, (s, i) in enumerate(sorted(d)[:10], 1)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect()]
+    assert len(got) == 40 and [g[:3] for g in sorted(got, key=lambda g: (g[0], g[1], g[3]))] == [w[:3] for w in sorted(want, key=lambda w: (w[0], w[1], w[3]))]
+    assert np.allclose(sorted(g[3] for g in got), sorted(w[3] for w in want))
+
+
 def test_anisotropic_loss_favours_the_parallel_part():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 16))
