@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from catalogia.functions.text import fold_text, trigrams
+from catalogia.functions.text import fold_text, trigram_similarity, trigrams
 from catalogia.operators.identity import brands_conflict
 
 CANDIDATE, SUGGESTED, MOST = 0.3, 0.6, 5
@@ -14,32 +14,47 @@ def suggestion_sources(products: DataFrame, touched: DataFrame) -> DataFrame:
     return products.filter((F.col("status") == "active") & ~F.col("has_gtin") & (F.length("title") >= 4)).join(touched.select("product_id"), "product_id", "left_semi")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float = CANDIDATE) -> DataFrame:
-    """left, right: title (distinct, folded). Pairs a, b with their trigram similarity, at `least` or above, and the sizes' bound used before the join.
+def _gram_sets(texts: DataFrame, name: str) -> DataFrame:
+    """id, text, grams and their number of each different text. An id may belong to several texts: pairs are told by the texts themselves."""
+    t = texts.select(F.col(name).alias("text")).distinct()
+    return t.select(F.xxhash64("text").alias("id"), "text", trigrams(F.col("text")).alias("grams")).withColumn("n", F.size("grams")).filter("n > 0")
 
-    An inverted index over the rarest trigrams: a pair that is similar enough shares one of the first
-    |a| - ceil(least * |a|) + 1 grams of each in a common order (rarest first), so frequent grams never meet. Nothing is capped; each candidate is checked exactly.
+
+def similar_texts(left: DataFrame, right: DataFrame, least: float = CANDIDATE) -> DataFrame:
+    """left: a; right: b (folded texts). Pairs a, b whose trigram sets' similarity (shared over all) is `least` or above, with it.
+
+    Sizes first: a text with more than 1 / least times the grams of the largest left one can't be similar to any. Then an inverted index: of sets so similar,
+    the first n - ceil(least * n) + 1 grams of both, the rarest first, share one. Only ids and sizes go through it, a hot gram is split by Spark's skew
+    join, and each candidate pair is compared once, by its whole sets. Nothing is capped.
     """
-    both = left.select("title").union(right.select("title")).distinct()
-    grams = both.withColumn("g", trigrams(F.col("title"))).filter(F.size("g") > 0)
-    freq = grams.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = grams.select("title", F.size("g").alias("n"), F.explode("g").alias("gram")).join(freq, "gram").groupBy("title", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    prefix = ordered.select("title", "n", F.transform("o", lambda x: x["gram"]).alias("g"), F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("x"))
-    side = lambda df, t, g, n: prefix.join(df.select("title").distinct(), "title", "left_semi").select(F.col("title").alias(t), F.col("g").alias(g), F.col("n").alias(n), F.col("x.gram").alias("gram"))
-    pairs = side(left, "a", "ga", "na").join(side(right, "b", "gb", "nb"), "gram").filter((F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return pairs.withColumn("similarity", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("similarity") >= least).select("a", "b", "similarity").distinct()
+    x, y = _gram_sets(left, "a"), _gram_sets(right, "b")
+    most = x.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))  # one row
+    y = y.crossJoin(F.broadcast(most)).filter(F.col("n") * least <= F.col("most")).drop("most")
+    freq = y.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def first_grams(t: DataFrame, id_: str, n: str) -> DataFrame:
+        rows = t.select("id", "n", F.explode("grams").alias("gram")).join(freq, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "gram"))
+        few = rows.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+        return few.select(F.col("id").alias(id_), F.col("n").alias(n), "gram")
+
+    met = first_grams(x, "i", "nx").join(first_grams(y, "j", "ny"), "gram").filter((F.col("nx") >= F.col("ny") * least - 1e-9) & (F.col("ny") >= F.col("nx") * least - 1e-9))
+    pairs = met.select("i", "j").distinct()
+    pairs = pairs.join(x.select(F.col("id").alias("i"), F.col("text").alias("a"), F.col("grams").alias("gx")), "i").join(y.select(F.col("id").alias("j"), F.col("text").alias("b"), F.col("grams").alias("gy")), "j")
+    shared = F.size(F.array_intersect("gx", "gy"))
+    return pairs.select("a", "b", (shared / (F.size("gx") + F.size("gy") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def title_candidates(sources: DataFrame, products: DataFrame, least: float = CANDIDATE, most: int = MOST, decided: DataFrame | None = None) -> DataFrame:
-    """product_id, candidate_id, similarity: the `most` other active products with the most similar titles, ties by id, without pairs of decided (a < b).
+    """product_id, candidate_id, similarity: of the other active products whose search text is similar to the title (`least` or above), the `most` with
+    the most similar titles, ties by id, without pairs of decided (a < b). Products without a title neither ask nor are found.
 
-    Titles are compared once each, however many products carry them; of the products of a title, the `most` smallest ids can matter, one more for the
-    product itself, and one for each pair that was decided for it.
+    A title is compared once, however many products ask with it; of what it finds, `most`, one more for the product itself, and one for each pair that
+    was decided for it can matter.
     """
-    folded = lambda df: df.withColumn("title_key", fold_text(F.col("title"))).filter("title_key <> ''")
-    s = folded(sources).select("product_id", F.col("title_key").alias("a"))
-    p = folded(products.filter("status = 'active'")).select(F.col("product_id").alias("candidate_id"), F.col("title_key").alias("b"))
+    titled = lambda df: df.withColumn("key", fold_text(F.col("title"))).filter("key <> ''")
+    s = titled(sources).select("product_id", F.col("key").alias("a"))
+    p = titled(products.filter("status = 'active'")).select(F.col("product_id").alias("candidate_id"), F.col("key").alias("title_key"), fold_text(F.col("search_text")).alias("b"))
     if decided is None:
         s, few_of = s.withColumn("spare", F.lit(0)), lambda df, r: df.filter(F.col(r) <= most + 1)
     else:
@@ -47,9 +62,10 @@ def title_candidates(sources: DataFrame, products: DataFrame, least: float = CAN
         s = s.join(sides, "product_id", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
         top = s.agg(F.coalesce(F.max("spare"), F.lit(0)).alias("top_spare"))  # one row
         few_of = lambda df, r: df.crossJoin(F.broadcast(top)).filter(F.col(r) <= most + 1 + F.col("top_spare")).drop("top_spare")
-    few = few_of(p.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("candidate_id"))), "r").drop("r")
-    pairs = similar_titles(s.select(F.col("a").alias("title")).distinct(), few.select(F.col("b").alias("title")).distinct(), least)
-    by_title = few_of(pairs.join(few, "b").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "candidate_id"))), "r")
+    near = similar_texts(s.select("a"), p.select("b"), least).select("a", "b").join(p, "b")
+    titles = near.select("a", "title_key").distinct().withColumn("similarity", trigram_similarity(F.col("a"), F.col("title_key")))
+    near = near.join(titles, ["a", "title_key"])
+    by_title = few_of(near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "candidate_id"))), "r")
     found = s.join(by_title.select("a", "candidate_id", "similarity", "r"), "a").filter((F.col("product_id") != F.col("candidate_id")) & (F.col("r") <= most + 1 + F.col("spare")))
     found = found.select("product_id", "candidate_id", "similarity")
     if decided is not None:

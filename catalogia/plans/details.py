@@ -100,22 +100,23 @@ def c10_issues_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT 'g:' || {S.gtin('p_partkey')} AS product_id, p_partkey AS k, p_name AS t, {S.GRAMS.format(t='p_name')} AS g, 'brand' || regexp_extract(p_brand, '([0-9]+)$', 1) AS brand, p_partkey % 100 AS asset FROM part),
-u AS (SELECT DISTINCT t, g FROM p),
-s AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM u a, u b),
-d AS (SELECT p.product_id, f.product_id AS other FROM p JOIN (SELECT t, min(product_id) AS product_id FROM p GROUP BY t) f USING (t) WHERE p.k % 100 = 1 AND p.product_id <> f.product_id),
+    f"""WITH {S.off()}, {S.SEARCH}, n AS (SELECT s.product_id, o.k, CASE WHEN o.k % 50 = 0 THEN 'Special ' || o.title ELSE o.title END AS title, o.brand AS b, s.search_text FROM search s JOIN (SELECT DISTINCT product_id, l_partkey AS k, title, brand FROM off) o USING (product_id)),
+p AS (SELECT product_id, k, title, 'brand' || regexp_extract(b, '([0-9]+)$', 1) AS brand, k % 100 AS asset, {S.FOLD.format(t='title')} AS t, {S.FOLD.format(t='search_text')} AS x FROM n),
+g AS (SELECT *, {S.GRAMS.format(t='t')} AS gt, {S.GRAMS.format(t='x')} AS gx FROM p), u AS (SELECT DISTINCT t, gt FROM g),
+s AS (SELECT u.t, g.product_id AS candidate_id, len(list_intersect(u.gt, g.gt))::DOUBLE / (len(u.gt) + len(g.gt) - len(list_intersect(u.gt, g.gt))) AS similarity FROM u JOIN g ON len(list_intersect(u.gt, g.gx))::DOUBLE / (len(u.gt) + len(g.gx) - len(list_intersect(u.gt, g.gx))) >= 0.3 WHERE g.k % 7 <> 0),
+d AS (SELECT p.product_id, f.product_id AS other FROM p JOIN (SELECT title, min(product_id) AS product_id FROM p GROUP BY title) f USING (title) WHERE p.k % 100 = 1 AND p.product_id <> f.product_id),
 c AS (SELECT n.product_id, f.product_id AS candidate_id, similarity, n.brand AS b1, f.brand AS b2, n.asset = f.asset AS same,
   row_number() OVER (PARTITION BY n.product_id ORDER BY similarity DESC, f.product_id) AS r
-  FROM p n JOIN s ON s.a = n.t JOIN p f ON f.t = s.b
-  WHERE n.k % 7 <> 0 AND n.k % 2 <> 0 AND f.k % 7 <> 0 AND length(n.t) >= 4 AND similarity >= 0.3 AND f.product_id <> n.product_id
+  FROM p n JOIN s ON s.t = n.t JOIN p f ON f.product_id = s.candidate_id
+  WHERE n.k % 7 <> 0 AND n.k % 2 <> 0 AND length(n.title) >= 4 AND f.product_id <> n.product_id
   AND NOT EXISTS (SELECT 1 FROM d WHERE (d.product_id = n.product_id AND d.other = f.product_id) OR (d.other = n.product_id AND d.product_id = f.product_id)))
 SELECT product_id, candidate_id, similarity AS score, 'title_similarity,same_brand' || CASE WHEN same THEN ',same_image' ELSE '' END AS reasons
 FROM c WHERE r <= 5 AND similarity >= 0.6 AND (contains(b1, b2) OR contains(b2, b1))"""
 )
 def h1_h3_suggest_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Suggestions for active products without a GTIN (odd parts). Every hundredth part and the first of its title were decided to be different."""
-    k = F.col("p_partkey")
-    p = A.read(spark, d, "part").select(F.concat(F.lit("g:"), A.gtin_of(k)).alias("product_id"), k.alias("k"), F.when(k % 7 == 0, "archived").otherwise("active").alias("status"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), (k % 2 == 0).alias("has_gtin"))
+    """Suggestions for active products without a GTIN (odd parts) of the stored catalogue. Every hundredth part and the first of its title were decided to be different."""
+    k = F.substring("product_id", 5, 11).cast("long")
+    p = A.catalogue(spark, d)[0].filter("status = 'active'").select("product_id", k.alias("k"), F.when(k % 7 == 0, "archived").otherwise("active").alias("status"), "title", "brand", "search_text", (k % 2 == 0).alias("has_gtin"))
     first = p.groupBy("title").agg(F.min("product_id").alias("first"))
     decided = p.filter("k % 100 = 1").join(first, "title").filter("product_id <> first").select(F.least("product_id", "first").alias("a"), F.greatest("product_id", "first").alias("b"))
     links = p.select("product_id", F.concat(F.lit("a"), (F.col("k") % 100).cast("string")).alias("asset_id"))

@@ -180,8 +180,8 @@ def b20_b21_fold_text(spark: SparkSession, d: str) -> DataFrame:
     f"WITH n AS (SELECT DISTINCT p_name AS t, {S.GRAMS.format(t='p_name')} AS g FROM part) SELECT a.t AS a, b.t AS b, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM n a, n b WHERE a.t < b.t AND len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.3"
 )
 def b22_similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    t = A.read(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
-    return suggest.similar_titles(t, t).filter("a < b")
+    t = A.read(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
+    return suggest.similar_texts(t, t.withColumnRenamed("a", "b")).filter("a < b")
 
 
 @query(
@@ -428,14 +428,15 @@ def j6_purge_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH n AS (SELECT 'g:' || {S.gtin('p_partkey')} AS product_id, p_name AS t, {S.GRAMS.format(t='p_name')} AS g FROM part), u AS (SELECT DISTINCT t, g FROM n),
-s AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM u a, u b),
-few AS (SELECT product_id, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY product_id) AS r FROM n) WHERE r <= 6),
-c AS (SELECT n.product_id, f.product_id AS candidate_id, similarity, row_number() OVER (PARTITION BY n.product_id ORDER BY similarity DESC, f.product_id) AS r FROM n JOIN s ON s.a = n.t JOIN few f ON f.t = s.b WHERE similarity >= 0.3 AND f.product_id <> n.product_id)
+    f"""WITH {S.off()}, {S.SEARCH}, n AS (SELECT s.product_id, {S.FOLD.format(t="CASE WHEN o.l_partkey % 50 = 0 THEN 'Special ' || o.title ELSE o.title END")} AS t, {S.FOLD.format(t='s.search_text')} AS x FROM search s JOIN (SELECT DISTINCT product_id, l_partkey, title FROM off) o USING (product_id)),
+g AS (SELECT product_id, t, {S.GRAMS.format(t='t')} AS gt, {S.GRAMS.format(t='x')} AS gx FROM n), u AS (SELECT DISTINCT t, gt FROM g),
+s AS (SELECT u.t, g.product_id AS candidate_id, len(list_intersect(u.gt, g.gt))::DOUBLE / (len(u.gt) + len(g.gt) - len(list_intersect(u.gt, g.gt))) AS similarity FROM u JOIN g ON len(list_intersect(u.gt, g.gx))::DOUBLE / (len(u.gt) + len(g.gx) - len(list_intersect(u.gt, g.gx))) >= 0.3),
+c AS (SELECT n.product_id, s.candidate_id, similarity, row_number() OVER (PARTITION BY n.product_id ORDER BY similarity DESC, s.candidate_id) AS r FROM n JOIN s USING (t) WHERE s.candidate_id <> n.product_id)
 SELECT product_id, candidate_id, similarity FROM c WHERE r <= 5"""
 )
 def h2_title_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = A.read(spark, d, "part").select(F.concat(F.lit("g:"), A.gtin_of(F.col("p_partkey"))).alias("product_id"), F.col("p_name").alias("title"), F.lit("active").alias("status"))
+    """For each product of the stored catalogue, others whose search text is similar to its title."""
+    p = A.catalogue(spark, d)[0].filter("status = 'active'")
     return suggest.title_candidates(p, p)
 
 

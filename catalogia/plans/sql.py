@@ -44,3 +44,11 @@ GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split({t}, ' ')
 FOLD = "trim(regexp_replace(replace(lower(strip_accents({t})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 CHG = """chg AS (SELECT event_id, (event_id % 20)::VARCHAR AS run_id, (user_id % 10)::VARCHAR AS supplier_id, (user_id % 10) || '|P' || (event_id % 50) AS offer_id, 'p' || (event_id % 50) AS product_id,
   CASE event_type WHEN 'click' THEN 'price' WHEN 'view' THEN 'stock' WHEN 'error' THEN 'removed' ELSE 'availability' END AS change_type, CASE WHEN event_type = 'click' THEN round(value * 100)::BIGINT END AS pct100, ts AS created_at FROM events)"""
+_ORDER = "priority, NOT active, source_as_of DESC, source_as_of, offer_id"
+#: search (product_id, search_text): the distinct pieces of a product's search text in order; after off.
+SEARCH = f"""pieces AS (
+  SELECT product_id, 0 AS part, 0::BIGINT AS r, 0 AS i, CASE WHEN l_partkey % 50 = 0 THEN 'Special ' || title ELSE title END AS piece FROM off UNION ALL SELECT product_id, 0, 0, 1, brand FROM off UNION ALL
+  SELECT product_id, 1, rn, i, [title, brand, sku, substr(gtin, 2), category_raw][i] FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {_ORDER}) AS rn FROM off), range(1, 6) t(i) UNION ALL
+  SELECT product_id, 2, 0, 0, gtin FROM off UNION ALL SELECT product_id, 2, 0, 0, substr(gtin, 2) FROM off),
+first_pieces AS (SELECT product_id, piece, min((part, r, i)) AS pos FROM pieces GROUP BY ALL),
+search AS (SELECT product_id, string_agg(piece, ' ' ORDER BY pos, piece) AS search_text FROM first_pieces GROUP BY product_id)"""

@@ -255,7 +255,7 @@ def test_merge_and_split(spark, shop):
 
 
 def test_suggestions(spark):
-    p = spark.createDataFrame([("a", "active", "Gel intimo rosa", "Acme", False), ("b", "active", "Gel intimo rosa 2", "ACME", False), ("c", "active", "Gel intimo rosa", "Other", False), ("d", "active", "Crema", None, False)], "product_id string, status string, title string, brand string, has_gtin boolean")
+    p = spark.createDataFrame([("a", "active", "Gel intimo rosa", "Acme", False), ("b", "active", "Gel intimo rosa 2", "ACME", False), ("c", "active", "Gel intimo rosa", "Other", False), ("d", "active", "Crema", None, False)], "product_id string, status string, title string, brand string, has_gtin boolean").withColumn("search_text", F.col("title"))
     none = spark.createDataFrame([], "a string, b string")
     links = spark.createDataFrame([("a", "x"), ("d", "x")], "product_id string, asset_id string")
     src = suggest.suggestion_sources(p, p)
@@ -266,8 +266,22 @@ def test_suggestions(spark):
     assert not suggest.suggest_duplicates(src, p, spark.createDataFrame([("a", "b")], "a string, b string"), links.limit(0)).filter("product_id = 'a'").collect()
 
 
+def test_long_search_texts_are_no_candidates(spark):
+    """The title is compared with the other's search text first; what is long or unlike isn't suggested, however alike the titles are."""
+    long = " ".join(f"word{i} code{i}" for i in range(60))
+    p = spark.createDataFrame([("a", "Gel rosa", "Gel rosa"), ("b", "Gel rosa", f"Gel rosa {long}"), ("c", "Other", "Gel rosa x"), ("d", "Gel rosa", "Gel rosa 1234"), ("e", None, "Gel rosa")], "product_id string, title string, search_text string").withColumn("status", F.lit("active"))
+    got = {(r.product_id, r.candidate_id): r.similarity for r in suggest.title_candidates(p, p).collect()}
+    assert set(got) == {("a", "c"), ("a", "d"), ("b", "a"), ("b", "c"), ("b", "d"), ("d", "a"), ("d", "c")} and got["b", "a"] == 1 and got["a", "c"] == 0
+    texts = ["a", "gel", "gel rosa", "gel rosa blu", "gel verde rosa", "crema viso", "crema viso 50ml", "olio", "olio olio", "", "ab abc abcd"]
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    for least in (0.3, 0.5, 1.0):
+        want = {(x, y) for x in texts for y in texts if grams(x) and grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least}
+        side = lambda name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+        assert {(r.a, r.b) for r in suggest.similar_texts(side("a"), side("b"), least).collect()} == want
+
+
 def test_decided_pairs_make_room_for_others(spark):
-    p = spark.createDataFrame([(f"p{i:02}", "active", "Gel intimo rosa", None, False) for i in range(12)], "product_id string, status string, title string, brand string, has_gtin boolean")
+    p = spark.createDataFrame([(f"p{i:02}", "active", "Gel intimo rosa", None, False) for i in range(12)], "product_id string, status string, title string, brand string, has_gtin boolean").withColumn("search_text", F.col("title"))
     decided = spark.createDataFrame([("p00", f"p{i:02}") for i in range(1, 7)], "a string, b string")
     got = suggest.title_candidates(p, p, decided=decided).groupBy("product_id").agg(F.sort_array(F.collect_list("candidate_id")).alias("c"))
     got = {r.product_id: r.c for r in got.collect()}
