@@ -8,7 +8,8 @@ from catalogia.functions import cells
 from catalogia.operators import apply, normalize
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query, scaled
-from catalogia.sources import pricelists, tables
+from catalogia.sources import pricelists, splits, tables
+from catalogia.sources.scratch import folder
 
 T = "1999-01-01"
 _BEFORE, _SINCE = S.off(f"l_shipdate < TIMESTAMP '{T}'", "a"), S.off(f"l_shipdate >= TIMESTAMP '{T}'", "b")
@@ -23,6 +24,26 @@ def a5_duplicate_files(spark: SparkSession, d: str) -> DataFrame:
     return pricelists.duplicate_files(files, runs).select("path", "supplier_id", "run_id")
 
 
+@query(
+    f"""WITH {S.off()} SELECT supplier_id, row_number() OVER (PARTITION BY supplier_id ORDER BY sku COLLATE C) + 1 AS row_number, sku, substr(gtin, 2) AS ean,
+  title || CASE WHEN l_partkey % 7 = 0 THEN '; 12" wide' || chr(10) || '"second" line' ELSE '' END AS title, (price6 // 10000)::BIGINT AS cents FROM off"""
+)
+def a1_a2_lists_by_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole lists of the suppliers as files, read by splits, dialects included; every seventh title is quoted and goes over two lines."""
+    o = A.offers(spark, d)
+    odd = F.substring("supplier_sku", 2, 20).cast("long") % 7 == 0
+    title = F.when(odd, F.concat(F.lit('"'), "title", F.lit('; 12"" wide\n""second"" line"'))).otherwise(F.col("title"))
+    line = F.concat_ws(";", "supplier_sku", "barcode_raw", title, F.translate(F.col("price").cast("decimal(14,2)").cast("string"), ".", ","))
+    heads = A.suppliers(spark, d).select(F.col("supplier_id").alias("supplier"), F.lit("").alias("key"), F.lit("Codice;EAN;Titolo;Prezzo").alias("value"))
+    rows = heads.unionByName(o.select(F.col("supplier_id").alias("supplier"), F.col("supplier_sku").alias("key"), line.alias("value")))
+    lists = folder(spark, "lists")
+    rows.repartition("supplier").sortWithinPartitions("supplier", "key").select("supplier", "value").write.partitionBy("supplier").text(lists)
+    v = lambda n: F.try_element_at("values", F.lit(n))
+    cents = F.translate(v("Prezzo"), ",", "").cast("long")
+    found = splits.read_lists(spark, lists)
+    return found.select(F.regexp_extract("path", "supplier=([0-9]+)", 1).alias("supplier_id"), F.col("row_number").cast("long").alias("row_number"), v("Codice").alias("sku"), v("EAN").alias("ean"), v("Titolo").alias("title"), cents.alias("cents"))
+
+
 @query(f"WITH {_BEFORE}, {_SINCE}, u AS (SELECT * FROM b UNION ALL SELECT * FROM a WHERE offer_id NOT IN (SELECT offer_id FROM b)) SELECT offer_id, (price6 // 100)::BIGINT AS price4, stock_status, source_as_of FROM u")
 def a7_upsert(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda df: df.select("offer_id", scaled("price", 4).alias("price4"), "stock_status", F.col("source_as_of").cast("timestamp_ntz").alias("source_as_of"))
