@@ -22,12 +22,13 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     for k in range(MAX_ROUNDS):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), f"least-{k}")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         hubs, upward = least.filter(F.col("n") > HUB).select("u", "m"), both.filter("v > u")
-        met = upward.join(least.select("u", "m"), "u")
+        least = least.select("u", "m")
+        met = upward.join(least, "u")
         if n_hubs := hubs.count():
-            hubs = common.small_or_not(hubs, n_hubs)
-            met = upward.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").unionByName(upward.join(hubs, "u"))
+            hubs = common.small_or_not(common.saved(hubs, f"hubs-{k}"), n_hubs)
+            met = upward.join(hubs.select("u"), "u", "left_anti").join(least, "u").unionByName(upward.join(hubs, "u"))
         large = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalogia.llm import components, simhash
@@ -96,6 +97,26 @@ def test_lists_cut_into_blocks_lose_no_link(spark, hot):
     assert {i: roots.get(i, i) for i in prints} == brute_classes(prints, 4)
 
 
+def test_hubs_and_limits_of_broadcasts_change_nothing(spark, monkeypatch):
+    """With every node of more than two links a hub, and nothing small enough to be broadcast, components and links are the same."""
+    rng = np.random.default_rng(9)
+    edges = [(0, i) for i in range(1, 40)] + [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(119, 0)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {r.node: r.root for r in components.components(df).collect()}
+    texts = [f"common words of all {' '.join(rng.choice(['p', 'q', 'r', 's'], 6))}" for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    monkeypatch.setattr(components, "HUB", 2)
+    monkeypatch.setattr(components.common, "SMALL_ROWS", 0)
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    monkeypatch.setattr(simhash, "HOT", 4)
+    prints = simhash.common.saved(simhash.fingerprints(docs, 4).groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints")
+    roots = {r.node: r.root for r in components.components(simhash.link(prints, 8, 4, simhash.cover_of_eight(), 4, hot=4)).collect()}
+    reps = {bytes(r.fingerprint): r.rep for r in prints.collect()}
+    mine = {r.doc_id: reps[bytes(r.fingerprint)] for r in simhash.fingerprints(docs, 4).collect()}
+    assert {i: roots.get(rep, rep) for i, rep in mine.items()} == linked
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)] + [(7, 7), (101, 100)]
