@@ -44,7 +44,15 @@ def test_adpcm_across_blocks_equals_one_at_a_time():
 
 def test_resample():
     assert telephony.resample(np.array([0, 10, 20], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 20]
-    assert telephony.resample(np.array([0, 10, 20, 30], np.int16), 16000, 8000).tolist() == [0, 20]
+    assert telephony.resample(np.full(50, 1234, np.int16), 16000, 8000).tolist() == [1234] * 25
+    assert telephony.low_pass(8000, 4000).sum() == 1 << 15
+    level = lambda x: float(np.sqrt((x[100:-100].astype(float) ** 2).mean()))
+    for hertz, least, most in ((300, 6900, 7200), (1500, 6800, 7200), (2600, 0, 80), (3700, 0, 80)):  # above 2 kHz nothing may come back as a lower tone
+        tone = np.round(10_000 * np.sin(2 * np.pi * hertz * np.arange(4000) / 8000)).astype(np.int16)
+        assert least <= level(telephony.resample(tone, 8000, 4000)) <= most
+    loud = np.tile(np.array([32767, 32767, -32768, -32768], np.int16), 200)
+    assert len(telephony.resample(loud, 8000, 4000)) == 400
+    assert telephony.resample(np.array([5], np.int16), 8000, 4000).tolist() == [] and telephony.resample(np.array([5, 5], np.int16), 8000, 4000).tolist() == [5]
     assert telephony.resample(np.empty(0, np.int16), 8000, 16000).tolist() == []
 
 
