@@ -56,7 +56,8 @@ def count_by(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def latest_failures(df: DataFrame, at: str, key: str, most: int = 50) -> DataFrame:
-    return df.filter("status = 'failed'").orderBy(F.desc(at), key).limit(most)
+    """The last downloads or embeddings that failed or were blocked; those never tried come last, ties by key."""
+    return df.filter("status in ('failed', 'blocked')").orderBy(F.desc_nulls_last(at), key).limit(most)
 
 
 def orphan_objects(objects: DataFrame, assets: DataFrame, as_of, most: int = 20, share: float = 0.2) -> DataFrame:

@@ -115,7 +115,6 @@ def evaluate_retrieval(ranked: DataFrame, queries: DataFrame, possible: float, s
     q = queries.join(top, "query_id", "left").join(at, "query_id", "left")
     there, absent = F.col("expected").isNotNull(), F.col("expected").isNull()
     share = lambda c: F.avg(F.when(there, F.coalesce(c, F.lit(False)).cast("double")))
-    pick = lambda s, p: F.try_element_at(s, F.least(F.floor(F.size(s) * p).cast("int") + 1, F.size(s)))
     a = q.agg(
         F.count_if(there).alias("positives"),
         F.count_if(absent).alias("negatives"),
@@ -127,9 +126,31 @@ def evaluate_retrieval(ranked: DataFrame, queries: DataFrame, possible: float, s
         F.count_if(F.coalesce(F.col("best"), F.lit(-1.0)) < similar).alias("abstained"),
         F.min(F.when(there & (F.col("strict_at") == 1), F.col("best"))).alias("lowest_correct"),
         F.max(F.when(absent, F.col("best"))).alias("highest_negative"),
-        F.array_sort(F.collect_list("best")).alias("s"),
+        F.min("best").alias("score_min"),
     )
-    return a.select("*", pick(F.col("s"), 0.5).alias("score_p50"), pick(F.col("s"), 0.95).alias("score_p95"), F.when(F.col("lowest_correct") > F.coalesce("highest_negative", F.lit(-1.0)), F.col("lowest_correct")).alias("suggested_threshold")).drop("s")
+    quantiles = order_statistics(q, "best", {"score_p50": 0.5, "score_p95": 0.95})
+    threshold = F.when(F.col("lowest_correct") > F.coalesce("highest_negative", F.lit(-1.0)), F.col("lowest_correct"))
+    return a.crossJoin(F.broadcast(quantiles)).withColumn("suggested_threshold", threshold)  # one row each
+
+
+def order_statistics(df: DataFrame, value: str, shares: dict[str, float], width: float = 1e-3) -> DataFrame:
+    """One row: for each name the value at place floor(share * n) of the n non-null values in order (places from 0, the last one at most); null if there is none.
+
+    Values are counted by ranges of `width` first; only the ranges that hold a place are looked into. No list of all values is made.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("v") / width))
+    ranges = counts.groupBy("range").agg(F.sum("c").alias("m"))
+    upto = ranges.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"), "m")  # scores lie within a few units: a few thousand ranges
+    n = ranges.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    place = lambda s: F.least(F.floor(F.col("n") * s), F.col("n") - 1)
+    holds = lambda s, start, size: (F.col(start) <= place(s)) & (place(s) < F.col(start) + F.col(size))
+    wanted = F.lit(False)
+    for s in shares.values():
+        wanted = wanted | holds(s, "before", "m")
+    few = upto.crossJoin(F.broadcast(n)).filter(wanted)
+    inner = counts.join(F.broadcast(few), "range")
+    inner = inner.withColumn("at", F.col("before") + F.sum("c").over(Window.partitionBy("range").orderBy("v")) - F.col("c"))
+    return inner.agg(*(F.max(F.when(holds(s, "at", "c"), F.col("v"))).alias(name) for name, s in shares.items()))
 
 
 def missing_embeddings(assets: DataFrame, embeddings: DataFrame, model_key: str) -> DataFrame:

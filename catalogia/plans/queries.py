@@ -479,7 +479,8 @@ def k4_k6_classified_products(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, v) AS r FROM ({_COS})) WHERE r <= 200), p AS (SELECT q, v % 200 AS p, max(s) AS s FROM h GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p::VARCHAR) AS r FROM p),
 t AS (SELECT q, max(s) AS best, min(r) FILTER (p = (q + 1) % 200) AS pos FROM k GROUP BY q)
-SELECT count(*) FILTER (q // 100 % 5 <> 0) AS positives, count(*) FILTER (q // 100 % 5 = 0) AS negatives, avg((coalesce(pos <= 1, FALSE))::INT) FILTER (q // 100 % 5 <> 0) AS recall_at_1, avg((coalesce(pos <= 5, FALSE))::INT) FILTER (q // 100 % 5 <> 0) AS recall_at_5, count(*) FILTER (q // 100 % 5 = 0 AND best >= 0.9) AS false_matches, count(*) FILTER (best < 0.2) AS abstained FROM t"""
+SELECT count(*) FILTER (q // 100 % 5 <> 0) AS positives, count(*) FILTER (q // 100 % 5 = 0) AS negatives, avg((coalesce(pos <= 1, FALSE))::INT) FILTER (q // 100 % 5 <> 0) AS recall_at_1, avg((coalesce(pos <= 5, FALSE))::INT) FILTER (q // 100 % 5 <> 0) AS recall_at_5, count(*) FILTER (q // 100 % 5 = 0 AND best >= 0.9) AS false_matches, count(*) FILTER (best < 0.2) AS abstained,
+ round(list_sort(list(best))[floor(0.5 * count(*))::INT + 1], 9) AS score_p50, round(list_sort(list(best))[least(floor(0.95 * count(*))::INT + 1, count(*))], 9) AS score_p95, round(min(best), 9) AS score_min FROM t"""
 )
 def k8_evaluate_retrieval(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
@@ -489,7 +490,8 @@ def k8_evaluate_retrieval(spark: SparkSession, d: str) -> DataFrame:
     ranked = a.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "product_id")))
     k = F.col("query_id").cast("long")
     want = q.select("query_id", F.when(F.floor(k / 100) % 5 != 0, ((k + 1) % 200).cast("string")).alias("expected"), F.array().cast("array<string>").alias("accepted"))
-    return vectors.evaluate_retrieval(ranked, want, 0.9, 0.2).select("positives", "negatives", "recall_at_1", "recall_at_5", "false_matches", "abstained")
+    m = vectors.evaluate_retrieval(ranked, want, 0.9, 0.2)
+    return m.select("positives", "negatives", "recall_at_1", "recall_at_5", "false_matches", "abstained", *(F.round(c, 9).alias(c) for c in ("score_p50", "score_p95", "score_min")))
 
 
 @query(
@@ -542,6 +544,26 @@ def l4_counts(spark: SparkSession, d: str) -> DataFrame:
     return ops.count_by(A.read(spark, d, "events").select(F.col("event_type").alias("verdict"), (F.col("user_id") % 3).alias("kind")), "verdict", "kind")
 
 
+_TRIES = "SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'blocked' ELSE 'pending' END ELSE 'fetched' END AS status, CASE WHEN event_id % 7 <> 0 THEN ts END AS tried_at, user_id % 20 AS run_id FROM events"
+
+
+def _tries(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a try to fetch a picture; every seventh has no time."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    status = F.when(kind == "error", "failed").when(kind == "click", F.when(k % 3 == 0, "blocked").otherwise("pending")).otherwise("fetched")
+    return A.read(spark, d, "events").select("event_id", status.alias("status"), F.when(k % 7 != 0, F.col("ts")).alias("tried_at"), (F.col("user_id") % 20).alias("run_id"))
+
+
+@query(f"SELECT run_id, status, count(*) AS n FROM ({_TRIES}) GROUP BY ALL")
+def l4_import_image_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ops.count_by(_tries(spark, d), "run_id", "status")
+
+
+@query(f"SELECT event_id, status FROM ({_TRIES}) WHERE status IN ('failed', 'blocked') ORDER BY tried_at DESC NULLS LAST, event_id LIMIT 50")
+def l4_latest_failures(spark: SparkSession, d: str) -> DataFrame:
+    return ops.latest_failures(_tries(spark, d), "tried_at", "event_id").select("event_id", "status")
+
+
 @query("SELECT event_id FROM events WHERE event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR")
 def l5_orphan_objects(spark: SparkSession, d: str) -> DataFrame:
     e = A.read(spark, d, "events").select(F.col("event_id").alias("key"), F.col("ts").cast("timestamp").alias("stored_at"))
