@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogia.functions.cells import csv_cell
 from catalogia.operators.pricing import price_change_pct
@@ -105,3 +105,32 @@ def changes_as_csv(changes: DataFrame, suppliers: DataFrame, offers: DataFrame)
 
 def purge_changes(changes: DataFrame, as_of, days: int = 365) -> DataFrame:
     return changes.filter(F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))
+
+
+#: The partition of stored changes.
+DAY = "day"
+
+
+def append_changes(changes: DataFrame, path: str) -> None:
+    """Adds changes to the history at path, which is kept by day."""
+    changes.withColumn(DAY, F.to_date("created_at")).repartition(DAY).write.mode("append").partitionBy(DAY).parquet(path)
+
+
+def stored_changes(spark: SparkSession, path: str, as_of=None, hours: int | None = None) -> DataFrame:
+    """The history, or that of so many hours before as_of: only the folders of these days are read."""
+    out = spark.read.parquet(path)
+    if hours is not None:
+        since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))
+        out = out.filter((F.col(DAY) >= F.to_date(since)) & (F.col("created_at") >= since))
+    return out.drop(DAY)
+
+
+def purge_stored_changes(spark: SparkSession, path: str, as_of, days: int = 365) -> list[str]:
+    """Deletes the folders of days before as_of less so many days; no file is read or written. Returns these days."""
+    first = spark.range(1).select(F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(days))).cast("string")).first()[0]
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(name for f in files.listStatus(at) if (name := f.getPath().getName()).startswith(f"{DAY}=") and name.removeprefix(f"{DAY}=") < first)
+    for name in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, name), True)
+    return [name.removeprefix(f"{DAY}=") for name in old]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalogia.operators import apply, canonical, mapping, normalize
+from catalogia.operators import apply, canonical, changes, mapping, normalize
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query, scaled
 from catalogia.sources import pricelists, store
@@ -114,6 +114,29 @@ def d16_products_after_import(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---- the history of changes, by day
+
+
+def _history(spark: SparkSession, d: str) -> str:
+    path = folder(spark, "history")
+    changes.append_changes(A.changes(spark, d), path)
+    return path
+
+
+@query(f"WITH {S.CHG} SELECT change_type, count(*) AS n FROM chg WHERE created_at >= TIMESTAMP '2024-01-20' - INTERVAL 100 HOUR GROUP BY change_type")
+def j1_changes_of_some_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the stored changes of 100 hours: five folders are read."""
+    return changes.stored_changes(spark, _history(spark, d), "2024-01-20", 100).groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S.CHG} SELECT event_id FROM chg WHERE created_at::DATE >= (TIMESTAMP '2024-01-25' - INTERVAL 10 DAY)::DATE")
+def j6_purge_days(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the stored changes after whole days were dropped."""
+    path = _history(spark, d)
+    changes.purge_stored_changes(spark, path, "2024-01-25", 10)
+    return changes.stored_changes(spark, path).select("event_id")
+
+
 # ---- lists that arrive out of order
 
 #: The lines of three spans of years are three price lists of each supplier.

@@ -332,6 +332,20 @@ def test_streams(spark, tmp_path):
     assert [r["values"] for r in seen] == [{"sku": "1", "p": "2"}]
 
 
+def test_history_of_changes_by_day(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = [(f"o{i}", "price", day(1 + i % 9) + dt.timedelta(hours=i % 24)) for i in range(90)]
+    changes.append_changes(spark.createDataFrame(rows, "offer_id string, change_type string, created_at timestamp"), path)
+    few = changes.stored_changes(spark, path, day(9), 36)
+    assert "PartitionFilters: [isnotnull(day" in few._jdf.queryExecution().toString() and {r.offer_id for r in few.collect()} == {o for o, _, t in rows if t >= day(9) - dt.timedelta(hours=36)}
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in (tmp_path / "history").rglob("part-*.parquet")}
+    before = files()
+    assert changes.purge_stored_changes(spark, path, day(9) + dt.timedelta(hours=12), 5) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert files() == {k: t for k, t in before.items() if k[4:14] >= "2024-01-04"}
+    assert {r.offer_id for r in changes.stored_changes(spark, path).collect()} == {o for o, _, t in rows if t >= day(4)}
+    assert changes.purge_stored_changes(spark, path, day(9), 5) == []
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(f"a{i}", "m", "done" if i < 8 else "failed", [float(i), 1.0, 0.0]) for i in range(9)] + [("z", "m", "done", None)], "asset_id string, model_key string, status string, embedding array<double>")
     q = spark.createDataFrame([("q", [1.0, 1.0, 0.0])], "query_id string, embedding array<double>")
