@@ -123,6 +123,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: Schema) -> DataFrame
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each turn that isn't an assistant's is a call (configure for a system turn, else respond) with its text and number as arguments; each assistant turn answers the turn before it.
 
+    Null ids, turns and texts stay null; repeated turns share an identifier (see link_calls). Empty tables give empty tables; other columns don't matter.
     Identifiers are conversation:turn. A call builds on the call two turns before it, whose answer lies between; turn 1 builds on turn 0.
     """
     src = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

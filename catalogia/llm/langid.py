@@ -148,7 +148,11 @@ def language_of(text: Column, profiles: list[tuple[str, list[int]]]) -> Column:
 
 
 def predict_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """Learns from the documents outside the held-out fold and predicts all: doc_id, held_out, lang_pred, score. A row for each row."""
+    """Learns from the documents outside the held-out fold and predicts all: doc_id, held_out, lang_pred, score. A row for each row.
+
+    Null ids count as the fold of the empty text; repeated rows get equal results. Null texts, texts without a letter, and all texts where there is nothing
+    to learn, are `und` with score 0. Whole texts of any length. An empty table has no rows; other columns don't matter, also where they are called alike.
+    """
     fold = common.fold_of("doc_id", folds)
     profiles = train_profiles(docs.filter(fold != held))
     common.small_batches(docs.sparkSession, 1000)

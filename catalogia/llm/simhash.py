@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, words: int = 1, radius: int
     """doc_id, fingerprint (binary), component_id (the smallest doc_id that links reach) of each row of docs.
 
     The 64-bit default (radius 4: at least 4 of 8 bytes shared) is exact. Rows with a null id share the class of their fingerprint but never name it
-    (null if no other row is there).
+    (null if no other row is there). Null texts, and texts without a word, have fingerprint zero; texts of any length count whole, and take a task a hash a
+    shingle. An empty table has no rows; other columns don't matter, also where they are called like those of the result.
     """
     n_bytes = 8 * words
     found = common.saved(fingerprints(docs, size, words), "fingerprints")
