@@ -42,6 +42,13 @@ def test_adpcm_across_blocks_equals_one_at_a_time():
     assert telephony.decode_adpcm(data, 32).tolist() == want
 
 
+def test_pcm_of_eight_bits():
+    x = np.array([0, 127, 128, -128, -129, 32767, -32768, 5000], np.int16)
+    _, rate, block, raw = telephony.read_wav(telephony.pcm_file(x, 4000, 8))
+    assert (rate, block) == (4000, 1) and (np.frombuffer(raw, np.uint8).astype(int) - 128).tolist() == [0, 0, 1, 0, -1, 127, -128, 20]
+    assert telephony.read_wav(telephony.pcm_file(x, 4000, 16))[2:] == (2, x.tobytes())
+
+
 def test_resample():
     assert telephony.resample(np.array([0, 10, 20], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 20]
     assert telephony.resample(np.full(50, 1234, np.int16), 16000, 8000).tolist() == [1234] * 25
@@ -90,9 +97,9 @@ def test_every_codec_is_stored_as_pcm(spark):
         payload = telephony.payload_of(t)[1]
         tag = telephony.codec_of(payload)
         media = telephony.wav(payload, tag, 8000, *((4, 192) if tag == telephony.IMA_ADPCM else (8, 1)))
-        samples = telephony.to_pcm(media, telephony.STORED_RATE)
+        samples = telephony.read_wav(telephony.pcm_file(telephony.to_pcm(media, telephony.STORED_RATE), telephony.STORED_RATE, 8))[3]
         a, b = rows[i], rows[i + 80]
-        assert a.feature == b.feature and a.feature.endswith(hashlib.sha256(samples.tobytes()).hexdigest()[:16])
+        assert a.feature == b.feature and a.feature.endswith(hashlib.sha256(samples).hexdigest()[:16])
         assert (a.payload_sha256, a.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest())
 
 
