@@ -21,7 +21,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.stored_and_read(table(spark, sf_dir, "documents"))
+    return telephony.stored_and_described(table(spark, sf_dir, "documents"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,22 @@ def test_every_codec_is_stored_as_pcm(spark):
         assert (a.payload_sha256, a.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest())
 
 
+def test_the_query_resamples_to_the_full_rate(spark, tmp_path):
+    """The features of op3_telephony are of 16-bit samples at 16 kHz; they were of 8-bit samples at 4 kHz, a quarter of them."""
+    texts = [f"text number {i} " * (i % 7) for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in llm_queries.op3_telephony(spark, str(tmp_path)).collect()}
+    assert len(rows) == 40
+    for i, t in enumerate(texts):
+        payload = telephony.payload_of(t)[1]
+        tag = telephony.codec_of(payload)
+        media = telephony.wav(payload, tag, 8000, *((4, 192) if tag == telephony.IMA_ADPCM else (8, 1)))
+        samples = telephony.to_pcm(media, 16_000).astype("<i2")
+        assert tag == telephony.IMA_ADPCM or len(samples) == 2 * len(payload)
+        assert rows[i].feature.endswith(hashlib.sha256(samples.tobytes()).hexdigest()[:16]) and rows[i].feature.startswith(f"s={len(samples) / 16000:.3f} ")
+        assert (rows[i].payload_sha256, rows[i].media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest())
+
+
 # ---- language ID
 
 
