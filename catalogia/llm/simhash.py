@@ -57,7 +57,11 @@ def widened(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int, words: int = 1) -> bytes:
     """A bit is 1 if it is set in over half the shingles' hashes; no word: all zero. Big-endian, 8 bytes a word."""
-    h = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size), words)
+
+
+def majority(h: np.ndarray, words: int = 1) -> bytes:
+    """The fingerprint of hashes."""
     total = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 255 * 64):
         bits = np.unpackbits(widened(h[at : at + 255 * 64], words).astype(">u8").view(np.uint8), axis=1)
@@ -288,23 +292,24 @@ def sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, words (a hash of the text), rep (a long for the shingle set), fingerprint, lists of each row. No exchange."""
+    """doc_id, words (a hash of the text), rep (a long for the shingle set), simhash (of the different shingles, 64 bits), fingerprint, lists of each row. No exchange."""
     common.small_batches(docs.sparkSession, 2000)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("words"), F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "words", "rep", "fingerprint", "lists"]
+    names = ["doc_id", "words", "rep", "simhash", "fingerprint", "lists"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, prints, lists = [], [], []
+            sets, bits, prints, lists = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_set(t)
                 p, k = sketch(h)
                 sets.append(set_key(h))
+                bits.append(majority(h))
                 prints.append(p)
                 lists.append(k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("words"), pa.array(sets, pa.int64()), pa.array(prints, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("words"), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(prints, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names)
 
-    return src.mapInArrow(run, "doc_id long, words long, rep long, fingerprint binary, lists array<long>")
+    return src.mapInArrow(run, "doc_id long, words long, rep long, simhash binary, fingerprint binary, lists array<long>")
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,14 +368,22 @@ def verified(docs: DataFrame, groups: DataFrame, block_rows: int = BLOCK_ROWS, b
     return connected(sets.drop("n"), large, run, max(1, min(8, block_rows // 4)), "verified")
 
 
+def simhash_links(reps: DataFrame) -> DataFrame:
+    """reps: rep, simhash. Links a, b that join all whose SimHashes differ in at most 4 bits, by the byte-position index with count filtering."""
+    classes = common.saved(reps.groupBy("simhash").agg(F.min("rep").alias("rep")), "simhash-classes")
+    equal = reps.join(classes.withColumnRenamed("rep", "b"), "simhash").select(F.col("rep").alias("a"), "b").filter("a <> b")
+    return equal.union(link(classes.select("rep", F.col("simhash").alias("fingerprint")), 8, 4, cover_of_eight(), 4))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, words (a hash of the text), rep, first (the smallest doc_id that links of near copies reach) of each row; every row has an id and a word.
 
-    Sketches only propose: proposals make groups, and within each group all pairs are compared by their exact shingle sets. Only such links count.
+    SimHashes within 4 bits propose, and so do sketches, which reach down to a similarity of 0.8, where SimHashes are further apart. Proposals make groups, and
+    within each group all pairs are compared by their exact shingle sets. Only such links count.
     """
     found = common.saved(sketches(docs), "sketches")
-    reps = common.saved(found.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("lists").alias("lists")), "sketch-classes")
-    groups = components(link(reps, HASHES // 4, WIDE, None, 0))
+    reps = common.saved(found.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("simhash").alias("simhash"), F.first("fingerprint").alias("fingerprint"), F.first("lists").alias("lists")), "sketch-classes")
+    groups = components(simhash_links(reps.select("rep", "simhash")).union(link(reps.select("rep", "fingerprint", "lists"), HASHES // 4, WIDE, None, 0)))
     groups = common.saved(reps.select("rep", "doc_id").join(groups, F.col("rep") == F.col("node")).select("doc_id", "rep", "root"), "proposed")
     roots = components(verified(docs, groups)).withColumnRenamed("node", "rep")
     linked = reps.select("rep", "doc_id").join(roots, "rep")

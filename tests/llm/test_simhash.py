@@ -231,6 +231,26 @@ def test_groups_cut_into_blocks_lose_no_link(spark, block_rows, block_shingles):
     assert sorted(map(sorted, classes.values())) == sorted(sorted(i for i in want if want[i] == r) for r in set(want.values()))
 
 
+def test_simhash_index_proposes_near_copies(spark, monkeypatch):
+    """Without the sketches' proposals, the byte-position index with its tally finds the copies within 4 bits (and those of equal SimHash); it wasn't asked before."""
+    rnd = random.Random(31)
+    texts = [rnd.choices([f"q{i}" for i in range(9000)], k=600) for _ in range(20)]
+    rows = [(2 * i, " ".join(t)) for i, t in enumerate(texts)] + [(2 * i + 1, " ".join([*t[:-1], "changed"])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: int.from_bytes(simhash.majority(simhash.shingle_set(t))) for i, t in rows}
+    want = {i + 1 for i in range(0, 40, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4}
+    whole, asked = simhash.link, []
+
+    def only_simhash(prints, n_bytes, radius, cover, least, *more):
+        asked.append((n_bytes, radius, cover, least))
+        return whole(prints, n_bytes, radius, cover, least, *more) if cover else spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(simhash, "link", only_simhash)
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    assert len(want) > 10 and set(range(40)) - kept == want
+    assert (8, 4, simhash.cover_of_eight(), 4) in asked
+
+
 def test_pipeline_stages_and_empty_table(spark, tmp_path):
     rnd = random.Random(3)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
