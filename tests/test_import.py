@@ -288,6 +288,31 @@ def test_decided_pairs_make_room_for_others(spark):
     assert got["p00"] == ["p07", "p08", "p09", "p10", "p11"] and got["p01"] == ["p02", "p03", "p04", "p05", "p06"] and got["p11"] == ["p00", "p01", "p02", "p03", "p04"]
 
 
+def test_copies_of_titles_are_compared_once(spark):
+    """Candidates as by comparing all with all; of products that no title tells apart one is compared, and each product takes its own places of its title's list alone."""
+    from pyspark.sql import Row
+
+    from catalogia.functions.text import trigrams
+
+    titles = ["Gel rosa", "Gel rosa blu", "Gel verde", "Crema viso", "Crema viso 50", "Olio"]
+    rows = [(f"p{i:03}", "active" if i % 11 else "archived", titles[i * i % 6 if i % 3 else i % 6], f"{titles[i * i % 6 if i % 3 else i % 6]} Acme {'x' * (i % 4)} {70000 + i}") for i in range(150)]
+    p = spark.createDataFrame(rows, "product_id string, status string, title string, search_text string")
+    pairs = {tuple(sorted((f"p{i:03}", f"p{j:03}"))) for i in (1, 2, 6, 7) for j in range(0, 150, 9) if i != j}
+    decided = spark.createDataFrame(sorted(pairs), "a string, b string")
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.lower().split() for i in range(len(w) + 1)}
+    like = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    for kept, d in ((None, set()), (decided, pairs)):
+        want = set()
+        for a, _, t, _ in rows:
+            found = sorted((-like(t, u), b) for b, s, u, x in rows if s == "active" and b != a and like(t, x) >= 0.3 and tuple(sorted((a, b))) not in d)
+            want |= {(a, b, -n) for n, b in found[:5]}
+        assert {tuple(r) for r in suggest.title_candidates(p, p, decided=kept).collect()} == want
+    many = spark.range(2000).select(F.format_string("p%05d", "id").alias("candidate_id"), F.lit("gel rosa").alias("title_key"), F.concat(F.lit("gel rosa "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("b"))
+    x = spark.createDataFrame([Row(a="gel rosa")]).withColumn("grams", trigrams(F.col("a"))).withColumn("n", F.size("grams"))
+    classes = suggest._classes(x, many, 0.3)
+    assert classes.count() == 2000 and classes.select("title_key", "n", "held").distinct().count() <= 5  # the codes' trigrams repeat at times, so n differs
+
+
 def test_files(spark, tmp_path):
     data = {"a.csv": "Código;Prezzo;Prezzo\r\nx;1,5;\r\n;;\r\ny;2.000,00;3".encode("cp1252"), "b.csv": '﻿sku,name\n1,"a, b"\n'.encode(), "c.csv": "sku\tp\n1\t2.50\n".encode("utf-16"), "d.xlsx": b"PK\x03\x04zz"}
     files = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "path string, content binary")
