@@ -62,7 +62,7 @@ def c5_c8_mapped_details(spark: SparkSession, d: str) -> DataFrame:
         "more": F.when(k % 3 == 0, F.concat(F.lit("http://img/"), (k % 100).cast("string"))).when(k % 3 == 1, "ftp://x").otherwise(F.concat(F.lit("http://img/b"), k.cast("string"))),
     }
     none = lambda t: F.lit(None).cast(t)
-    rows = A.read(spark, d, "part").withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = A.parts(spark, d).withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
     values = F.create_map(*(x for name, c in cells.items() for x in (F.lit(name), c)))
     staged = rows.select(F.lit("r").alias("run_id"), F.lit("1").alias("supplier_id"), (2 * k + F.col("version")).alias("row_number"), values.alias("values"), none("array<string>").alias("numeric"), none("array<string>").alias("formula"), none("map<string,string>").alias("links"))
     columns = {"sku": ["sku"], "title": ["name"], "barcode": ["ean"], "price": ["price"], "color": ["color"], "size": ["size"], "material": ["material"], "image_urls": ["picture", "more"]}
