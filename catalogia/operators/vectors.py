@@ -163,10 +163,17 @@ def index_coverage(assets: DataFrame, embeddings: DataFrame, model_key: str) ->
     return assets.select("asset_id").join(e, "asset_id", "left").agg(F.count_distinct("asset_id").alias("assets"), state("done").alias("indexed"), state("failed").alias("failed"), F.count_if(F.coalesce("status", F.lit("pending")) == "pending").alias("pending"))
 
 
+def _of_active_offers(links: DataFrame, offers: DataFrame, *columns: str) -> DataFrame:
+    """offer_id, url and these columns of the links of active offers. Links that carry them (with active) aren't joined."""
+    if {*columns, "active"} <= {*links.columns}:
+        return links.filter("active").select("offer_id", "url", *columns)
+    return links.select("offer_id", "url").join(offers.filter("active").select("offer_id", *columns), "offer_id")
+
+
 def images_due_recheck(sources: DataFrame, links: DataFrame, offers: DataFrame, as_of, hours: int = 20, most: int = 5000) -> DataFrame:
     """The longest unchecked fetched sources of each supplier that an active offer uses."""
     cut = F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))
-    used = links.join(offers.filter("active").select("offer_id"), "offer_id", "left_semi").join(offers.select("offer_id", F.col("supplier_id")), "offer_id").select("supplier_id", "url")
+    used = _of_active_offers(links, offers, "supplier_id").select("supplier_id", "url").distinct()
     due = sources.filter((F.col("status") == "fetched") & (F.coalesce("checked_at", "fetched_at") < cut)).join(used, ["supplier_id", "url"], "left_semi")
     w = Window.partitionBy("supplier_id").orderBy(F.coalesce("checked_at", "fetched_at"), "url")
     return due.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n")
@@ -175,7 +182,7 @@ def images_due_recheck(sources: DataFrame, links: DataFrame, offers: DataFrame,
 def image_replaced_changes(checked: DataFrame, links: DataFrame, offers: DataFrame, run_id: str, as_of) -> DataFrame:
     """checked: supplier_id, url, old_sha, new_sha. One change for each offer, with all its pictures that are new at the same address."""
     new = checked.filter(F.col("old_sha").isNotNull() & F.col("new_sha").isNotNull() & (F.col("old_sha") != F.col("new_sha")))
-    rows = links.join(offers.filter("active").select("offer_id", "supplier_id", "product_id"), "offer_id").join(new, ["supplier_id", "url"])
+    rows = _of_active_offers(links, offers, "supplier_id", "product_id").join(new, ["supplier_id", "url"])
     g = rows.groupBy("supplier_id", "offer_id", "product_id").agg(F.array_sort(F.collect_set(F.struct("url", "old_sha", "new_sha"))).alias("all"))
     side = lambda f: F.to_json(F.struct(F.size("all").alias("count"), F.transform("all", lambda x: F.struct(x["url"].alias("url"), x[f].alias("sha256"))).alias("images")))
     return g.select(F.lit(run_id).alias("run_id"), "supplier_id", "offer_id", "product_id", F.lit("image_replaced").alias("change_type"), side("old_sha").alias("old_value"), side("new_sha").alias("new_value"), F.lit(None).cast("decimal(9,2)").alias("pct"), F.lit(as_of).cast("timestamp").alias("created_at"))

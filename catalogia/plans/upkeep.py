@@ -8,7 +8,7 @@ from catalogia.operators import apply, canonical, catalog, ops, suggest, vectors
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query
 from catalogia.sources import store
-from catalogia.sources.scratch import folder
+from catalogia.sources.scratch import folder, saved
 from catalogia.streaming import streams
 
 AT = "2024-01-30"
@@ -25,12 +25,11 @@ def k7_barcode_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sources (one for each supplier and address, fetched when its newest offer came), links and offers."""
-    o = A.offers(spark, d)
-    i = A.images(o)
-    at = i.join(o.select("offer_id", "supplier_id", "source_as_of"), "offer_id")
-    s = at.groupBy("supplier_id", "url", "status").agg(F.max("source_as_of").alias("fetched_at")).withColumn("checked_at", F.lit(None).cast("timestamp"))
-    return s, i.select("offer_id", "url"), o
+    """Sources (one for each supplier and address, fetched when its newest offer came), links, which carry their offer, and offers."""
+    o = saved(A.offers(spark, d).select("offer_id", "supplier_id", "product_id", "active", "source_as_of", "image_urls"), "picture-offers")
+    i = A.images(o, ("supplier_id", "product_id", "active", "source_as_of"))
+    s = i.groupBy("supplier_id", "url").agg(F.max("source_as_of").alias("fetched_at")).withColumns({"status": A.picture_status(F.col("url")), "checked_at": F.lit(None).cast("timestamp")})
+    return s, i.select("offer_id", "supplier_id", "product_id", "active", "url"), o
 
 
 @query(f"WITH {S.off()} SELECT supplier_id, 'http://img/' || {_N} AS url FROM off WHERE l_partkey % 10 <> 9 GROUP BY ALL HAVING bool_or(active) AND max(source_as_of) < TIMESTAMP '2001-06-01' - INTERVAL 20 HOUR")
