@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalogia.operators import associations, ops
 from catalogia.plans import adapter as A, sql as S
 from catalogia.plans.queries import query
+from catalogia.sources.scratch import saved
 
 AT = "2024-01-30"
 
@@ -27,13 +28,18 @@ def _sql_pid(k: str) -> str:
 _LINK = "CASE WHEN l_suppkey % 2 = 0 THEN 'gtin' ELSE 'auto' END"
 
 
-def _merge(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame, DataFrame]]:
+def _offers(spark: SparkSession, d: str) -> DataFrame:
+    """What decisions read of offers, written once: a decision's tables come from them several times."""
+    return saved(A.offers(spark, d).select("offer_id", "supplier_id", "product_id", "link_source", "gtin"), "decided-offers")
+
+
+def _merge(spark: SparkSession, d: str, offers: DataFrame | None = None) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame, DataFrame]]:
     """Products 1 of each ten go into the one before; half of them with too short a reason. 2 to 4 of each ten are asked for in ways that are refused."""
     k = F.col("p_partkey")
     p = A.products(spark, d).withColumn("status", F.when(_k("product_id") % 10 == 4, "merged").otherwise("active"))
-    o = A.offers(spark, d).withColumn("link_source", F.when(F.col("supplier_id").cast("long") % 2 == 0, "gtin").otherwise("auto"))
+    o = (_offers(spark, d) if offers is None else offers).withColumn("link_source", F.when(F.col("supplier_id").cast("long") % 2 == 0, "gtin").otherwise("auto"))
     target = F.when(k % 10 == 1, _pid(k - 1)).when(k % 10 == 2, _pid(k)).when(k % 10 == 3, "none").otherwise(_pid(k - 4))
-    wanted = A.read(spark, d, "part").filter("p_partkey % 10 between 1 and 4").select(_pid(k).alias("source_id"), target.alias("target_id"), F.when(k % 20 < 10, "the same article, seen").otherwise("same").alias("reason"), F.lit(AT).cast("timestamp").alias("at"))
+    wanted = A.parts(spark, d).filter("p_partkey % 10 between 1 and 4").select(_pid(k).alias("source_id"), target.alias("target_id"), F.when(k % 20 < 10, "the same article, seen").otherwise("same").alias("reason"), F.lit(AT).cast("timestamp").alias("at"))
     ids = A.identifiers(spark, d)
     return associations.merge_products(wanted, p, o, ids), (p, o, ids)
 
@@ -45,7 +51,7 @@ def g1_merge_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {_sql_pid('p_partkey')} AS source_id, CASE p_partkey % 10 WHEN 1 THEN 'reason_too_short' WHEN 2 THEN 'same_product' WHEN 3 THEN 'unknown_product' ELSE 'already_merged' END AS why FROM part WHERE p_partkey % 10 BETWEEN 2 AND 4 OR p_partkey % 20 = 11")
 def g1_refused_merges(spark: SparkSession, d: str) -> DataFrame:
-    return _merge(spark, d)[0]["refused"].select("source_id", "why")
+    return _merge(spark, d, A.offers(spark, d))[0]["refused"].select("source_id", "why")
 
 
 @query(f"WITH {S.off()} SELECT offer_id, CASE WHEN l_partkey % 40 = 1 THEN {_sql_pid('(l_partkey - 1)')} ELSE product_id END AS product_id, CASE WHEN l_partkey % 40 = 1 AND l_suppkey % 2 = 1 THEN 'manual' ELSE {_LINK} END AS link_source FROM off")
@@ -57,7 +63,7 @@ def g2_split_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _detach(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    o = A.offers(spark, d)
+    o = _offers(spark, d)
     wanted = o.filter(F.col("supplier_id").cast("long") % 10 == 3).select("offer_id", F.lit("another article").alias("reason"), F.lit(AT).cast("timestamp").alias("at"))
     return associations.detach_offers(wanted, o)
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from catalogia.operators import apply, associations, ops, vectors
-from catalogia.plans import decisions, details, imports, queries as plans, upkeep
+from catalogia.plans import adapter as A, decisions, details, imports, queries as plans, upkeep
 from catalogia.sources import pricelists, scratch, tables
 
 D = "/root/testdata/sf0.001"
@@ -125,3 +125,22 @@ def test_repeated_and_empty_headers_are_told_apart(spark):
     assert pricelists.dedupe_headers(["Prezzo", " ", "Prezzo", "Prezzo  (2)", "Prezzo"]) == ["Prezzo", "Colonna 2", "Prezzo (2)", "Prezzo (2) (2)", "Prezzo (3)"]
     f = spark.createDataFrame([("a.csv", bytearray(b"Codice;Prezzo;Prezzo\r\nA1;1,50;2,50\r\n"))], "path string, content binary")
     assert [r["values"] for r in pricelists.read_pricelists(f).collect()] == [{"Codice": "A1", "Prezzo": "1,50", "Prezzo (2)": "2,50"}]
+
+
+def test_parts_are_dealt_over_the_tasks(spark):
+    """A file of one split would be one task, whatever is made of its rows."""
+    for name in ("c5_c8_mapped_details", "g1_refused_merges"):
+        plan = plans.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [p_partkey" in plan
+    assert A.parts(spark, D).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_pictures_and_decisions_make_offers_once(spark):
+    """Sources, links, decisions and offers come from one written table; links that carry their offer aren't joined with it."""
+    for name, joins in (("k10_images_due_recheck", 1), ("k11_image_replaced_changes", 1), ("g3_detach_offers", 3), ("g3_revert_detach", 7)):
+        plan = plans.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_shipdate" not in plan and plan.count("Join ") <= joins, name
+    o = spark.createDataFrame([("1|a", "1", "p", True), ("1|b", "1", "p", False)], "offer_id string, supplier_id string, product_id string, active boolean")
+    links = spark.createDataFrame([("1|a", "u"), ("1|b", "v")], "offer_id string, url string")
+    carried = links.join(o, "offer_id")
+    assert [tuple(r) for r in vectors._of_active_offers(links, o, "supplier_id").collect()] == [tuple(r) for r in vectors._of_active_offers(carried, o, "supplier_id").collect()] == [("1|a", "u", "1")]
