@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -77,12 +78,15 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
     """Rows of one split each, and whether a new split begins with them."""
     last = None
     for b in batches:
-        keys = list(zip(b.column("path").to_pylist(), b.column("block").to_pylist())) if b.num_rows else []
-        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        path, block, n = b.column("path"), b.column("block"), b.num_rows
+        if not n:
+            continue
+        turns = pc.or_(pc.not_equal(path.slice(1), path.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
+        cuts = [0, *(k + 1 for k in pc.indices_nonzero(turns).to_pylist()), n]
         for s, e in zip(cuts, cuts[1:]):
-            if e > s:
-                yield b.slice(s, e - s), keys[s] != last
-                last = keys[s]
+            key = path[s].as_py(), block[s].as_py()
+            yield b.slice(s, e - s), key != last
+            last = key
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,11 @@ def _dialect(path: str, valid: bool, head: bytes, encoding: str | None, delimite
 
 def dialects(spark: SparkSession, paths: str | list[str], config: DataFrame | None = None) -> DataFrame:
     """path, kind, encoding, delimiter, decimal_separator, headers and error of each file, by its head (and whether all of it is UTF-8). config: see read_lists."""
-    heads = _lines(spark, paths).mapInArrow(_heads, HEAD).groupBy("path").agg(F.min("valid").alias("valid"), F.coalesce(F.max("head"), F.lit(b"")).alias("head"))
+    return _dialects(_lines(spark, paths), config)
+
+
+def _dialects(lines: DataFrame, config: DataFrame | None) -> DataFrame:
+    heads = lines.mapInArrow(_heads, HEAD).groupBy("path").agg(F.min("valid").alias("valid"), F.coalesce(F.max("head"), F.lit(b"")).alias("head"))
     if config is None:
         heads = heads.withColumns({"encoding": F.lit(None).cast("string"), "delimiter": F.lit(None).cast("string"), "header_row": F.lit(None).cast("int")})
     else:
@@ -184,13 +192,18 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records with their numbers and cells; of records that go over the split's edge, pieces."""
+    """Records with their numbers and cells (null for empty ones); of records that go over the split's edge, pieces.
+
+    The lines of a batch that are whole records make one batch, and so do its quoted records, however they take turns.
+    """
     kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
     names = ["path", "row_number", "cells", "block", "line", "piece"]
     state: dict = {}
 
-    def emit(numbers: list[int], cells: pa.Array) -> pa.RecordBatch:
+    def emit(numbers: list[int] | np.ndarray, cells: pa.Array) -> pa.RecordBatch:
         n, none = len(numbers), pa.nulls(len(numbers), pa.int64())
+        flat = cells.flatten()
+        cells = pa.ListArray.from_arrays(cells.offsets, pc.if_else(pc.equal(flat, ""), pa.scalar(None, pa.string()), flat))
         return pa.RecordBatch.from_arrays([pa.array([state["path"]] * n, pa.string()), pa.array(numbers, pa.int64()), cells.cast(kinds[2]), none, none, pa.nulls(n, pa.string())], names)
 
     def pieces() -> Iterator[pa.RecordBatch]:
@@ -209,19 +222,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if state["at"] == 0 and state["block"] == 0 and lines[0].as_py().startswith("﻿"):
             lines = pa.concat_arrays([pa.array([lines[0].as_py()[1:]], pa.string()), lines.slice(1)])
         special = pc.indices_nonzero(pc.match_substring(lines, '"')).to_pylist()
-        numbers, cells, done = [], [], 0
+        numbers, cells, done, first = [], [], 0, state["next"]
+        plain, ends = np.zeros(len(lines), bool), np.zeros(len(lines), np.int64)  # lines that are records, and those that end one
         for k in [*special, len(lines)]:
             if k > done:  # lines without quotes
-                plain = lines.slice(done, k - done)
                 if state["open"]:
-                    state["held"] += [(state["at"] + done + i, t) for i, t in enumerate(plain.to_pylist())]
+                    state["held"] += [(state["at"] + done + i, t) for i, t in enumerate(lines.slice(done, k - done).to_pylist())]
                 else:
-                    if numbers:
-                        yield emit(numbers, pa.array(cells, kinds[2]))
-                        numbers, cells = [], []
-                    plain = pc.replace_substring_regex(plain, r"\r$", "")
-                    yield emit(list(range(state["next"], state["next"] + len(plain))), pc.split_pattern(plain, d))
-                    state["next"] += len(plain)
+                    plain[done:k], ends[done:k] = True, 1
+                    state["next"] += k - done
             if k < len(lines):
                 text = lines[k].as_py()
                 state["held"].append((state["at"] + k, text))
@@ -236,7 +245,11 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         numbers.append(state["next"])
                         cells.append(fields_of(whole.removesuffix("\r"), d)[0])
                     state["next"] += 1
+                    ends[k] = 1
             done = k + 1
+        if plain.any():
+            texts = pc.replace_substring_regex(lines.filter(pa.array(plain)), r"\r$", "")
+            yield emit((first - 1 + np.cumsum(ends))[plain], pc.split_pattern(texts, d))
         if numbers:
             yield emit(numbers, pa.array(cells, kinds[2]))
         state["at"] += len(lines)
@@ -245,7 +258,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _glued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cells = [fields_of(t.removesuffix("\r"), d)[0] for t, d in zip(b.column("text").to_pylist(), b.column("delimiter").to_pylist())]
+        cells = [[c or None for c in fields_of(t.removesuffix("\r"), d)[0]] for t, d in zip(b.column("text").to_pylist(), b.column("delimiter").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("path"), b.column("row_number"), pa.array(cells, pa.list_(pa.string()))], ["path", "row_number", "cells"])
 
 
@@ -255,10 +268,11 @@ def read_lists(spark: SparkSession, paths: str | list[str], config: DataFrame |
     config: path, encoding, delimiter, header_row (any may be null: found by looking). Files that are no text lists are left out; `dialects` names them.
     A row for each split, a few numbers, goes to every task: 100 TB have under a million. A quote that is never closed makes one record of the rest of its file.
     """
-    told = saved(dialects(spark, paths, config), "dialects")
+    every = _lines(spark, paths)  # the files are listed once for all looks
+    told = saved(_dialects(every, config), "dialects")
     split = told.filter("error is null and encoding not like 'utf-16%'")
     of_file = F.broadcast(split.select("path", "encoding", "delimiter")) if split.count() <= 1_000_000 else split.select("path", "encoding", "delimiter")
-    effects = saved(_lines(spark, paths).join(F.broadcast(of_file), "path").select("path", "block", "line", "encoding", "delimiter").mapInArrow(_effects, BLOCK), "splits")
+    effects = saved(every.join(F.broadcast(of_file), "path").select("path", "block", "line", "encoding", "delimiter").mapInArrow(_effects, BLOCK), "splits")
     # Splits of a file in order: each either keeps the beginning's state, or ends the same way for both; the last of these before a split decides.
     order = Window.partitionBy("path").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -269,7 +283,7 @@ def read_lists(spark: SparkSession, paths: str | list[str], config: DataFrame |
     begins = known.withColumn("inside", F.coalesce(F.col("f.end"), F.lit(False)) != odd)
     counted = begins.withColumn("before", F.coalesce(F.sum(F.when(F.col("inside"), F.col("records_in")).otherwise(F.col("records_out"))).over(before), F.lit(0)))
     where = saved(counted.select("path", "block", "inside", "before").join(of_file, "path"), "split-beginnings")
-    lines = _lines(spark, paths).join(F.broadcast(split.select(F.col("path").alias("p"))), F.col("path") == F.col("p"), "left_semi")
+    lines = every.join(F.broadcast(split.select(F.col("path").alias("p"))), F.col("path") == F.col("p"), "left_semi")
     lines = lines.join(F.broadcast(where), ["path", "block"], "left")
     lost = F.when(F.col("inside").isNull(), F.raise_error(F.lit("the splits of a list changed while it was read"))).otherwise(F.col("inside"))
     rows = lines.select("path", "block", "line", lost.alias("inside"), "before", "encoding", "delimiter").mapInArrow(_numbered, RECORD)
@@ -279,9 +293,9 @@ def read_lists(spark: SparkSession, paths: str | list[str], config: DataFrame |
     whole = rows.filter("piece is null").select("path", "row_number", "cells").unionByName(glued.mapInArrow(_glued, "path string, row_number long, cells array<string>"))
     heads = split.select("path", "headers") if config is None else split.join(config.select("path", F.coalesce("header_row", F.lit(1)).alias("header_row")), "path", "left").select("path", "headers", "header_row")
     both = whole.join(heads, "path").filter(F.col("row_number") > (F.lit(1) if config is None else F.coalesce("header_row", F.lit(1))))
-    both = both.filter(F.exists("cells", lambda c: trimmed(c) != ""))
+    both = both.filter(trimmed(F.array_join("cells", "")) != "")
     n = F.size("headers")
-    padded = F.slice(F.concat(F.transform("cells", lambda c: F.nullif(c, F.lit(""))), F.array_repeat(F.lit(None).cast("string"), n)), F.lit(1), n)
+    padded = F.when(F.size("cells") == n, F.col("cells")).otherwise(F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), n)), F.lit(1), n))
     out = both.select("path", F.col("row_number").cast("int").alias("row_number"), "headers", F.map_from_arrays("headers", padded).alias("values"))
     wide = [r["path"] for r in told.filter("encoding like 'utf-16%'").select("path").collect()]
     return out.unionByName(pricelists.read_pricelists(pricelists.files(spark, wide), config)) if wide else out

@@ -4,9 +4,11 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from catalogia.plans import imports
 from catalogia.sources import pricelists, splits
 
 
@@ -69,3 +71,26 @@ def test_as_the_reader_of_whole_files(spark, tmp_path, small_splits):
     new = splits.read_lists(spark, str(tmp_path), config)
     old = pricelists.read_pricelists(pricelists.files(spark, str(tmp_path)).withColumn("path", F.lit(path)), config)
     assert key(new) == key(old) and len(key(new)) == 301
+
+
+def test_quoted_records_between_others_make_few_batches():
+    """Records without quotes between quoted ones went to Spark in a batch for each stretch before."""
+    lines = [x for k in range(300) for x in (f"{k};", f'{k};"two', 'lines"', f'"{k}";')]
+    n = len(lines)
+    batch = pa.RecordBatch.from_pydict({"path": ["a"] * n, "block": [0] * n, "line": [x.encode() for x in lines], "inside": [False] * n, "before": [0] * n, "encoding": ["utf-8"] * n, "delimiter": [";"] * n})
+    out = list(splits._numbered(iter([batch])))
+    got = sorted((r["row_number"], r["cells"]) for b in out for r in b.to_pylist())
+    assert got == [(n, [c or None for c in rec]) for n, rec in enumerate(whole("\n".join(lines), ";"), 1)]
+    assert len(out) == 2
+
+
+def test_lists_of_many_suppliers_are_few_files(spark, tmp_path, monkeypatch):
+    """There was a folder and a file for each supplier before; making and opening them took most of the time."""
+    d, made = "/root/testdata/sf0.01", str(tmp_path / "lists")
+    monkeypatch.setattr(imports, "folder", lambda *_: made)
+    got = imports.a1_a2_lists_by_splits(spark, d)
+    files = [f for f in tmp_path.glob("lists/**/part-*") if f.is_file()]
+    suppliers = got.select("supplier_id").distinct().count()
+    assert suppliers == 100 and 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = got.groupBy("supplier_id").agg(F.min("row_number").alias("a"), F.max("row_number").alias("b"), F.count("*").alias("n"), F.count_distinct("row_number").alias("m"))
+    assert numbers.filter("a <> 2 or b <> n + 1 or m <> n").count() == 0
