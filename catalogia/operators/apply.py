@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from catalogia.operators.canonical import refresh_touched
+from catalogia.operators.canonical import CARRIED, refresh_touched
 from catalogia.operators.changes import _json, diff_offers
 from catalogia.operators.identity import detect_identity_conflicts
 from catalogia.sources import store
 
 COMMERCIAL = ["price", "currency", "vat_treatment", "vat_rate", "units_per_pack", "stock_quantity", "stock_status", "image_urls", "gtin"]
+#: What applying a list asks of the stored offers that it meets.
+MET = ["offer_id", "supplier_id", "supplier_sku", "product_id", "link_source", "active", "source_as_of", "created_at", "row_hash", *COMMERCIAL]
 #: A snapshot with fewer codes than this share of the active offers removes nothing.
 LEAST_COVERAGE = 0.5
 
@@ -236,9 +238,9 @@ def touched_products(classified: DataFrame, linked: DataFrame, removed: DataFram
 
 
 def known_pictures(offers: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
-    """offer_id, position, asset_id, status of each offer's pictures: sources are kept by supplier and address."""
-    of = links.join(offers.select("offer_id", "supplier_id"), "offer_id")
-    return of.join(sources.select("supplier_id", "url", "status", "asset_id"), ["supplier_id", "url"]).select("offer_id", "position", "asset_id", "status")
+    """offer_id, position, asset_id, status of each offer's pictures, with the offer's CARRIED: sources are kept by supplier and address."""
+    of = links.join(offers.select("offer_id", *CARRIED), "offer_id")
+    return of.join(sources.select("supplier_id", "url", "status", "asset_id"), ["supplier_id", "url"]).select("offer_id", "position", "asset_id", "status", *CARRIED)
 
 
 def _born(linked: DataFrame, products: DataFrame) -> DataFrame:
@@ -285,7 +287,8 @@ def apply_import(norm: DataFrame, runs: DataFrame, state: dict[str, DataFrame],
       empty where left out;
       canonical: what refresh_products made of the tables. Where it is given, the products that the run touches are refreshed, and only they.
 
-    keep (such as scratch.saved) holds the tables that several results are made from. Returns the same tables anew, and issues, changes, counters, relinks,
+    keep (such as scratch.saved) holds the tables that several results are made from; for results that aren't asked for it may leave those that have
+    the name of a result, and removed, as they are. Returns the same tables anew, and issues, changes, counters, relinks,
     guard, refreshed (the canonical rows whose content changed) and fresher (product_id of all rows that were made anew).
     """
     offers_before = state["offers"]
@@ -294,16 +297,17 @@ def apply_import(norm: DataFrame, runs: DataFrame, state: dict[str, DataFrame],
     links = state.get("offer_images", _empty(norm, "offer_id string, position int, url string"))
     canonical = state.get("canonical")
     identity = state["products"] if canonical is None else canonical
-    classified = keep(classify(resolve_duplicate_skus(match_existing(norm, offers_before))), "classified")
-    linked = link_products(classified, state["identifiers"], identity.select("product_id", "brand", "attributes"))
+    classified = keep(classify(resolve_duplicate_skus(match_existing(norm, offers_before.select(*MET)))), "classified")
+    linked = link_products(classified.drop("issues", "mode"), state["identifiers"], identity.select("product_id", "brand", "attributes"))
     linked, mappings = resolve_categories(linked.withColumns({"category_raw": F.col("offer.category_raw"), "category_id": F.lit(None).cast("string")}), mappings)
     linked = keep(linked, "linked")
     offers = updated_offers(offers_before, classified, linked)
     guard = snapshot_guard(runs, classified, offers_before, state["suppliers"])
     offers, removed = deactivate_missing(offers, guard)
-    offers = keep(offers, "offers")
-    changes = offer_changes(linked, offers_before.filter("active").select("supplier_id")).unionByName(removed)
+    offers, removed = keep(offers, "offers"), keep(removed, "removed")
+    changes = keep(offer_changes(linked, offers_before.filter("active").select("supplier_id")).unionByName(removed), "changes")
     pending, links = sync_offer_images(linked, sources, links)
+    pending, links = keep(pending, "pending"), keep(links, "offer_images")
     sources = sources.unionByName(pending.select("supplier_id", "url", "status"), allowMissingColumns=True)
     identifiers = state["identifiers"].unionByName(linked.filter("new_gtin_product").select("product_id", F.col("offer.gtin").alias("value")).distinct())
     products = state["products"].unionByName(_born(linked, state["products"]))
@@ -347,7 +351,20 @@ def run_import(spark: SparkSession, root: str, run_id: str, norm: DataFrame, run
     """
     if store.is_committed(spark, root, run_id):
         return False
-    state = {k: v for k, v in store.load_all(spark, root).items() if k in STATE}
-    out = apply_import(norm, runs, state, keep)
-    touched = {"offers": runs.select("supplier_id"), "canonical": out["fresher"]}
-    return store.commit(spark, root, run_id, {k: out[k] for k in STATE}, {k: out[k] for k in ADDED}, IN_PARTS, touched)
+    before = store.latest(spark, root)
+    state = {k: store.load(spark, root, k, before) for k in before.tables if k in STATE}
+    of, written = runs.select("supplier_id"), {}
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        """Results that others are made from are written where the store keeps them, and nowhere else."""
+        if name in STATE:
+            written[name], df = store.replace(spark, root, before, run_id, name, df, IN_PARTS.get(name), of if name == "offers" else None)
+        elif name in ADDED:
+            written[name], df = store.append(spark, root, before, run_id, name, df)
+        else:
+            df = keep(df, name)
+        return df
+
+    out = apply_import(norm, runs, state, hold)
+    touched = {"offers": of, "canonical": out["fresher"]}
+    return store.commit(spark, root, run_id, {k: out[k] for k in STATE} | {k: v for k, v in written.items() if k in STATE}, {k: written.get(k, out[k]) for k in ADDED}, IN_PARTS, touched)

@@ -24,8 +24,11 @@ def brands_conflict(a: Column, b: Column) -> Column:
 def detect_identity_conflicts(brand: Column, attributes: Column, product_brand: Column, product_attributes: Column) -> Column:
     """array<struct<code, field, offer_value, product_value>>: the brand first, then the attributes in order."""
     found = lambda code, field, a, b: F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), a.alias("offer_value"), b.alias("product_value"))
-    items = [F.when(brands_conflict(brand, product_brand), found("brand_mismatch", "brand", brand, product_brand))]
+    unlike = lambda a, b: F.coalesce(a != b, F.lit(False))
+    # Equal texts are no conflict, nor is one that is missing: most rows need no folding, which runs uncompiled.
+    odd, items = unlike(brand, product_brand), [F.when(brands_conflict(brand, product_brand), found("brand_mismatch", "brand", brand, product_brand))]
     for field in IDENTITY_ATTRIBUTES:
         a, b = F.try_element_at(attributes, F.lit(field)), F.try_element_at(product_attributes, F.lit(field))
+        odd = odd | unlike(a, b)
         items.append(F.when(normalize_attribute(a) != normalize_attribute(b), found("attribute_mismatch", field, a, b)))
-    return F.array_compact(F.array(*items))
+    return F.when(odd, F.array_compact(F.array(*items))).otherwise(F.array().cast("array<struct<code: string, field: string, offer_value: string, product_value: string>>"))

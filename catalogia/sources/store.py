@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from catalogia.sources.scratch import shuffles_freed
+
 #: Parts of a table that is replaced in parts.
 PARTS = 64
 _MANIFEST = "version long, run_id string, tables map<string,struct<schema:string,parts:map<string,string>>>"
@@ -30,6 +32,15 @@ class Version:
     tables: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
 
 
+@dataclass
+class Written:
+    """A table that a run has written ahead of its commit: the folders by part that will make it up, and those that the run added."""
+
+    schema: str
+    parts: dict[str, str]
+    own: list[str]
+
+
 def part_of(key: Column | str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("string")
 
@@ -55,9 +66,12 @@ def is_committed(spark: SparkSession, root: str, run_id: str) -> bool:
 def load(spark: SparkSession, root: str, name: str, version: Version | None = None, parts: list[str] | None = None) -> DataFrame:
     """The table as of the newest manifest (or of the version given); only these parts of it, if they are named."""
     schema, there = (version or latest(spark, root)).tables[name]
+    return _read(spark, schema, [path for k, path in there.items() if parts is None or k in parts])
+
+
+def _read(spark: SparkSession, schema: str, paths: list[str]) -> DataFrame:
     kind = StructType.fromJson(json.loads(schema))
-    paths = sorted(path for k, path in there.items() if parts is None or k in parts)
-    return spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(*sorted(paths)) if paths else spark.createDataFrame([], kind)
 
 
 def load_all(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -65,19 +79,31 @@ def load_all(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: load(spark, root, name, version) for name in version.tables}
 
 
+def replace(spark: SparkSession, root: str, before: Version, run_id: str, name: str, df: DataFrame, by: str | None = None, touched: DataFrame | None = None) -> tuple[Written, DataFrame]:
+    """Writes df, the whole table as it is after the run, ahead of the commit that makes it seen; and the table as it then is, so that what follows reads what the store keeps."""
+    w = _replace(spark, root, before, run_id, name, df, by, touched)
+    return w, _read(spark, w.schema, list(w.parts.values()))
+
+
+def append(spark: SparkSession, root: str, before: Version, run_id: str, name: str, df: DataFrame) -> tuple[Written, DataFrame]:
+    """Writes rows that the run adds to a table ahead of its commit; and these rows, read again."""
+    w = _append(root, before, run_id, name, df)
+    return w, _read(spark, w.schema, w.own)
+
+
 def commit(
     spark: SparkSession,
     root: str,
     run_id: str,
-    replaced: dict[str, DataFrame],
-    appended: dict[str, DataFrame] | None = None,
+    replaced: dict[str, DataFrame | Written],
+    appended: dict[str, DataFrame | Written] | None = None,
     by: dict[str, str] | None = None,
     touched: dict[str, DataFrame] | None = None,
 ) -> bool:
     """Writes the run's tables, then the manifest. False if the run is committed already; then nothing is written.
 
     replaced: whole tables as they are after the run. Of a table in `by` only parts with a key of `touched` (a frame with the column) are written.
-    appended: rows that are added to their tables.
+    appended: rows that are added to their tables. Tables that replace or append wrote are taken as they are.
     """
     if is_committed(spark, root, run_id):
         return False
@@ -86,32 +112,46 @@ def commit(
 
 
 def _put(df: DataFrame, path: str, *by: str) -> None:
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def _own(before: Version, run_id: str) -> str:
+    return re.sub(r"[^A-Za-z0-9._-]", "-", run_id) + f"-{before.number + 1}"
+
+
+def _replace(spark: SparkSession, root: str, before: Version, run_id: str, name: str, df: DataFrame, by: str | None, touched: DataFrame | None) -> Written:
+    path, schema = f"{root}/{name}/{_own(before, run_id)}", df.schema.json()
+    if by is None:
+        _put(df, path)
+        return Written(schema, {"": path}, [path])
+    old = before.tables[name][1] if name in before.tables else {}
+    part = part_of(by)
+    if touched is not None:  # PARTS rows at most
+        wanted = [r[0] for r in touched.select(part.alias("p")).distinct().collect()]
+        df = df.filter(part.isin(wanted))
+    else:
+        wanted = list(old)
+    _put(df.withColumn(_PART, part).repartition(_PART), path, _PART)
+    made = {r[0]: f"{path}/{_PART}={r[0]}" for r in spark.read.schema(f"{_PART} string").parquet(path).distinct().collect()}
+    return Written(schema, {k: v for k, v in old.items() if k not in wanted} | made, list(made.values()))
+
+
+def _append(root: str, before: Version, run_id: str, name: str, df: DataFrame) -> Written:
+    own = _own(before, run_id)
+    path = f"{root}/{name}/{own}"
+    _put(df, path)
+    return Written(df.schema.json(), (before.tables[name][1] if name in before.tables else {}) | {own: path}, [path])
 
 
 def _write(spark: SparkSession, root: str, before: Version, run_id: str, replaced: dict, appended: dict, by: dict, touched: dict) -> None:
     tables = dict(before.tables)
-    own = re.sub(r"[^A-Za-z0-9._-]", "-", run_id) + f"-{before.number + 1}"
     for name, df in replaced.items():
-        path, schema = f"{root}/{name}/{own}", df.schema.json()
-        if name not in by:
-            _put(df, path)
-            tables[name] = (schema, {"": path})
-            continue
-        old = tables[name][1] if name in tables else {}
-        part = part_of(by[name])
-        if name in touched:  # PARTS rows at most
-            wanted = [r[0] for r in touched[name].select(part.alias("p")).distinct().collect()]
-            df = df.filter(part.isin(wanted))
-        else:
-            wanted = list(old)
-        _put(df.withColumn(_PART, part).repartition(_PART), path, _PART)
-        made = [r[0] for r in spark.read.schema(f"{_PART} string").parquet(path).distinct().collect()]
-        tables[name] = (schema, {k: v for k, v in old.items() if k not in wanted} | {k: f"{path}/{_PART}={k}" for k in made})
+        w = df if isinstance(df, Written) else _replace(spark, root, before, run_id, name, df, by.get(name), touched.get(name))
+        tables[name] = (w.schema, w.parts)
     for name, df in appended.items():
-        path = f"{root}/{name}/{own}"
-        _put(df, path)
-        tables[name] = (df.schema.json(), (tables[name][1] if name in tables else {}) | {own: path})
+        w = df if isinstance(df, Written) else _append(root, before, run_id, name, df)
+        tables[name] = (w.schema, w.parts)
     number = before.number + 1
     row = [(number, run_id, {k: (s, p) for k, (s, p) in tables.items()})]
-    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{number:09d}-{own}")
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{number:09d}-{_own(before, run_id)}")
